@@ -3,9 +3,9 @@
 Every query reads the given parquet tables (quote series are derived from
 ``lineitem`` — supplier x ship-day bars — and ``events`` — event-type x hour
 bars; the instrument list and watchlist from ``supplier``/``nation``/
-``region``).  Doubles are returned quantised as
-``floor(x * 1e6 + 0.3183098)`` BIGINTs on both sides of the comparison; the
-library API itself returns raw doubles.
+``region``).  Doubles are returned quantised to BIGINTs (1e-6 grid, eight
+significant digits above 1e4) on both sides of the comparison; the library
+API itself returns raw doubles.
 """
 
 from __future__ import annotations
@@ -50,7 +50,9 @@ PIVOT_SUBSET = ["Close", "XS", "STDDEV-XS-10", "P-XS-5", "P-XS+15", "BOL-H-XS",
 # --- helpers -----------------------------------------------------------------
 
 def q6(c: Column) -> Column:
-    return F.floor(c * 1e6 + 0.3183098).cast("long")
+    """Same grid as the oracle: 1e-6 below 1e4, eight significant digits above."""
+    big = F.floor(c * F.pow(F.lit(10.0), 7 - F.floor(F.log10(F.abs(c)))) + 0.3183098)
+    return F.when(F.abs(c) < 1e4, F.floor(c * 1e6 + 0.3183098)).otherwise(big).cast("long")
 
 
 def quantize(df: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 Each series is its own CTE computed the row-based way: windows over the rows
 of its input series, LAG/LEAD with rows dropped where the counterpart value
 is missing, binary series as equi-joins on (isin, date).  The wide table is
-the ``sum``-pivot of the union of all series.  Doubles are compared as
-``floor(x * 1e6 + 0.3183098)`` BIGINTs on both sides (the odd offset keeps
-exact ties such as x.xxxxxx5 off the rounding edge).
+the ``sum``-pivot of the union of all series.  Doubles are compared as BIGINTs on a 1e-6 grid
+(eight significant digits above 1e4) on both sides; the odd offset keeps exact
+ties such as x.xxxxxx5 off the rounding edge.
 """
 
 from __future__ import annotations
@@ -17,7 +17,11 @@ QUANT_OFFSET = 0.3183098
 
 
 def Q(expr: str) -> str:
-    return f"CAST(floor(({expr}) * 1e6 + 0.3183098) AS BIGINT)"
+    """Absolute 1e-6 grid below 1e4, eight significant digits above (large
+    values come from near-zero divisors, which amplify last-bit noise)."""
+    x = f"({expr})"
+    return (f"CAST(CASE WHEN abs({x}) < 1e4 THEN floor({x} * 1e6 + 0.3183098) "
+            f"ELSE floor({x} * power(10.0, 7 - floor(log10(abs({x})))) + 0.3183098) END AS BIGINT)")
 
 
 def ident(name: str) -> str:
