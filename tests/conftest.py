@@ -21,7 +21,15 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tidemark-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def bars001(spark):
+    from tidemark.session import materialize
+    from tidemark.sources.bars import supplier_day_quotes
+    return materialize(supplier_day_quotes(spark, SF001), "test_bars")

@@ -113,7 +113,7 @@ def evaluate(data: DataFrame, label: str, seed: int = FOREST_SEED,
              weights=(0.8, 0.2), num_trees: int = NUM_TREES) -> DataFrame:
     """Test error and opportunity metrics of a forest trained on a random
     split, as a one-row DataFrame (one aggregate, not one job per count)."""
-    pert = training_set(data, label, extra=["P-XS+5"])
+    pert = materialize(training_set(data, label, extra=["P-XS+5"]), "evaluate")
     pipe = feature_pipeline(pert)
     train, test = pert.randomSplit(list(weights), seed=seed)
     model = train_forest(pipe.transform(train), label, seed, num_trees)
