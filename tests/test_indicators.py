@@ -74,16 +74,27 @@ def test_wide_equals_long_operators(spark, bars001):
     assert bad == 0
 
 
-def test_chunking_is_exact(spark, bars001):
+@pytest.mark.parametrize("bucket", ["day", "month", "year"])
+def test_chunking_is_exact(spark, bars001, bucket):
     names = S.standard_names()
-    ref = {(r["isin"], r["date"]): r for r in IND.build_wide(bars001).collect()}
-    small = IND.build_wide(bars001, chunk_rows=50).collect()   # many chunks, halo 199/30
+    ref = {(r["isin"], r["date"]): r for r in
+           IND.build_wide(bars001, chunk_rows=1 << 20, bucket="year").collect()}
+    small = IND.build_wide(bars001, chunk_rows=50, bucket=bucket).collect()   # halo 199/30
     assert len(small) == len(ref)
     for r in small:
         w = ref[(r["isin"], r["date"])]
         assert all(_close(r[n], w[n]) for n in names)
 
 
+def test_chunks_really_split(spark, bars001):
+    from tidemark.operators.sequence import bucket_chunks
+    plan, _ = bucket_chunks(bars001, ["isin"], "date", 199, 30, 50, "day")
+    per = plan.select("isin", F.explode("_targets").alias("t")).groupBy("isin").agg(
+        F.countDistinct("t.c").alias("chunks"), F.sum(F.col("t.h").cast("int")).alias("halo"))
+    r = per.agg(F.min("chunks"), F.max("chunks"), F.sum("halo")).first()
+    assert r[0] >= 2 and r[2] > 0
+
+
 def test_single_row_and_zero_price(spark):
     q = spark.createDataFrame(
         [("one", "2020-01-01", 1.0, 1.0, 1.0, 1.0)]
@@ -123,6 +134,8 @@ def test_labels_need_presence_not_value(spark):
 
 def test_one_window_exchange(spark, bars001):
     plan = IND.build_wide(bars001)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(isin#") >= 1
-    chunk_ex = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l and "_chunk" in l]
-    assert len(chunk_ex) == 1
+    exchanges = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l]
+    chunk_ex = [l for l in exchanges if "_chunk" in l]
+    assert len(chunk_ex) == 1           # one shuffle of the rows for all 69 series
+    # the only other exchanges are over the small (isin, bucket) count table
+    assert all("_bk" in l or "_c#" in l or "hashpartitioning(isin#" in l for l in exchanges)

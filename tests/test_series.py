@@ -76,7 +76,7 @@ def test_ema_chunked_matches_brute_force(spark, rate, chunk):
             v = None if rnd.random() < 0.15 else round(rnd.uniform(-5, 50), 3)
             data.append((key, i, v))
     df = spark.createDataFrame(data, "ISIN string, id int, val double")
-    got = rows(SR.ema(df, "val", "ema", rate, order="id", chunk_rows=chunk), "ema")
+    got = rows(SR.ema(df, "val", "ema", rate, order="id", chunk_rows=chunk, bucket=1), "ema")
     for key in ["k1", "k2", "k3"]:
         series = sorted((i, v) for k, i, v in data if k == key)
         exp = brute_ema([v for _, v in series], rate)
@@ -117,7 +117,7 @@ def test_paired_chunked_matches_brute_force(spark, n):
     data = [(k, i, None if rnd.random() < 0.1 else float(rnd.randint(0, 9)))
             for k in ["p", "q"] for i in range(rnd.randint(3, 30))]
     df = spark.createDataFrame(data, "ISIN string, id int, val double")
-    got = rows(SR.performance(df, "val", "p", n, order="id", chunk_rows=4), "p")
+    got = rows(SR.performance(df, "val", "p", n, order="id", chunk_rows=4, bucket=1), "p")
     for key in ["p", "q"]:
         vals = [v for _, v in sorted((i, v) for k, i, v in data if k == key)]
         for t, v in enumerate(vals):

@@ -2,24 +2,25 @@
 
 A plain ``Window.partitionBy("isin").orderBy("date")`` sends every row of an
 instrument to one task, so an instrument holding a third of the data would be
-sorted and buffered by a single task.  Instead:
-
-1. ``number_rows`` gives every row its 0-based position ``_rn`` inside its
-   series with a distributed prefix count: rows are counted per
-   (key, time bucket) with a map-side-combined aggregate, the bucket offsets are
-   a running sum over that small count table, and the position inside a
-   bucket is a ``row_number`` over (key, bucket).  No group is larger than one
-   time bucket of one series.
-2. ``split_series`` cuts each series into chunks of ``chunk_rows`` positions
-   and copies the ``back`` rows before / ``fwd`` rows after every chunk
-   boundary into the neighbouring chunk as *halo* rows.
-3. Windows run over ``Window.partitionBy(key, "_chunk").orderBy("_rn")``;
-   as long as ``back``/``fwd`` cover the total look-back/look-ahead of the
-   chained expressions, every non-halo row sees exactly the rows it would see
-   in an unsplit series.  Halo rows are dropped afterwards.
-
-At small scale every series is a single chunk without halo rows, so the cost
-over the naive plan is one extra shuffle (the numbering).
+sorted and buffered by a single task.  Instead each series is cut into chunks
+and windows run per (instrument, chunk):
+
+* ``series_window`` (default): rows are counted per (key, time bucket) with a
+  map-side-combined aggregate; on that small table a running sum gives each
+  bucket its row range, buckets are grouped into chunks of about
+  ``chunk_rows`` rows, and the buckets that reach into the last ``back`` /
+  first ``fwd`` rows of a chunk are flagged as halo for the neighbouring
+  chunk.  The rows are joined to that plan (broadcast only when its size is
+  known to be small) and shuffled once, on (key, chunk).
+* ``number_rows`` + ``split_series`` (``keep_rn=True``, and the EMA): exact
+  0-based positions ``_rn`` via the same count table plus a ``row_number``
+  inside (key, bucket), then chunks of exactly ``chunk_rows`` positions with
+  exactly ``back``/``fwd`` halo rows.
+
+As long as ``back``/``fwd`` cover the total look-back/look-ahead of the chained
+expressions, every non-halo row sees exactly the rows it would see in an
+unsplit series; halo rows are dropped afterwards.  No group is larger than one
+chunk (or, while numbering, one time bucket) of one series.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.sizing import maybe_broadcast
+
 RN = "_rn"
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -38,9 +41,13 @@ HALO = "_halo"
 DEFAULT_CHUNK_ROWS = 1 << 17
 
 
-def _bucket_expr(df: DataFrame, order: str, bucket: str | None) -> Column:
-    """Coarse time bucket used only to bound the numbering groups."""
+def _bucket_expr(df: DataFrame, order: str, bucket) -> Column:
+    """Coarse bucket of the order key (bounds the numbering groups and the
+    halo granularity).  ``bucket`` is a unit name or, for numeric order keys,
+    an integer width."""
     dt = df.schema[order].dataType
+    if isinstance(bucket, int) and not isinstance(bucket, bool):
+        return F.floor(F.col(order) / F.lit(bucket)).cast("long")
     if bucket is None:
         if isinstance(dt, T.DateType):
             bucket = "year"
@@ -105,14 +112,68 @@ def chunk_window(key: str | list[str]) -> Window:
     return Window.partitionBy(*keys, CHUNK).orderBy(RN)
 
 
+def bucket_chunks(df: DataFrame, keys: list[str], order: str, back: int, fwd: int,
+                  chunk_rows: int, bucket) -> tuple[DataFrame, Column]:
+    """Chunk assignment decided on the small (key, bucket) count table.
+
+    Chunks are runs of whole buckets: bucket k (rows [start, end) of its
+    series) belongs to chunk ``floor(start / C)``.  With every bucket holding
+    at most B rows and ``C >= B + max(back, fwd) + 1``, every chunk but the
+    last spans more than ``max(back, fwd)`` rows, so halo rows only ever come
+    from the adjacent chunk: a bucket reaching into the last ``back`` rows of
+    its chunk is copied (whole) into the next chunk, one reaching into the
+    first ``fwd`` rows into the previous chunk.  Whole-bucket halos are a
+    superset of the rows needed; they are dropped after the windows."""
+    bk = "_bk"
+    bcol = _bucket_expr(df, order, bucket)
+    counts = df.select(*keys, bcol.alias(bk)).groupBy(*keys, bk).agg(F.count(F.lit(1)).alias("_n"))
+    max_bucket = counts.agg(F.max("_n")).first()[0] or 0
+    c = max(int(chunk_rows), int(max_bucket) + max(back, fwd) + 1)
+    by_key = Window.partitionBy(*keys).orderBy(bk)
+    t = (counts.withColumn("_end", F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_start", F.col("_end") - F.col("_n"))
+         .withColumn("_c", F.floor(F.col("_start") / c).cast("long")))
+    t = (t.withColumn("_pc", F.lag("_c").over(by_key))
+         .withColumn("_nc", F.lead("_c").over(by_key)))
+    by_chunk = Window.partitionBy(*keys, "_c")
+    t = (t.withColumn("_cs", F.min("_start").over(by_chunk))
+         .withColumn("_ce", F.max("_end").over(by_chunk))
+         .withColumn("_prev", F.max(F.when(F.col("_start") == F.col("_cs"), F.col("_pc"))).over(by_chunk))
+         .withColumn("_next", F.max(F.when(F.col("_end") == F.col("_ce"), F.col("_nc"))).over(by_chunk)))
+    entries = F.array(
+        F.struct(F.col("_c").alias("c"), F.lit(False).alias("h")),
+        F.when((F.col("_end") > F.col("_ce") - back) & F.col("_next").isNotNull(),
+               F.struct(F.col("_next").alias("c"), F.lit(True).alias("h"))),
+        F.when((F.col("_start") < F.col("_cs") + fwd) & F.col("_prev").isNotNull(),
+               F.struct(F.col("_prev").alias("c"), F.lit(True).alias("h"))),
+    )
+    plan = t.select(*keys, bk, F.filter(entries, lambda x: x.isNotNull()).alias("_targets"))
+    return plan, bcol
+
+
 def series_window(df: DataFrame, key: str | list[str], order: str | list[str],
                   layers: Callable[[DataFrame, Window], DataFrame],
                   back: int, fwd: int, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                  bucket: str | None = None, keep_rn: bool = False) -> DataFrame:
+                  bucket=None, keep_rn: bool = False) -> DataFrame:
     """Run ``layers(df, w)`` (which adds window columns over ``w``) on a
-    numbered, chunked copy of ``df`` and return only the real rows."""
-    numbered = number_rows(df, key, order, bucket)
-    chunked = split_series(numbered, back, fwd, chunk_rows)
-    out = layers(chunked, chunk_window(key))
-    out = out.where(~F.col(HALO)).drop(CHUNK, HALO)
-    return out if keep_rn else out.drop(RN)
+    chunked copy of ``df`` and return only the real rows.
+
+    Default: bucket-aligned chunks (one shuffle of the rows, on (key,
+    chunk)); windows are ordered by ``order``, which must be unique per key.
+    ``keep_rn=True`` numbers the rows exactly first (one more shuffle)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    orders = [order] if isinstance(order, str) else list(order)
+    if keep_rn:
+        numbered = number_rows(df, keys, orders, bucket)
+        chunked = split_series(numbered, back, fwd, chunk_rows)
+        out = layers(chunked, chunk_window(keys))
+        return out.where(~F.col(HALO)).drop(CHUNK, HALO)
+    plan, bcol = bucket_chunks(df, keys, orders[0], back, fwd, chunk_rows, bucket)
+    plan = maybe_broadcast(plan)
+    rows = df.withColumn("_bk", bcol).join(plan, [*keys, "_bk"], "inner")
+    e = F.explode("_targets").alias("_e")
+    chunked = (rows.select("*", e).drop("_targets", "_bk")
+               .select("*", F.col("_e.c").alias(CHUNK), F.col("_e.h").alias(HALO)).drop("_e"))
+    w = Window.partitionBy(*keys, CHUNK).orderBy(*orders)
+    out = layers(chunked, w)
+    return out.where(~F.col(HALO)).drop(CHUNK, HALO)

@@ -38,7 +38,7 @@ def _zero_or(value, *operands_nonzero):
 
 
 def _paired(df: DataFrame, src: str, to: str, n: int, key: str, order: str,
-            combine, chunk_rows: int) -> DataFrame:
+            combine, chunk_rows: int, bucket=None) -> DataFrame:
     def run(d, w):
         x = F.col(src).cast("double")
         other = C.shifted(x, n, w)
@@ -46,17 +46,17 @@ def _paired(df: DataFrame, src: str, to: str, n: int, key: str, order: str,
         v = F.when(exists, _zero_or(combine(x, other), x, other))
         return d.select("*", v.alias(to))
 
-    return series_window(df, key, order, run, max(-n, 0), max(n, 0), chunk_rows)
+    return series_window(df, key, order, run, max(-n, 0), max(n, 0), chunk_rows, bucket)
 
 
 def performance(df: DataFrame, src: str, to: str, n: int, key: str = "ISIN",
-                order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return _paired(df, src, to, n, key, order, lambda a, b: a / b - 1, chunk_rows)
+                order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None) -> DataFrame:
+    return _paired(df, src, to, n, key, order, lambda a, b: F.try_divide(a, b) - 1, chunk_rows, bucket)
 
 
 def derivative(df: DataFrame, src: str, to: str, n: int, key: str = "ISIN",
-               order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return _paired(df, src, to, n, key, order, lambda a, b: a - b, chunk_rows)
+               order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None) -> DataFrame:
+    return _paired(df, src, to, n, key, order, lambda a, b: a - b, chunk_rows, bucket)
 
 
 def rate(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
@@ -117,7 +117,7 @@ def _carry_scan(rate: float):
 
 
 def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN",
-        order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+        order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None) -> DataFrame:
     x = F.col(src).cast("double")
     if rate == 1:
         return df.withColumn(to, x)
@@ -126,7 +126,7 @@ def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN",
     cols = df.columns
     kt = df.schema[key].dataType
 
-    numbered = number_rows(df, key, order).withColumn("_x", x)
+    numbered = number_rows(df, key, order, bucket).withColumn("_x", x)
     numbered = (numbered.withColumn("_c", F.floor(F.col(RN) / cr).cast("long"))
                 .withColumn("_b", F.col("_c") * cr))
     w_c = Window.partitionBy(key, "_c").orderBy(RN)
