@@ -222,11 +222,17 @@ def q_event_features(spark, sf):
 
 
 def q_indicator_stats(spark, sf):
+    names = S.standard_names()
+    return IND.stats_wide(IND.build_wide(_bars_sd(spark, sf), presence=True), names)
+
+
+def q_indicator_stats_long(spark, sf):
     return IND.stats(IND.build_long(_bars_sd(spark, sf)))
 
 
 def q_max_dates(spark, sf):
-    return IND.max_dates(IND.build_long(_bars_sd(spark, sf)))
+    names = S.standard_names()
+    return IND.max_dates_wide(IND.build_wide(_bars_sd(spark, sf), presence=True), names)
 
 
 def q_last_quotation(spark, sf):
@@ -501,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
         "features_wide": O.wide_sql(plan, names, sd),
         "event_features": O.wide_sql(plan, names, O.BARS_EVENT_HOUR),
         "indicator_stats": O.long_sql(plan, names, sd, "SELECT type, count(*) AS count FROM long GROUP BY type"),
+        "indicator_stats_long": O.long_sql(plan, names, sd, "SELECT type, count(*) AS count FROM long GROUP BY type"),
         "max_dates": O.long_sql(plan, names, sd, "SELECT isin, type, max(date) AS date FROM long GROUP BY isin, type"),
         "last_quotation": f"SELECT isin, max(date) AS last_quotation FROM ({sd}) b GROUP BY isin",
         "pivot_subset": O.wide_sql(plan, PIVOT_SUBSET, sd),
