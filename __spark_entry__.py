@@ -235,6 +235,13 @@ def q_max_dates(spark, sf):
     return IND.max_dates_wide(IND.build_wide(_bars_sd(spark, sf), presence=True), names)
 
 
+def q_day_count(spark, sf):
+    """Running day count per instrument (1-based), from the exact numbering."""
+    from tidemark.operators.sequence import number_rows
+    n = number_rows(_bars_sd(spark, sf).select("isin", "date"), "isin", "date")
+    return n.select("isin", "date", (F.col("_rn") + 1).alias("Day_Count"))
+
+
 def q_last_quotation(spark, sf):
     return ING.last_quotation(B.supplier_day_quotes(spark, sf))
 
@@ -330,6 +337,12 @@ def q_elbow(spark, sf):
     return ML.elbow(_prepared(spark, sf))
 
 
+def q_confusion(spark, sf):
+    p = _prepared(spark, sf, "gt1")
+    train, test = p.randomSplit([0.8, 0.2], seed=ML.FOREST_SEED)
+    return ML.confusion(ML.train_forest(train, "gt1").transform(test), "gt1")
+
+
 def q_evaluate(spark, sf):
     return ML.evaluate(_ml_data(spark, sf), "gt1")
 
@@ -510,6 +523,8 @@ def oracle_sql() -> dict[str, str]:
         "indicator_stats_long": O.long_sql(plan, names, sd, "SELECT type, count(*) AS count FROM long GROUP BY type"),
         "max_dates": O.long_sql(plan, names, sd, "SELECT isin, type, max(date) AS date FROM long GROUP BY isin, type"),
         "last_quotation": f"SELECT isin, max(date) AS last_quotation FROM ({sd}) b GROUP BY isin",
+        "day_count": f"""SELECT isin, date, row_number() OVER (PARTITION BY isin ORDER BY date) AS "Day_Count"
+            FROM ({sd}) b""",
         "pivot_subset": O.wide_sql(plan, PIVOT_SUBSET, sd),
         "top_by_turnover": f"""
             WITH last AS (SELECT l_suppkey, max(l_shipdate) AS t FROM lineitem GROUP BY l_suppkey)

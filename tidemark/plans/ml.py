@@ -100,12 +100,25 @@ def train_kmeans(prepared: DataFrame, k: int = KMEANS_K, seed: int = KMEANS_SEED
 
 
 def elbow(prepared: DataFrame, ks=range(3, 90, 3), seed: int = KMEANS_SEED,
-          max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
-    """Within-cluster sum of squared errors for each k (29 fits by default)."""
-    rows = []
-    for k in ks:
-        m = train_kmeans(prepared, k, seed, max_iter)
-        rows.append((int(k), float(m.summary.trainingCost)))
+          max_iter: int = KMEANS_MAX_ITER, parallel_fits: int = 4) -> DataFrame:
+    """Within-cluster sum of squared errors for each k (29 fits by default).
+
+    The fits are independent Spark jobs over one persisted input, submitted
+    from a few driver threads so the cluster stays busy between the many
+    short k-means iterations; each fit keeps its own fixed seed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+
+    data = prepared.select("scaledFeatures").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        def fit(k):
+            return int(k), float(train_kmeans(data, k, seed, max_iter).summary.trainingCost)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+            rows = list(pool.map(fit, ks))
+    finally:
+        data.unpersist()
     return prepared.sparkSession.createDataFrame(rows, "k int, wssse double")
 
 
