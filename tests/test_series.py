@@ -129,3 +129,19 @@ def test_paired_chunked_matches_brute_force(spark, n):
                 exp = 0.0 if (v is None or o is None or v == 0 or o == 0) else v / o - 1
             g = got[(key, t)]
             assert (g is None and exp is None) or g == pytest.approx(exp)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_ema_multi_block_carry_scan(spark, monkeypatch, block):
+    """Tiny chunks and tiny carry blocks: every level of the carry scan runs."""
+    monkeypatch.setattr(SR, "CARRY_BLOCK", block)
+    rnd = random.Random(block)
+    data = [(k, i, None if rnd.random() < 0.1 else round(rnd.uniform(1, 9), 2))
+            for k in ["m", "n"] for i in range(rnd.randint(20, 45))]
+    df = spark.createDataFrame(data, "ISIN string, id int, val double")
+    got = rows(SR.ema(df, "val", "ema", 0.25, order="id", chunk_rows=3, bucket=1), "ema")
+    for key in ["m", "n"]:
+        series = sorted((i, v) for k, i, v in data if k == key)
+        for (i, _), e in zip(series, brute_ema([v for _, v in series], 0.25)):
+            g = got[(key, i)]
+            assert (g is None and e is None) or g == pytest.approx(e, rel=1e-9, abs=1e-9), (key, i)

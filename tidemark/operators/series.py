@@ -86,34 +86,47 @@ def _ema_chunk_rows(rate: float, chunk_rows: int) -> int:
     return max(1, min(chunk_rows, int(_MAX_LOG_SPAN / la)))
 
 
-def _carry_scan(rate: float):
-    a = 1.0 - rate
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_c")
-        carries, seeds = [], []
-        prev_e = None
-        prev_c = None
-        for c, b, end, x_b, y_end, uses_carry, end_null in zip(
-                pdf["_c"], pdf["_b"], pdf["_end"], pdf["_xb"], pdf["_yend"],
-                pdf["_usecarry"], pdf["_endnull"]):
-            # EMA entering the chunk; without one the segment starts at b
-            seed_b = not (prev_e is not None and prev_c == c - 1)
-            carry = x_b if seed_b else prev_e
-            carries.append(carry)
-            seeds.append(seed_b)
-            if end_null or carry is None:
-                e = None
-            elif uses_carry:
-                e = y_end + (a ** (end - b + 1)) * carry
-            else:
-                e = y_end
-            prev_e, prev_c = e, c
-        return pd.DataFrame({"_k": pdf["_k"].values, "_c": pdf["_c"].values,
-                             "_carry": pd.array(carries, dtype="Float64"),
-                             "_seedb": seeds})
-
-    return scan
+# Fixed-size blocks of chunk summaries for the two-level carry scan.
+CARRY_BLOCK = 1024
+
+
+def _affine_prefix(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 1, one (key, block) group of at most CARRY_BLOCK chunks: the map
+    from the carry entering the block to the carry entering each chunk
+    (prefix composition of carry[c+1] = A[c] * carry[c] + B[c]), plus the
+    whole block's map on its last row."""
+    pdf = pdf.sort_values("_c")
+    pa, pb = 1.0, 0.0
+    out_pa, out_pb, ta, tb = [], [], [], []
+    last = len(pdf) - 1
+    for i, (a, b) in enumerate(zip(pdf["_A"], pdf["_B"])):
+        out_pa.append(pa)
+        out_pb.append(pb)
+        # compose f_c after the prefix: v -> a * (pa v + pb) + b
+        if a == 0:
+            pa, pb = 0.0, b
+        else:
+            pa, pb = a * pa, a * pb + b
+        ta.append(pa if i == last else None)
+        tb.append(pb if i == last else None)
+    return pd.DataFrame({"_k": pdf["_k"].values, "_c": pdf["_c"].values, "_j": pdf["_j"].values,
+                         "_PA": out_pa, "_PB": pd.array(out_pb, dtype="Float64"),
+                         "_TA": pd.array(ta, dtype="Float64"), "_TB": pd.array(tb, dtype="Float64")})
+
+
+def _block_scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 2, one key: the carry entering every block (one row per block)."""
+    pdf = pdf.sort_values("_j")
+    carry = pdf["_xb0"].dropna().iloc[0] if pdf["_xb0"].notna().any() else None
+    starts = []
+    for ta, tb in zip(pdf["_TA"], pdf["_TB"]):
+        starts.append(carry)
+        if ta == 0 or pd.isna(ta):
+            carry = None if pd.isna(tb) else tb
+        else:
+            carry = None if (carry is None or pd.isna(tb)) else ta * carry + tb
+    return pd.DataFrame({"_k": pdf["_k"].values, "_j": pdf["_j"].values,
+                         "_cs": pd.array(starts, dtype="Float64")})
 
 
 def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN",
@@ -159,10 +172,36 @@ def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN",
                .select(F.col(key).alias("_k"), "_c", "_b", "_end", "_xb",
                        F.col("_last.y").alias("_yend"), F.col("_last.u").alias("_usecarry"),
                        F.col("_last.n").alias("_endnull")))
-    out_schema = T.StructType([T.StructField("_k", kt), T.StructField("_c", T.LongType()),
-                               T.StructField("_carry", T.DoubleType()),
-                               T.StructField("_seedb", T.BooleanType())])
-    carries = summary.groupBy("_k").applyInPandas(_carry_scan(rate), out_schema)
+    # neighbours by equi-joins on (key, chunk +/- 1): no window over a whole key
+    nxt = summary.select("_k", (F.col("_c") - 1).alias("_c"), F.col("_xb").alias("_xbn"))
+    prv = summary.select("_k", (F.col("_c") + 1).alias("_c"), F.col("_endnull").alias("_pendnull"))
+    maps = (summary.join(nxt, ["_k", "_c"], "left").join(prv, ["_k", "_c"], "left")
+            .select("_k", "_c", (F.floor(F.col("_c") / CARRY_BLOCK)).cast("long").alias("_j"),
+                    F.when(F.col("_c") == 0, F.col("_xb")).alias("_xb0"),
+                    ((F.col("_c") == 0) | F.coalesce(F.col("_pendnull"), F.lit(False))).alias("_seedb"),
+                    F.when(F.col("_endnull"), F.lit(0.0))
+                     .when(F.col("_usecarry"),
+                           F.pow(F.lit(a), (F.col("_end") - F.col("_b") + 1).cast("double")))
+                     .otherwise(F.lit(0.0)).alias("_A"),
+                    F.when(F.col("_endnull"), F.col("_xbn")).otherwise(F.col("_yend")).alias("_B")))
+    maps = materialize(maps, "ema_maps")
+    l1_schema = T.StructType([T.StructField("_k", kt), T.StructField("_c", T.LongType()),
+                              T.StructField("_j", T.LongType()),
+                              T.StructField("_PA", T.DoubleType()), T.StructField("_PB", T.DoubleType()),
+                              T.StructField("_TA", T.DoubleType()), T.StructField("_TB", T.DoubleType())])
+    l1 = maps.select("_k", "_c", "_j", "_A", "_B").groupBy("_k", "_j").applyInPandas(_affine_prefix, l1_schema)
+    l1 = materialize(l1, "ema_prefix")
+    blocks = (l1.where(F.col("_TA").isNotNull())
+              .join(maps.where(F.col("_c") == 0).select("_k", "_xb0"), "_k", "left")
+              .select("_k", "_j", "_TA", "_TB", F.when(F.col("_j") == 0, F.col("_xb0")).alias("_xb0")))
+    l2_schema = T.StructType([T.StructField("_k", kt), T.StructField("_j", T.LongType()),
+                              T.StructField("_cs", T.DoubleType())])
+    starts = blocks.groupBy("_k").applyInPandas(_block_scan, l2_schema)
+    carry = (F.when(F.col("_PA") == 0, F.col("_PB"))
+             .otherwise(F.col("_PA") * F.col("_cs") + F.col("_PB")))
+    carries = (l1.join(starts, ["_k", "_j"], "left")
+               .join(maps.select("_k", "_c", "_seedb"), ["_k", "_c"], "left")
+               .select("_k", "_c", carry.alias("_carry"), "_seedb"))
     j = p.join(carries, (p[key] == carries["_k"]) & (p["_c"] == carries["_c"]), "left")
     ab = F.pow(F.lit(a), (F.col(RN) - F.col("_b")).cast("double"))
     seeded_at_b = ab * F.col("_carry") + F.lit(rate) * ab * (F.col("_R") - F.col("_carry"))
