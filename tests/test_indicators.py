@@ -88,7 +88,8 @@ def test_chunking_is_exact(spark, bars001, bucket):
 
 def test_chunks_really_split(spark, bars001):
     from tidemark.operators.sequence import bucket_chunks
-    plan, _ = bucket_chunks(bars001, ["isin"], "date", 199, 30, 50, "day")
+    plan, _, nbytes = bucket_chunks(bars001, ["isin"], "date", 199, 30, 50, "day")
+    assert 0 < nbytes < 10 * 1024 * 1024
     per = plan.select("isin", F.explode("_targets").alias("t")).groupBy("isin").agg(
         F.countDistinct("t.c").alias("chunks"), F.sum(F.col("t.h").cast("int")).alias("halo"))
     r = per.agg(F.min("chunks"), F.max("chunks"), F.sum("halo")).first()

@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.sizing import maybe_broadcast
 
 RN = "_rn"
 CHUNK = "_chunk"
@@ -123,8 +122,12 @@ def _static_bucket_bound(df: DataFrame, order: str, bucket) -> int | None:
     return None
 
 
+# Largest chunk plan broadcast to the row join (its size is counted exactly).
+MAX_PLAN_BROADCAST_BYTES = 512 * 1024 * 1024
+
+
 def bucket_chunks(df: DataFrame, keys: list[str], order: str, back: int, fwd: int,
-                  chunk_rows: int, bucket) -> tuple[DataFrame, Column]:
+                  chunk_rows: int, bucket) -> tuple[DataFrame, Column, int]:
     """Chunk assignment decided on the small (key, bucket) count table.
 
     Chunks are runs of whole buckets: bucket k (rows [start, end) of its
@@ -138,9 +141,15 @@ def bucket_chunks(df: DataFrame, keys: list[str], order: str, back: int, fwd: in
     bk = "_bk"
     bcol = _bucket_expr(df, order, bucket)
     counts = df.select(*keys, bcol.alias(bk)).groupBy(*keys, bk).agg(F.count(F.lit(1)).alias("_n"))
+    # one small job: bucket count (exact size of the plan table, for the
+    # broadcast decision), widest key, largest bucket
+    st = counts.agg(F.count(F.lit(1)).alias("rows"), F.max("_n").alias("big"),
+                    *[F.max(F.length(F.col(k).cast("string"))).alias(f"len{i}")
+                      for i, k in enumerate(keys)]).first()
+    plan_bytes = int(st["rows"] or 0) * (48 + sum(int(st[f"len{i}"] or 0) for i in range(len(keys))))
     max_bucket = _static_bucket_bound(df, order, bucket)
     if max_bucket is None:
-        max_bucket = counts.agg(F.max("_n")).first()[0] or 0
+        max_bucket = int(st["big"] or 0)
     c = max(int(chunk_rows), int(max_bucket) + max(back, fwd) + 1)
     by_key = Window.partitionBy(*keys).orderBy(bk)
     t = (counts.withColumn("_end", F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
@@ -161,7 +170,7 @@ def bucket_chunks(df: DataFrame, keys: list[str], order: str, back: int, fwd: in
                F.struct(F.col("_prev").alias("c"), F.lit(True).alias("h"))),
     )
     plan = t.select(*keys, bk, F.filter(entries, lambda x: x.isNotNull()).alias("_targets"))
-    return plan, bcol
+    return plan, bcol, plan_bytes
 
 
 def series_window(df: DataFrame, key: str | list[str], order: str | list[str],
@@ -181,8 +190,11 @@ def series_window(df: DataFrame, key: str | list[str], order: str | list[str],
         chunked = split_series(numbered, back, fwd, chunk_rows)
         out = layers(chunked, chunk_window(keys))
         return out.where(~F.col(HALO)).drop(CHUNK, HALO)
-    plan, bcol = bucket_chunks(df, keys, orders[0], back, fwd, chunk_rows, bucket)
-    plan = maybe_broadcast(plan)
+    plan, bcol, plan_bytes = bucket_chunks(df, keys, orders[0], back, fwd, chunk_rows, bucket)
+    # a broadcast plan keeps the rows to a single shuffle (on key, chunk);
+    # beyond the bound the planner falls back to a shuffle join
+    if plan_bytes <= MAX_PLAN_BROADCAST_BYTES:
+        plan = F.broadcast(plan)
     rows = df.withColumn("_bk", bcol).join(plan, [*keys, "_bk"], "inner")
     e = F.explode("_targets").alias("_e")
     chunked = (rows.select("*", e).drop("_targets", "_bk")
