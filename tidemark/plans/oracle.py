@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from tidemark.plans import spec as S
 
-QUANT_SCALE = 1e6
-QUANT_OFFSET = 0.3183098
 
 
 def Q(expr: str) -> str:
