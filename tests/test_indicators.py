@@ -140,3 +140,11 @@ def test_one_window_exchange(spark, bars001):
     assert len(chunk_ex) == 1           # one shuffle of the rows for all 69 series
     # the only other exchanges are over the small (isin, bucket) count table
     assert all("_bk" in l or "_c#" in l or "hashpartitioning(isin#" in l for l in exchanges)
+
+
+def test_scan_prunes_columns(spark, bars001):
+    plan = IND.build_wide(bars001, columns=["XS"])._jdf.queryExecution().executedPlan().toString()
+    schemas = [l[l.index("ReadSchema"):] for l in plan.split("\n") if "ReadSchema" in l]
+    assert schemas
+    for s in schemas:
+        assert "Turnover" not in s and "Number_of_Shares" not in s
