@@ -40,6 +40,7 @@ class _Builder:
         self.idx = S.by_name(plan)
         self.w = w
         self._presence: dict[str, Column | None] = {}
+        self.materialized: set[str] = set()
 
     def presence(self, name: str) -> Column | None:
         """Whether the row-based operator would have emitted a row (None =
@@ -59,6 +60,12 @@ class _Builder:
         self._presence[name] = p
         return p
 
+    def presence_ref(self, name: str) -> Column | None:
+        """Presence as a column computed with its series (no second window)."""
+        if name in self.materialized:
+            return F.col(_q(PRESENT + name))
+        return self.presence(name)
+
     def expr(self, s: S.Series) -> Column:
         w = self.w
         x = [F.col(i) for i in s.inputs]
@@ -84,9 +91,9 @@ class _Builder:
         if op == "rate":
             return C.rate(x[0], x[1])
         if op == "class":
-            return C.classify(x[0], self.presence(s.inputs[0]))
+            return C.classify(x[0], self.presence_ref(s.inputs[0]))
         if op == "gt":
-            return C.bin_gt(x[0], s.n, self.presence(s.inputs[0]))
+            return C.bin_gt(x[0], s.n, self.presence_ref(s.inputs[0]))
         raise ValueError(f"unknown operator {op}")
 
 
@@ -110,14 +117,17 @@ def build_wide(quotes: DataFrame, plan=None, columns: list[str] | None = None,
     back, fwd = S.reach(needed)
     layers = S.layering(needed)
 
+    label_sources = {s.inputs[0] for s in needed if s.op in ("class", "gt")}
+
     def run(df: DataFrame, w: Window) -> DataFrame:
         b = _Builder(needed, w)
         for layer in layers[1:]:
             cols = [b.expr(s).alias(s.name) for s in layer]
-            if presence:
-                for s in layer:
-                    p = b.presence(s.name)
+            for s in layer:
+                p = b.presence(s.name)
+                if presence or (s.name in label_sources and p is not None):
                     cols.append((p if p is not None else F.lit(True)).alias(PRESENT + s.name))
+                    b.materialized.add(s.name)
             df = df.select("*", *cols)
         return df
 
