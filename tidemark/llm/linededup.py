@@ -13,15 +13,13 @@ Defined cases: a null or empty text is one empty line. Keys shorter than ``min_c
 code points are never dropped. Repeated rows: each row is a document of its own in the
 output; rows that share an id count as one document. Null ids count as one document and
 keep their rows apart. Extra columns pass through; an empty table gives no rows.
-
-Rows are told apart by their place in the input while they are apart, so give a table that
-reads the same again (files, not an unordered shuffle): a lost executor then repeats them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import P
 from tidemark.session import materialize
@@ -67,9 +65,10 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = materialize(frequent_keys(docs, id_col, text_col, min_docs, min_chars), "line_keys")
     limit = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
     small = frequent.count() * KEY_BYTES <= limit
-    row = F.monotonically_increasing_id()
     others = [c for c in docs.columns if c != text_col]
-    numbered = docs.select(row.alias(P + "row"), F.struct(*[F.col(c) for c in others]).alias(P + "rest"),
+    hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    numbered = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("h")).alias(P + "row"),
+                           F.struct(*[F.col(c) for c in others]).alias(P + "rest"),
                            F.posexplode(_lines(F.col(text_col))).alias(P + "pos", P + "line"))
     lines = numbered.select(P + "row", P + "pos", P + "line", F.when(F.col(P + "pos") == 0, F.col(P + "rest")).alias(P + "rest"),
                             *_hashes(line_key(F.col(P + "line"))))
@@ -79,14 +78,18 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = flagged.select(P + "row", P + "rest", F.struct(
         F.col(P + "pos").alias("pos"), F.when(F.coalesce(gone, F.lit(False)), F.lit(None)).otherwise(F.col(P + "line")).alias("line")
     ).alias(P + "item"))
+    # rows alike in all columns meet here: their lines count once, and they are dealt out again below
     whole = kept.groupBy(P + "row").agg(F.first(P + "rest", ignorenulls=True).alias(P + "rest"),
-                                        F.sort_array(F.collect_list(P + "item")).alias(P + "items"))
+                                        F.count_if(F.col(P + "item.pos") == 0).alias(P + "copies"),
+                                        F.sort_array(F.collect_set(P + "item")).alias(P + "items"))
     items = F.col(P + "items")
     stay = F.filter(items, lambda x: x["line"].isNotNull())
     cols = [F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias(c) if c == text_col
             else F.col(f"{P}rest.`{c}`").alias(c) for c in docs.columns]
-    return whole.select(*cols, F.size(items).cast("long").alias("n_lines"),
-                        (F.size(items) - F.size(stay)).cast("long").alias("n_dropped"))
+    out = whole.select(P + "copies", *cols, F.size(items).cast("long").alias("n_lines"),
+                       (F.size(items) - F.size(stay)).cast("long").alias("n_dropped"))
+    return (out.withColumn(P + "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(P + "copies"))))
+            .drop(P + "copy", P + "copies"))
 
 
 def _bytes(text: str) -> int:

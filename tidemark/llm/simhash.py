@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import P, as_bytes, by_value, small_batches
 from tidemark.llm.graph import components
@@ -168,15 +169,31 @@ def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .select("fp", F.coalesce("class", "fp").alias("class")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS, keep: list | None = None) -> DataFrame:
-    """One row per document: id, kept columns, fingerprint (16 hex digits), component_id."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, keep: list | None) -> DataFrame:
+    """id, kept columns, fp, class and component_id of every document."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle, keep), "simhash")
     per_fp = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash_fp")
     cls = materialize(classes(per_fp.select("fp"), max_bits), "simhash_class")
     # every class's smallest id, then back to its fingerprints: both tables hold distinct fingerprints
     least = per_fp.join(cls, "fp").groupBy("class").agg(F.min("least").alias("component_id"))
-    named = cls.join(least, "class").select("fp", "component_id")
-    out = rows.join(named, "fp")
-    return out.select(*[c for c in rows.columns if c != "fp"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                      "component_id")
+    return rows.join(cls.join(least, "class"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits), component_id."""
+    return _classed(docs, id_col, text_col, shingle, max_bits, None).select(
+        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                  max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each group: the smallest id (an id before none; then by
+    a hash of the row). Rows alike in every column are one document."""
+    cols = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    key = [F.xxhash64(*cols).alias(P + "r1"), F.xxhash64(F.lit("row"), *cols).alias(P + "r2")]
+    rows = _classed(docs, id_col, text_col, shingle, max_bits, key)
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), P + "r1", P + "r2")).alias("w"))
+    names = [P + "r1", P + "r2"]
+    winners = materialize(first.select(*[F.col("w." + n).alias(n) for n in names]).distinct(), "simhash_winners")
+    return docs.select("*", *key).join(winners, names).dropDuplicates(names).drop(*names)
