@@ -34,6 +34,14 @@ from tidemark.session import checkpoint_dir, materialize  # noqa: E402
 from tidemark.sources import bars as B  # noqa: E402
 from tidemark.sources import fixtures as FX  # noqa: E402
 
+try:  # the training-data operators and their pipeline can be taken out as a whole
+    import corpus_pipeline
+    from tidemark.llm import queries as LLM
+except ModuleNotFoundError as missing:
+    if (missing.name or "").split(".")[:2] not in (["corpus_pipeline"], ["tidemark", "llm"]):
+        raise
+    corpus_pipeline = LLM = None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 # Fixed parameters of the registered queries.
@@ -375,8 +383,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: fn for name, fn in globals().items()
-            if name.startswith("q_") and callable(fn) and name != "q6"}
+    own = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    return own if LLM is None else own | LLM.queries() | {"pipeline": corpus_pipeline.run}
 
 
 # --- oracle SQL -----------------------------------------------------------------
@@ -577,4 +585,4 @@ wl AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS isin FROM supplier
         "precision_reduce": _precision_sql(),
         "minmax_scaled": _minmax_sql(),
     }
-    return out
+    return out if LLM is None else out | LLM.oracle_sql()
