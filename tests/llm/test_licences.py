@@ -1,0 +1,36 @@
+from tidemark.llm import licences
+
+
+def scan(spark, texts, **kw):
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, sid string")
+    return sorted((str(r.doc_id), r.rule_id, r.licence, r.n_sentences) for r in licences.scan(df, **kw).collect())
+
+
+MIT = [licences.SENTENCES[k] for k in ("mit-grant", "mit-notice", "mit-warranty")]
+
+
+def wrap(text, width=60):
+    import textwrap
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_lines_wrapped_text_and_case(spark):
+    texts = [(1, "Some prose. Released under the MIT License.\nmore"), (2, "a | b | c\nlicensed UNDER the Apache License, version 2.0\nz"),
+             (3, wrap(MIT[0]) + "\n\n" + wrap(MIT[1]) + "\n\n" + wrap(MIT[2]) + " Bye."), (4, MIT[0] + "\n" + MIT[1]), (5, "Licensed under something else."),
+             (6, None), (7, ""), (None, "Licensed under CC BY-NC 4.0."), (8, "word " * 40_000 + "\nLicensed under CC BY 4.0.")]
+    assert scan(spark, texts) == [("1", "mit-named", "MIT", 1), ("2", "apache-named", "Apache-2.0", 1), ("3", "mit-text", "MIT", 3),
+                                  ("4", "mit-short", "MIT", 2), ("8", "cc-by", "CC-BY-4.0", 1), ("None", "cc-by-nc", "CC-BY-NC-4.0", 1)]
+
+
+def test_order_gap_and_cover(spark):
+    fill = "Unknown words stand here. " * 3
+    texts = [(1, MIT[1] + " " + MIT[0]), (2, MIT[0] + " " + fill + MIT[1]), (3, MIT[0] + " " + fill * 3 + MIT[1]),
+             (4, "Released under the MIT License. Licensed under the Apache License, Version 2.0."),
+             (5, "Licensed under CC BY 4.0. " * 3), (5, "Licensed under CC BY 4.0. " * 3)]
+    assert scan(spark, texts) == [("2", "mit-short", "MIT", 2), ("4", "mit-or-apache", "MIT OR Apache-2.0", 2)] + [("5", "cc-by", "CC-BY-4.0", 1)] * 3
+
+
+def test_own_rules_and_empty(spark):
+    rules = {"r": ("X", ["one", "two"])}
+    assert scan(spark, [(1, "First thing. Second thing.")], sentences={"one": "First thing", "two": "second thing!"}, rules=rules) == [("1", "r", "X", 2)]
+    assert scan(spark, []) == []

@@ -1,0 +1,73 @@
+"""Registered queries vs their DuckDB oracles on the sf0.001 tables; the pipeline vs plain Python."""
+from collections import Counter
+
+import __spark_entry__ as E
+import corpus_pipeline
+import duckdb
+import pytest
+from brute import contaminated, fingerprint, groups, line_dedup
+from scripts.check_oracle import TABLES, norm
+
+from tidemark.llm import queries
+from tidemark.session import materialize
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_query_matches_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    got = Counter(tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    rel = con.sql(E.oracle_sql()[name])
+    cols = rel.columns
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    assert sorted(cols) == sorted(df.columns)
+    assert got == Counter(tuple(norm(r[i]) for i in order) for r in rel.fetchall())
+
+
+def test_registered():
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert E.queries()["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_pipeline_stages_equal_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, out = docs.columns, [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(materialize(stage(spark, out[-1], SF), name))
+    rows = [[r.asDict() for r in d.collect()] for d in out]
+    assert all(d.columns == columns for d in out[:-1])
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    kept = {r["doc_id"]: r for r in rows[1]}  # quality: rows only go
+    assert kept.items() <= {r["doc_id"]: r for r in rows[0]}.items() and len(kept) < len(rows[0])
+    texts = line_dedup([(i, r["text"]) for i, r in kept.items()], 10)
+    assert {r["doc_id"]: r["text"] for r in rows[2]} == dict(zip(kept, texts))
+    assert all(r["n_chars"] == len(r["text"]) for r in rows[2])
+    ids = [r["doc_id"] for r in rows[2]]
+    least = {}
+    for i, g in zip(ids, groups([fingerprint(r["text"]) for r in rows[2]])):
+        least[g] = min(i, least.get(g, i))
+    assert sorted(r["doc_id"] for r in rows[3]) == sorted(least.values())
+    clean = {r["doc_id"] for r in rows[3] if not contaminated(r["text"], items)}
+    assert {r["doc_id"] for r in rows[4]} == clean
+    assert {r["doc_id"] for r in rows[5]} <= clean and sum(r["n_taken"] for r in rows[5]) > 0
+
+
+def test_stages_take_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, None, None, None, None), (1, None, "en", "src0", 0), (1, "", None, "src1", 0), (2, "a b", "en", None, 3), (2, "a b", "en", None, 3),
+           (3, "word " * 30_000, "de", "weird source", 150_000)]
+    for _, stage in corpus_pipeline.STAGES:
+        for rows in (odd, []):
+            d = stage(spark, spark.createDataFrame(rows, schema), SF)
+            assert set(columns := schema.replace(" long", "").replace(" string", "").split(", ")) <= set(d.columns) and columns
+            d.collect()

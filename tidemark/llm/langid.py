@@ -17,7 +17,8 @@ not among the reference's ``ALPHABET`` most frequent are one shared symbol.
 Defined cases: null text, empty text or text without a letter gives `und` with score 0.
 Ties go to the language first in alphabetical order. Rows with null lang, and those held
 out, are not learned from. No labelled rows: every text is `und`. Repeated rows are
-predicted one by one; extra columns pass through; an empty table gives no rows.
+predicted one by one; extra columns pass through, but one named lang_pred or score is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -195,6 +196,7 @@ def train(docs: DataFrame, seen, id_col: str = "doc_id", text_col: str = "text",
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1)."""
+    docs = docs.drop("lang_pred", "score")
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text_col)

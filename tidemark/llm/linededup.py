@@ -12,7 +12,8 @@ the lines are joined by shuffle, where adaptive execution splits a frequent key'
 Defined cases: a null or empty text is one empty line. Keys shorter than ``min_chars``
 code points are never dropped. Repeated rows: each row is a document of its own in the
 output; rows that share an id count as one document. Null ids count as one document and
-keep their rows apart. Extra columns pass through; an empty table gives no rows.
+keep their rows apart. Extra columns pass through, but one named n_lines or
+n_dropped is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,6 +66,7 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = materialize(frequent_keys(docs, id_col, text_col, min_docs, min_chars), "line_keys")
     limit = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
     small = frequent.count() * KEY_BYTES <= limit
+    docs = docs.drop("n_lines", "n_dropped")
     others = [c for c in docs.columns if c != text_col]
     hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     numbered = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("h")).alias(P + "row"),

@@ -16,7 +16,9 @@ Tokens are runs of characters other than ASCII whitespace. Defined cases: null o
 texts have no token and are never selected. A null domain, language or source is the empty
 name. Weights are integers; a node without one has weight 1, and weight 0 (or below) takes
 nothing. Repeated rows are documents of their own, side by side in the order. A budget over
-all capacity is cut to it. Extra columns pass through; an empty table gives no rows.
+all capacity is cut to it. Extra columns pass through, but one named epoch, n_tokens or
+n_taken is replaced, and a level's name is added only where the table has no such column.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -113,31 +115,31 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[tupl
         P + "tokens", tokens(F.col(text_col)))
     todo = plan(placed.select(*names, P + "tokens"), names, {P + k: v for k, v in weights.items()}, budget, share, max_epochs)
     # one row per leaf: Spark broadcasts it if its written size is small, else joins by shuffle
-    rows = placed.join(todo.drop("tokens", "quota"), names).where(F.col(P + "tokens") > 0)
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    partial = rows.where(F.col("take") > 0).withColumn(P + "order", order).withColumn(
-        P + "range", F.expr(f"substr({P}order, 1, digits)"))
-    sums = partial.groupBy(*names, P + "range", "take").agg(F.sum(P + "tokens").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(W.partitionBy(*names).orderBy(P + "range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = (sums.withColumn("before", before).where((F.col("before") < F.col("take")) & (F.col("before") + F.col("sum") >= F.col("take")))
-           .select(*names, F.col(P + "range").alias("cut"), "before"))
-    cut = materialize(cut, "mix_cuts")
-    met = partial.join(cut, names)
+    todo = todo.select(*names, *[F.col(c).alias(P + c) for c in ("epochs", "take", "digits")])
+    rows = placed.join(todo, names).where(F.col(P + "tokens") > 0)
+    epochs, take, cut, before, start = (F.col(P + c) for c in ("epochs", "take", "cut", "before", "start"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), epochs, F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    partial = rows.where(take > 0).withColumn(P + "order", order).withColumn(
+        P + "range", F.expr(f"substr({P}order, 1, {P}digits)"))
+    sums = partial.groupBy(*names, P + "range", P + "take").agg(F.sum(P + "tokens").alias("sum"))
+    ahead = W.partitionBy(*names).orderBy(P + "range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn(P + "before", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))
+    cuts = sums.where((before < take) & (before + F.col("sum") >= take)).select(*names, F.col(P + "range").alias(P + "cut"), P + "before")
+    met = partial.join(materialize(cuts, "mix_cuts"), names)
     own = W.partitionBy(*names).orderBy(P + "order", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), P + "tokens")
-    inside = met.where(F.col(P + "range") == F.col("cut")).withColumn(
-        P + "start", F.col("before") + F.coalesce(F.sum(P + "tokens").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    last = inside.where(F.col(P + "start") < F.col("take")).withColumn(
-        "n_taken", F.least(F.col(P + "tokens"), F.col("take") - F.col(P + "start"))).withColumn("epoch", F.col("epochs"))
-    whole = met.where(F.col(P + "range") < F.col("cut")).withColumn("n_taken", F.col(P + "tokens")).withColumn("epoch", F.col("epochs"))
-    full = (rows.where(F.col("epochs") > 0).withColumn("n_taken", F.col(P + "tokens"))
-            .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))))
-    cols = [F.col(c) for c in docs.columns]
-    tail = [F.col("epoch"), F.col(P + "tokens").alias("n_tokens"), F.col("n_taken")]
-    kept = [F.col(n).alias(k) for n, k in zip(names, levels) if k not in docs.columns]
-    shortened = last.withColumn(text_col, F.when(F.col("n_taken") < F.col(P + "tokens"), first_tokens(F.col(text_col), F.col("n_taken")))
-                                .otherwise(F.col(text_col)))
-    return (full.select(*cols, *kept, *tail).unionByName(whole.select(*cols, *kept, *tail))
-            .unionByName(shortened.select(*cols, *kept, *tail)))
+    inside = met.where(F.col(P + "range") == cut).withColumn(
+        P + "start", before + F.coalesce(F.sum(P + "tokens").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    count = F.col(P + "tokens")
+    last = inside.where(start < take).withColumns({P + "taken": F.least(count, take - start), P + "epoch": epochs})
+    last = last.withColumn(text_col, F.when(F.col(P + "taken") < count, first_tokens(F.col(text_col), F.col(P + "taken"))).otherwise(F.col(text_col)))
+    whole = met.where(F.col(P + "range") < cut).withColumns({P + "taken": count, P + "epoch": epochs})
+    full = (rows.where(epochs > 0).withColumn(P + "taken", count)
+            .withColumn(P + "epoch", F.explode(F.sequence(F.lit(0), epochs - 1))))
+    added = {"epoch": "epoch", "n_tokens": "tokens", "n_taken": "taken"}
+    cols = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    cols += [F.col(n).alias(k) for n, k in zip(names, levels) if k not in docs.columns]
+    cols += [F.col(P + v).alias(k) for k, v in added.items()]
+    return full.select(*cols).unionByName(whole.select(*cols)).unionByName(last.select(*cols))
 
 
 def first_tokens(text: Column, n: Column) -> Column:

@@ -7,7 +7,8 @@ most) and, a few kilobytes of arrays, travel with the scoring function.
 Defined cases: null or empty text has all statistics zero and is scored like any other.
 Rows without a label, and labels other than 0 and 1, are not learned from. Repeated rows
 are scored one by one. A document labelled twice counts with each label. No labelled rows:
-every score is 0.5. Extra columns pass through; an empty table gives no rows.
+every score is 0.5. Extra columns pass through, but one named score or predicted is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, seen, id_col: str = "doc_id", text
 
 def score(docs: DataFrame, model: boosting.Trees, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score column (0 to 1)."""
+    docs = docs.drop(out)
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

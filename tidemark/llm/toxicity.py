@@ -10,8 +10,8 @@ class at most) in a seeded order and returns the non-zero weights. Scoring is a
 
 Defined cases: null or empty text has no feature and gets the bias's score. Rows without
 a label, and labels other than 0 and 1, are not learned from. Repeated rows are scored one
-by one. No labelled rows: every score is 0.5. Extra columns pass through; an empty table
-gives no rows.
+by one. No labelled rows: every score is 0.5. Extra columns pass through, but one named
+score or predicted is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, seen, id_col: str = "doc_id", text
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text",
           out: str = "score") -> DataFrame:
+    docs = docs.drop(out)
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     slot, weight, bias = model
