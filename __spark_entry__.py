@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,7 +33,10 @@ from tidemark.plans import reports as REP  # noqa: E402
 from tidemark.plans import spec as S  # noqa: E402
 from tidemark.session import checkpoint_dir, materialize  # noqa: E402
 from tidemark.sources import bars as B  # noqa: E402
+from tidemark.sources import csv as CSV  # noqa: E402
+from tidemark.sources import export as EX  # noqa: E402
 from tidemark.sources import fixtures as FX  # noqa: E402
+from tidemark.sources.store import Store  # noqa: E402
 
 try:  # the training-data operators and their pipeline can be taken out as a whole
     import corpus_pipeline
@@ -47,6 +51,8 @@ SF_SMOKE = "/root/testdata/sf0.001"
 # Fixed parameters of the registered queries.
 AS_OF = dt.date(1998, 8, 2)          # "today" of the recent-window reports
 SPLIT = dt.date(1998, 1, 1)          # stored / new cut for the ingestion queries
+NULL_DAY = dt.date(1995, 6, 17)
+EXPORT_COLS = ["Close", "XS", "P-XS-5", "BOL-H-XS", "gt1"]
 BATCH_FROM = dt.date(1997, 7, 1)     # new batches overlap the stored history
 FETCH_AS_OF = dt.date(2002, 1, 1)
 TOP_N = 20
@@ -90,7 +96,8 @@ def _long_q(df: DataFrame) -> DataFrame:
 
 
 def _wide(spark, sf, columns=None) -> DataFrame:
-    return IND.build_wide(_bars_sd(spark, sf), columns=columns)
+    bars = _bars_sd(spark, sf)
+    return IND.build_wide(bars, columns=columns, chunks=LF.chunk_plan(bars).stored())
 
 
 def _scored(data: DataFrame) -> DataFrame:
@@ -174,9 +181,10 @@ def q_rate(spark, sf):
 
 
 def q_label_class(spark, sf):
-    base = _base(spark, sf)
-    xs = LF.ma_plus(base, "Close", "XS", 3)
-    ind = LF.union_all([base, xs, LF.performance(xs, "XS", 15)])
+    bars = _bars_sd(spark, sf)
+    plan, base = LF.chunk_plan(bars).stored(), LF.base_series(bars)
+    xs = LF.ma_plus(base, "Close", "XS", 3, plan=plan)
+    ind = LF.union_all([base, xs, LF.performance(xs, "XS", 15, plan=plan)])
     return _long_q(LF.classification(ind, "P-XS+15"))
 
 
@@ -221,6 +229,20 @@ def q_serie_rate(spark, sf):
     return quantize(SR.rate(_serie(spark, sf), "Close", "Open", "r"))
 
 
+def q_serie_perf_null_keys(spark, sf):
+    """Rows without a key (one series) and rows without a date (first in theirs)."""
+    d = _serie(spark, sf).withColumns({"isin": F.nullif("isin", F.lit("7")), "date": F.nullif("date", F.lit(NULL_DAY))})
+    return quantize(SR.performance(d, "Close", "p", 5, key="isin", order="date"))
+
+
+def q_features_wide_nulls(spark, sf):
+    """Missing closes (every ninth day of a month) and highs: the rows stay."""
+    b = _bars_sd(spark, sf).withColumns({
+        "Close": F.when(F.dayofmonth("date") % 9 != 0, F.col("Close")),
+        "High": F.when(F.col("Number_of_Trades") < 2, F.col("High"))})
+    return quantize(IND.build_wide(b))
+
+
 def q_features_wide(spark, sf):
     return quantize(_wide(spark, sf))
 
@@ -274,8 +296,7 @@ def _stored_and_batch(spark, sf):
 
 def q_fetch_plan(spark, sf):
     stored, _ = _stored_and_batch(spark, sf)
-    listed = (FX.stock(spark, sf).where(F.col("Turnover") > 0)
-              .select(F.col("ISIN").alias("isin"), F.col("Last_DateTime").alias("to")))
+    listed = ING.top_by_turnover(FX.stock(spark, sf), TOP_N)
     return ING.fetch_plan(listed, ING.last_quotation(stored), as_of=F.lit(FETCH_AS_OF))
 
 
@@ -284,6 +305,68 @@ def q_incremental_append(spark, sf):
     return quantize(ING.incremental_append(batch, stored))
 
 
+def q_upsert_append(spark, sf):
+    """New days are added and stored days corrected (here: Open set to Close)."""
+    stored, batch = _stored_and_batch(spark, sf)
+    return quantize(ING.upsert(batch.withColumn("Open", F.col("Close")), stored))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
+def q_quotes_csv_roundtrip(spark, sf):
+    """Bars written as vendor quote files (after junk lines) and read back."""
+    path = _scratch(spark, "quotes")
+    b = _bars_sd(spark, sf)
+    rows = b.select("isin", F.lit("XPAR").alias("MIC"), F.date_format("date", CSV.QUOTE_DATE_FORMAT).alias("Date"), "Open", "High", "Low",
+                    "Close", "Number_of_Shares", "Number_of_Trades", F.col("Turnover").cast("string").alias("Turnover"), F.lit("EUR").alias("Currency"))
+    rows.write.csv(path)
+    b.select(F.concat(F.lit("Historical data of "), "isin")).distinct().write.mode("append").text(path)
+    return quantize(CSV.read_quotes(spark, path).select("isin", "date", *O.BAR_COLS))
+
+
+def q_stock_csv_roundtrip(spark, sf):
+    """The instrument list written in the vendor's layout and read back."""
+    path = _scratch(spark, "stock")
+    null = F.lit(None).cast("double")
+    isin = F.concat(F.lit("FR"), F.lpad("ISIN", 9, "0"), F.lit("0"))
+    st = FX.stock(spark, sf).select(
+        "Name", isin.alias("ISIN"), "Symbol", "Market", F.lit("EUR").alias("c"), null.alias("o"), null.alias("h"), null.alias("l"), null.alias("x"),
+        F.date_format("Last_DateTime", CSV.LIST_TIMESTAMP_FORMAT).alias("t"), F.lit("CET").alias("z"), null.alias("v"), "Turnover")
+    st.write.option("sep", ";").csv(path)
+    back = CSV.read_instrument_list(spark, path)
+    return quantize(back.select("Name", "ISIN", "Symbol", "Market", "Trading_Currency", F.to_date("Last_DateTime").alias("Last_Day"), "Turnover"))
+
+
+def _own_store(spark) -> Store:
+    return Store(spark, f"tidemark_{uuid.uuid4().hex[:12]}")
+
+
+def q_long_store_roundtrip(spark, sf):
+    """Series appended to the long store, one of them dropped again, the rest read back."""
+    store = _own_store(spark)
+    store.init_indicator()
+    long = IND.build_long(_bars_sd(spark, sf), columns=["Close", "XS", "P-XS-5"])
+    store.append_indicator(long.where(F.col("type") != "Close"))
+    store.append_indicator(long.where(F.col("type") == "Close"))
+    store.drop_indicator("XS")
+    out = materialize(_long_q(store.table("indicator")), "long_store")
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    return out
+
+
+def q_export_roundtrip(spark, sf):
+    """The feature table exported as CSV and read back."""
+    store, path = _own_store(spark), _scratch(spark, "export")
+    store.overwrite("data", _wide(spark, sf, EXPORT_COLS))
+    EX.export(store, path)
+    back = spark.read.option("header", True).schema(store.table("data").schema).csv(f"{path}/data")
+    out = materialize(quantize(back), "export")
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    return out
+
+
 def q_recent_window(spark, sf):
     d = _wide(spark, sf, ["Close", "XS"])
     return quantize(ML.recent(d, AS_OF))
@@ -323,55 +406,115 @@ def q_minmax_scaled(spark, sf):
     return _posexplode(ML.feature_pipeline(ts).transform(ts), "scaledFeatures")
 
 
-# rows-only (model outputs) ---------------------------------------------------
+# model outputs ----------------------------------------------------------------
+# A fitted model's numbers have no SQL. These queries return the rows that SQL can
+# derive (which rows are scored, the split's label counts, the latest days), each with
+# `valid`: an invariant computed apart from the model's own transform. They do not prove
+# that a forest or a clustering is the one another implementation would fit.
+
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("int").alias("valid")
+
 
 def _prepared(spark, sf, label=None):
     ts = materialize(ML.training_set(_ml_data(spark, sf), label, extra=["isin", "date"]), "train")
     return ML.feature_pipeline(ts).transform(ts)
 
 
+def _argmax_ok(label: str) -> Column:
+    """The prediction is the likelier class of probabilities that sum to 1."""
+    from pyspark.ml.functions import vector_to_array
+    p = vector_to_array(ML.q(ML.probability_col(label)))
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return (F.abs(total - 1) < 1e-9) & (F.array_position(p, F.array_max(p)) - 1 == ML.q(ML.predicted_col(label)))
+
+
 def q_rf_predict(spark, sf):
     p = _prepared(spark, sf, "gt1")
     m = ML.train_forest(p, "gt1")
-    return m.transform(p).select("isin", "date", ML.q(ML.predicted_col("gt1")))
+    return m.transform(p).select("isin", "date", _flag(_argmax_ok("gt1")))
 
 
 def q_kmeans_assign(spark, sf):
+    """Every row's centre is the nearest one."""
     p = _prepared(spark, sf)
-    return ML.train_kmeans(p).transform(p).select("isin", "date", "kmeans")
+    model = ML.train_kmeans(p)
+    d = ML.center_distances(model.clusterCenters())
+    near = F.get(d, F.col("kmeans")) <= F.array_min(d) * (1 + 1e-9) + 1e-12
+    return model.transform(p).select("isin", "date", _flag(near))
 
 
 def q_elbow(spark, sf):
-    return ML.elbow(_prepared(spark, sf))
+    """Each k's error is positive and at most that of one centre."""
+    from pyspark.ml.stat import Summarizer
+    p = _prepared(spark, sf)
+    s = p.select(Summarizer.variance(F.col("scaledFeatures")).alias("v"), Summarizer.count(F.col("scaledFeatures")).alias("n")).first()
+    one = float(s["v"].toArray().sum()) * (s["n"] - 1) if s["n"] > 1 else 0.0
+    return ML.elbow(p).select("k", _flag((F.col("wssse") > 0) & (F.col("wssse") <= one * (1 + 1e-9))))
 
 
 def q_confusion(spark, sf):
-    p = _prepared(spark, sf, "gt1")
-    train, test = p.randomSplit([0.8, 0.2], seed=ML.FOREST_SEED)
-    return ML.confusion(ML.train_forest(train, "gt1").transform(test), "gt1")
+    """Row totals of the confusion matrix: the test rows of each label."""
+    train, test = ML.split_by_hash(_prepared(spark, sf, "gt1"))
+    cells = ML.confusion(ML.train_forest(train, "gt1").transform(test), "gt1")
+    return cells.groupBy("gt1").agg(F.sum("count").alias("rows"), (F.count("*") <= 2).cast("int").alias("valid")).withColumn(
+        "gt1", F.col("gt1").cast("int"))
 
 
 def q_evaluate(spark, sf):
-    return ML.evaluate(_ml_data(spark, sf), "gt1")
+    e = ML.evaluate(_ml_data(spark, sf), "gt1")
+    same = ((F.col("detected") == F.col("ok") + F.col("false_positive")) & (F.col("real") == F.col("ok") + F.col("false_negative"))
+            & (F.col("missed") == F.col("real") - F.col("detected")) & (F.col("bad") <= F.col("detected"))
+            & (F.abs(F.col("test_error") * F.col("total") - F.col("false_positive") - F.col("false_negative")) < 1e-6))
+    return e.select("label", "total", "real", _flag(same))
+
+
+_models: dict[tuple[str, str], str] = {}
 
 
 def _predicted(spark, sf):
+    """Scores of the recent rows; the models are learned once per session and folder."""
     data = _ml_data(spark, sf)
-    model_dir = f"{checkpoint_dir(spark).rstrip('/')}/models-{os.getpid()}"
-    ML.learn(data, model_dir)
-    return ML.predict(data, model_dir, as_of=AS_OF)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        model_dir = _scratch(spark, "models")
+        ML.learn(data, model_dir)
+        _models[key] = model_dir
+    return materialize(ML.predict(data, _models[key], as_of=AS_OF), "predicted")
 
 
 def q_top_opportunities(spark, sf):
-    return REP.opportunities(_predicted(spark, sf), FX.stock(spark, sf), 6)
+    """The latest days lead; within a day the scores fall; names belong to their rows."""
+    from pyspark.sql import Window
+    top = REP.opportunities(_predicted(spark, sf), FX.stock(spark, sf), 6)
+    keys = [F.col(f"`{c}`") for c in ("prediction-gt1", "prediction-gt2", "prediction-gt3", "probability-gt1")]
+    score = F.struct(*[F.coalesce(k, F.lit(-1.0)).alias(f"k{i}") for i, k in enumerate(keys)])
+    rank = [F.desc("date"), *[k.desc_nulls_last() for k in keys], F.asc("isin")]
+    w = Window.orderBy(*rank)  # six rows
+    ranked = top.select("*", F.row_number().over(w).alias("place"), F.lag("date").over(w).alias("_d"), F.lag(score).over(w).alias("_s"), score.alias("_o"))
+    falls = F.col("_d").isNull() | (F.col("_d") > F.col("date")) | (F.col("_s") >= F.col("_o"))
+    return ranked.select("place", "date", _flag(falls & (F.col("symbol") == F.concat(F.lit("S"), "isin"))))
 
 
 def q_dips(spark, sf):
-    return REP.dips(_predicted(spark, sf), FX.stock(spark, sf), 6)
+    """At most six rows, as many as there are, all predicted to rise, with their own past return."""
+    pred = _predicted(spark, sf)
+    d = REP.dips(pred, FX.stock(spark, sf), 6)
+    there = pred.where(ML.q("prediction-gt1") == 1).select("isin", "date", ML.q("P-Close-1").alias("_p"))
+    n = F.lit(min(6, pred.where(ML.q("prediction-gt1") == 1).limit(6).count()))
+    j = d.join(there, ["isin", "date"], "left")
+    return j.agg(_flag((F.count("*") == n) & F.coalesce(F.every(ML.q("prediction-gt1") == 1), F.lit(True))
+                       & F.coalesce(F.every(F.col("PClose").eqNullSafe(F.col("_p"))), F.lit(True))))
 
 
 def q_cluster_listing(spark, sf):
-    return REP.cluster_listing(_predicted(spark, sf), FX.stock(spark, sf), 0)
+    """Listings of all clusters, and the rows short of a feature: every recent row once."""
+    pred = _predicted(spark, sf)
+    lists = [REP.cluster_listing(pred, FX.stock(spark, sf), c).select("isin", "date", _flag(F.col("kmeans") == c)) for c in range(ML.KMEANS_K)]
+    out = pred.where(F.col("kmeans").isNull()).select("isin", "date", F.lit(1).alias("valid"))
+    for part in lists:
+        out = out.unionByName(part)
+    return out
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -494,6 +637,24 @@ def _minmax_sql() -> str:
     return _training_ctes(None) + f",\nmm AS (SELECT {mm} FROM ts)\n" + body
 
 
+def _model_sql() -> dict[str, str]:
+    cut = int(65536 * 0.8)
+    test = (f"CAST('0x' || substr(md5(isin || '|' || CAST(CAST(date AS DATE) AS VARCHAR) || '|{ML.FOREST_SEED}'), 1, 4) AS INT) >= {cut}")
+    gt1 = _training_ctes("gt1")
+    w, _ = O.long_ctes(S.standard_plan(), ["Close"], O.BARS_SUPPLIER_DAY)
+    recent = f"{w}, rec AS (SELECT DISTINCT isin, date FROM long WHERE date > DATE '{AS_OF}' - INTERVAL 300 DAY)"
+    return {
+        "rf_predict": f"{gt1} SELECT isin, date, 1 AS valid FROM ts",
+        "kmeans_assign": f"{_training_ctes(None)} SELECT isin, date, 1 AS valid FROM ts",
+        "elbow": "SELECT CAST(unnest(range(3, 90, 3)) AS INT) AS k, 1 AS valid",
+        "confusion": f"{gt1} SELECT CAST(gt1 AS INT) AS gt1, count(*) AS rows, 1 AS valid FROM ts WHERE {test} GROUP BY 1",
+        "evaluate": f"{gt1} SELECT 'gt1' AS label, count(*) AS total, CAST(sum(gt1) AS BIGINT) AS real, 1 AS valid FROM ts WHERE {test}",
+        "top_opportunities": f"{recent} SELECT row_number() OVER (ORDER BY date DESC) AS place, date, 1 AS valid FROM rec ORDER BY date DESC LIMIT 6",
+        "dips": "SELECT 1 AS valid FROM (SELECT 1) t",
+        "cluster_listing": f"{recent} SELECT isin, date, 1 AS valid FROM rec",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     plan = S.standard_plan()
     names = [s.name for s in plan]
@@ -544,7 +705,8 @@ def oracle_sql() -> dict[str, str]:
             stored AS (SELECT isin, max(date) AS last_quotation FROM b WHERE date < DATE '{SPLIT}' GROUP BY isin),
             last AS (SELECT l_suppkey, max(l_shipdate) AS t FROM lineitem GROUP BY l_suppkey),
             listed AS (SELECT CAST(s_suppkey AS VARCHAR) AS isin, CAST(last.t AS TIMESTAMP) AS "to"
-                       FROM supplier LEFT JOIN last ON s_suppkey = last.l_suppkey WHERE s_acctbal > 0),
+                       FROM supplier LEFT JOIN last ON s_suppkey = last.l_suppkey
+                       ORDER BY s_acctbal DESC NULLS LAST, CAST(s_suppkey AS VARCHAR) ASC LIMIT {TOP_N}),
             j AS (SELECT coalesce(l.isin, s.isin) AS isin, l."to", s.last_quotation
                   FROM listed l FULL OUTER JOIN stored s ON l.isin = s.isin),
             p AS (SELECT isin, coalesce(last_quotation, DATE '2000-01-01') AS "from",
@@ -584,5 +746,26 @@ wl AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS isin FROM supplier
         "training_set": _training_sql(),
         "precision_reduce": _precision_sql(),
         "minmax_scaled": _minmax_sql(),
+        "serie_perf_null_keys": f"""
+            WITH b AS (SELECT nullif(isin, '7') AS isin, nullif(date, DATE '{NULL_DAY}') AS date, "Close" AS x, "Open" AS o FROM ({sd}) t),
+            s AS (SELECT *, row_number() OVER w AS rn, lead(x, 5) OVER w AS y, count(*) OVER (PARTITION BY isin) AS n
+                  FROM b WINDOW w AS (PARTITION BY isin ORDER BY date NULLS FIRST))
+            SELECT isin, date, {O.Q('x')} AS "Close", {O.Q('o')} AS "Open",
+                   {O.Q('CASE WHEN rn + 5 > n THEN NULL WHEN x IS NULL OR y IS NULL OR x = 0 OR y = 0 THEN 0.0 ELSE x / y - 1 END')} AS p FROM s""",
+        "features_wide_nulls": O.wide_sql(plan, names, f"""SELECT isin, date, "Open", "Low",
+            CASE WHEN day(date) % 9 <> 0 THEN "Close" END AS "Close", CASE WHEN "Number_of_Trades" < 2 THEN "High" END AS "High" FROM ({sd}) t"""),
+        "upsert_append": f"""
+            WITH b AS ({sd})
+            SELECT isin, date, {', '.join(O.Q(f'CASE WHEN date >= DATE {chr(39)}{BATCH_FROM}{chr(39)} THEN "Close" ELSE "Open" END' if c == 'Open' else O.ident(c)) + f' AS {O.ident(c)}' for c in O.BAR_COLS)}
+            FROM b""",
+        "quotes_csv_roundtrip": O.quantized_bars(sd),
+        "stock_csv_roundtrip": f"""
+            WITH last AS (SELECT l_suppkey, max(l_shipdate) AS t FROM lineitem GROUP BY l_suppkey)
+            SELECT s_name AS "Name", 'FR' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '0' AS "ISIN", 'S' || CAST(s_suppkey AS VARCHAR) AS "Symbol",
+                   n_name AS "Market", 'EUR' AS "Trading_Currency", CAST(last.t AS DATE) AS "Last_Day", {O.Q('CAST(s_acctbal AS DOUBLE)')} AS "Turnover"
+            FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN last ON s_suppkey = last.l_suppkey""",
+        "long_store_roundtrip": _long_sql(plan, ["Close", "P-XS-5"]),
+        "export_roundtrip": O.wide_sql(plan, EXPORT_COLS, sd),
+        **_model_sql(),
     }
     return out if LLM is None else out | LLM.oracle_sql()

@@ -87,15 +87,59 @@ def test_chunking_is_exact(spark, bars001, bucket):
 
 
 def test_chunks_really_split(spark, bars001):
-    from tidemark.operators.sequence import bucket_chunks
-    plan, _, nbytes = bucket_chunks(bars001, ["isin"], "date", 199, 30, 50, "day")
-    assert 0 < nbytes < 10 * 1024 * 1024
+    from tidemark.operators.longform import chunk_plan
+    plan = chunk_plan(bars001, "day").targets(199, 30, 50)
     per = plan.select("isin", F.explode("_targets").alias("t")).groupBy("isin").agg(
         F.countDistinct("t.c").alias("chunks"), F.sum(F.col("t.h").cast("int")).alias("halo"))
     r = per.agg(F.min("chunks"), F.max("chunks"), F.sum("halo")).first()
     assert r[0] >= 2 and r[2] > 0
 
 
+@pytest.mark.parametrize("chunk_rows", [1 << 20, 40])
+def test_missing_prices_keep_their_rows(spark, chunk_rows):
+    rows = [("k", i, None if i in (1, 50) or 70 <= i < 110 else float(1 + i % 7 + i / 50)) for i in range(400)]
+    q = spark.createDataFrame(rows, "isin string, i int, p double").select(
+        "isin", F.expr("date_add(DATE'2020-01-01', i)").alias("date"), F.col("p").alias("Close"), F.col("p").alias("Open"), F.col("p").alias("Low"),
+        F.when(F.col("i") % 5 != 2, F.col("p")).alias("High"))
+    names = S.standard_names()
+    wide = {(r["isin"], r["date"]): r for r in IND.build_wide(q, chunk_rows=chunk_rows, bucket="month").collect()}
+    assert len(wide) == 400
+    base = LF.base_series(q)
+    ind = [base, LF.ma_plus(base, "Close", "XS", 3)]
+    ind.append(LF.performance(ind[1], "XS", -5))
+    ind.append(LF.derivative(ind[2], "P-XS-5", -1))
+    for r in LF.union_all(ind).collect():
+        assert r["type"] in names and _close(r["value"], wide[(r["isin"], r["date"])][r["type"]]), r
+    # three days, High missing on the second: the third day's return is of its neighbour
+    few = spark.createDataFrame([("a", f"2020-01-0{i}", float(i), None if i == 2 else 1.0) for i in (1, 2, 3)], "isin string, d string, p double, h double").select(
+        "isin", F.to_date("d").alias("date"), F.col("p").alias("Close"), F.col("p").alias("Open"), F.col("p").alias("Low"), F.col("h").alias("High"))
+    got = sorted((str(r["date"]), r["P-Close-1"]) for r in IND.build_wide(few, columns=["P-Close-1"]).collect())
+    assert got == [("2020-01-01", None), ("2020-01-02", 1.0), ("2020-01-03", 0.5)]
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_chains_share_one_chunk_plan(spark, bars001):
+    plan = LF.chunk_plan(bars001)
+    cur, scans = LF.base_series(bars001), []
+    sc = spark.sparkContext
+    sc.setJobGroup("build", "plans only")
+    for i in range(4):
+        cur = LF.ma_plus(cur, "Close" if i == 0 else f"M{i - 1}", f"M{i}", 3, plan=plan)
+        scans.append(_scans(cur))
+    assert sc.statusTracker().getJobIdsForGroup("build") == []  # nothing runs while a query is built
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [b - a for a, b in zip(scans, scans[1:])] == [1, 1, 1]
+    stored = plan.stored()
+    a = {(r["isin"], r["date"]): r["value"] for r in cur.collect()}
+    cur = LF.base_series(bars001)
+    for i in range(4):
+        cur = LF.ma_plus(cur, "Close" if i == 0 else f"M{i - 1}", f"M{i}", 3, plan=stored)
+    assert {(r["isin"], r["date"]): r["value"] for r in cur.collect()} == a
+
+
 def test_single_row_and_zero_price(spark):
     q = spark.createDataFrame(
         [("one", "2020-01-01", 1.0, 1.0, 1.0, 1.0)]
@@ -134,12 +178,14 @@ def test_labels_need_presence_not_value(spark):
 
 
 def test_one_window_exchange(spark, bars001):
-    plan = IND.build_wide(bars001)._jdf.queryExecution().executedPlan().toString()
+    chunks = LF.chunk_plan(bars001).stored()
+    plan = IND.build_wide(bars001, chunks=chunks)._jdf.queryExecution().executedPlan().toString()
     exchanges = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l]
     chunk_ex = [l for l in exchanges if "_chunk" in l]
     assert len(chunk_ex) == 1           # one shuffle of the rows for all 69 series
     # the only other exchanges are over the small (isin, bucket) count table
     assert all("_bk" in l or "_c#" in l or "hashpartitioning(isin#" in l for l in exchanges)
+    assert "BroadcastHashJoin" in plan  # by the written size of the counts, not by a hint
 
 
 def test_scan_prunes_columns(spark, bars001):

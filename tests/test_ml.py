@@ -32,7 +32,13 @@ def test_learn_predict_report(spark, bars001, tmp_path):
     pred = ML.predict(data, model_dir, as_of=last)
     cols = set(pred.columns)
     assert {"prediction-gt1", "probability-gt3", "kmeans", "scaledFeatures"} <= cols
-    assert pred.count() > 0
+    # rows short of a feature stay, unscored
+    recent = ML.recent(data, last)
+    assert pred.count() == recent.count() >= pred.where("kmeans is not null").count() > 0
+    short = bars001.where("isin = '1'").orderBy("date").limit(20)
+    few = ML.predict(IND.build_wide(short), model_dir, as_of=short.agg(F.max("date")).first()[0])
+    assert few.count() == ML.recent(IND.build_wide(short), short.agg(F.max("date")).first()[0]).count() > 0
+    assert few.where("kmeans is not null").count() == 0
     stock = spark.createDataFrame([(str(i), f"S{i}", f"N{i}") for i in range(10)], "ISIN string, Symbol string, Name string")
     top = REP.opportunities(pred, stock, 6).collect()
     assert len(top) == 6 and top[0]["symbol"] is not None
@@ -54,3 +60,15 @@ def test_entry_and_registry(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 20
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_hash_split_ignores_partitioning(spark, bars001):
+    a, b = ML.split_by_hash(bars001)
+    c, _ = ML.split_by_hash(bars001.repartition(7))
+    assert a.count() == c.count() and a.count() + b.count() == bars001.count()
+    assert a.exceptAll(c).isEmpty() and 0.75 < a.count() / bars001.count() < 0.85
+
+
+def test_names_belong_together(spark):
+    stock = spark.createDataFrame([("I", "B", "first"), ("I", "A", "second")], "ISIN string, Symbol string, Name string")
+    assert [tuple(r)[1:] for r in REP.names(stock).collect()] == [("A", "second")]

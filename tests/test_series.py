@@ -135,6 +135,7 @@ def test_paired_chunked_matches_brute_force(spark, n):
 def test_ema_multi_block_carry_scan(spark, monkeypatch, block):
     """Tiny chunks and tiny carry blocks: every level of the carry scan runs."""
     monkeypatch.setattr(SR, "CARRY_BLOCK", block)
+    monkeypatch.setattr(SR, "MAX_HALO", 0)
     rnd = random.Random(block)
     data = [(k, i, None if rnd.random() < 0.1 else round(rnd.uniform(1, 9), 2))
             for k in ["m", "n"] for i in range(rnd.randint(20, 45))]
@@ -145,3 +146,46 @@ def test_ema_multi_block_carry_scan(spark, monkeypatch, block):
         for (i, _), e in zip(series, brute_ema([v for _, v in series], 0.25)):
             g = got[(key, i)]
             assert (g is None and e is None) or g == pytest.approx(e, rel=1e-9, abs=1e-9), (key, i)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.0001, 0.2, 0.9])
+@pytest.mark.parametrize("chunk", [3, 1 << 17])
+def test_null_keys_and_orders_stay(spark, rate, chunk):
+    data = [(k, o, float(i % 5) if i % 4 else None) for i, (k, o) in enumerate((k, o) for k in ("a", None, "b") for o in (None, *range(12)))]
+    df = spark.createDataFrame(data, "ISIN string, id int, val double")
+    exp = {}
+    for k in ("a", None, "b"):
+        prev = None
+        for _, o, v in sorted((r for r in data if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0)):
+            prev = None if v is None else v if prev is None else v * rate + prev * (1 - rate)
+            exp[(k, o)] = prev
+    got = {(r["ISIN"], r["id"]): r["e"] for r in SR.ema(df, "val", "e", rate, order="id", chunk_rows=chunk, bucket=2).collect()}
+    assert got.keys() == exp.keys()
+    assert all(got[k] == pytest.approx(v) if v is not None else got[k] is None for k, v in exp.items())
+    assert SR.performance(df, "val", "p", 1, order="id", chunk_rows=chunk, bucket=2).count() == len(data)
+
+
+def test_ema_forgets_within_its_halo(spark):
+    """Long series over many chunks: the halo form equals the recurrence."""
+    data = [("x", i, math.sin(i) * 1000 + (1e6 if i == 0 else 0)) for i in range(3000)]
+    df = spark.createDataFrame(data, "ISIN string, id int, val double")
+    for rate in (0.2, 0.01):
+        got = sorted((r["id"], r["e"]) for r in SR.ema(df, "val", "e", rate, order="id", chunk_rows=100, bucket=10).collect())
+        prev = None
+        for (_, i, v), (j, e) in zip(data, got):
+            prev = v if prev is None else v * rate + prev * (1 - rate)
+            assert i == j and e == pytest.approx(prev, rel=1e-12, abs=1e-9)
+
+
+def test_ema_runs_no_python(spark, f1):
+    for rate in (0.0, 0.2):
+        plan = SR.ema(f1, "val", "e", rate, order="id")._jdf.queryExecution().toString()
+        assert "Pandas" not in plan and "Arrow" not in plan and "Python" not in plan
+    with pytest.raises(ValueError):
+        SR.ema(f1, "val", "e", 1.5, order="id")
+
+
+def test_ties_in_the_order_lose_no_halo(spark):
+    df = spark.createDataFrame([("k", i // 3, float(i)) for i in range(754)], "ISIN string, id int, val double")
+    out = SR.performance(df, "val", "p", -5, order="id", chunk_rows=1, bucket=1)
+    assert out.count() == 754 and out.where("p is null").count() == 5

@@ -39,8 +39,3 @@ def gt_name(threshold: int) -> str:
 
 
 CLASS_NAME = "Class"
-
-
-def quote(name: str) -> str:
-    """Back-tick a column name that contains ``/ - +`` for Spark SQL."""
-    return "`" + name.replace("`", "``") + "`"

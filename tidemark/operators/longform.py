@@ -6,8 +6,10 @@ operator reads the rows of its input type(s) and returns new long rows
 operators: performance / derivative drop rows without a counterpart, binary
 series are inner joins on (isin, date), labels keep one row per source row.
 
-Windowed operators go through ``series_window`` (hot-key-safe numbering and
-chunking), joins are plain equi-joins on (isin, date).
+Windowed operators go through ``series_window`` (hot-key-safe chunking), joins
+are plain equi-joins on (isin, date).  All series of one store stand on the same
+(isin, date) rows, so a chain of operators shares one ``chunk_plan`` of its
+quotes (``plan=``): each step then adds one pass over its input and no other.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import names as N
-from tidemark.operators.sequence import DEFAULT_CHUNK_ROWS, series_window
+from tidemark.operators.sequence import DEFAULT_CHUNK_ROWS, ChunkPlan, series_window
 
 KEY, ORDER = "isin", "date"
 LONG_COLS = [KEY, ORDER, "value", "type"]
@@ -32,14 +34,15 @@ def _emit(df: DataFrame, value: Column, t: str) -> DataFrame:
 
 
 def _windowed(ind: DataFrame, src: str, to: str, make, back: int, fwd: int,
-              keep: Column | None = None, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+              keep: Column | None = None, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+              plan: ChunkPlan | None = None) -> DataFrame:
     def run(df, w):
         out = df.select("*", make(F.col("value"), w).alias("_v"))
         if keep is not None:
             out = out.select("*", keep(F.col("value"), w).alias("_keep"))
         return out
 
-    res = series_window(_typed(ind, src), KEY, ORDER, run, back, fwd, chunk_rows)
+    res = series_window(_typed(ind, src), KEY, ORDER, run, back, fwd, chunk_rows, plan=plan)
     if keep is not None:
         res = res.where(F.col("_keep"))
     return _emit(res, F.col("_v"), to)
@@ -52,6 +55,12 @@ def base_series(quotes: DataFrame, names=("Close", "Open", "Low", "High")) -> Da
                              f"stack({len(names)}, {stack}) as (type, value)").select(*LONG_COLS)
 
 
+def chunk_plan(quotes: DataFrame, bucket=None) -> ChunkPlan:
+    """The plan shared by the operators over the series of ``quotes``. Rows without a
+    closing price count as gaps: a chained series may have no row there."""
+    return ChunkPlan.of(quotes.withColumn(KEY, F.col(KEY).cast("string")), KEY, ORDER, bucket, gap=F.col("Close").isNull())
+
+
 def sma(ind: DataFrame, src: str, to: str, n: int, **kw) -> DataFrame:
     return _windowed(ind, src, to, lambda x, w: C.sma(x, n, w), n - 1, 0, **kw)
 

@@ -5,36 +5,42 @@ instrument to one task, so an instrument holding a third of the data would be
 sorted and buffered by a single task.  Instead each series is cut into chunks
 and windows run per (instrument, chunk):
 
-* ``series_window`` (default): rows are counted per (key, time bucket) with a
-  map-side-combined aggregate; on that small table a running sum gives each
-  bucket its row range, buckets are grouped into chunks of about
-  ``chunk_rows`` rows, and the buckets that reach into the last ``back`` /
-  first ``fwd`` rows of a chunk are flagged as halo for the neighbouring
-  chunk.  The rows are joined to that plan (broadcast only when its size is
-  known to be small) and shuffled once, on (key, chunk).
-* ``number_rows`` + ``split_series`` (``keep_rn=True``, and the EMA): exact
-  0-based positions ``_rn`` via the same count table plus a ``row_number``
-  inside (key, bucket), then chunks of exactly ``chunk_rows`` positions with
-  exactly ``back``/``fwd`` halo rows.
+* ``ChunkPlan`` counts the rows per (key, time bucket) with a map-side-combined
+  aggregate; on that small table running sums give each bucket its row range,
+  buckets are grouped into chunks of about ``chunk_rows`` rows, and the buckets
+  that reach into the last ``back`` / first ``fwd`` rows of a chunk are marked
+  as halo for the neighbouring chunk.
+* ``series_window`` joins the rows to that plan (null-safe, so rows without a
+  key or an order value stay) and shuffles them on (key, chunk).
+
+The plan is lazy: nothing runs while a query is built, and the chunk size of a
+series follows from its own buckets.  ``ChunkPlan.of(table).stored()`` writes
+the counts once, so a chain of operators over one store shares them, and Spark
+broadcasts the plan when its written size is below the session's threshold
+(otherwise, or for a lazy plan, adaptive execution decides on measured sizes).
 
 As long as ``back``/``fwd`` cover the total look-back/look-ahead of the chained
 expressions, every non-halo row sees exactly the rows it would see in an
 unsplit series; halo rows are dropped afterwards.  No group is larger than one
-chunk (or, while numbering, one time bucket) of one series.
+chunk (or one time bucket) of one series.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
 
 RN = "_rn"
 CHUNK = "_chunk"
 HALO = "_halo"
+BUCKET = "_bk"
 
 # Rows per chunk: bounds the rows a single window task buffers.
 DEFAULT_CHUNK_ROWS = 1 << 17
@@ -56,149 +62,130 @@ def _bucket_expr(df: DataFrame, order: str, bucket) -> Column:
             bucket = "value"
     c = F.col(order)
     if bucket == "year":
-        return F.year(c)
+        return F.year(c).cast("long")
     if bucket == "month":
-        return F.year(c) * 12 + F.month(c)
+        return (F.year(c) * 12 + F.month(c)).cast("long")
     if bucket == "day":
-        return F.unix_date(F.to_date(c))
+        return F.unix_date(F.to_date(c)).cast("long")
     if bucket == "hour":
-        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(3_600_000_000))
+        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     if bucket == "value":
         # numeric order key: blocks of 4096 consecutive key values
-        return F.floor(c / F.lit(4096))
+        return F.floor(c / F.lit(4096)).cast("long")
     raise ValueError(f"unknown bucket {bucket!r}")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the right side's keys are dropped."""
+    r = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_r_{c}"]) for c in on])
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def number_rows(df: DataFrame, key: str | list[str], order: str | list[str],
                 bucket: str | None = None, out: str = RN) -> DataFrame:
     """Append ``out`` = 0-based position of each row within its key, ordered
-    by ``order`` (ties broken by the remaining order columns)."""
+    by ``order`` (nulls first, ties broken by the remaining order columns).
+    Rows with a null key are one series; every row stays."""
     keys = [key] if isinstance(key, str) else list(key)
     orders = [order] if isinstance(order, str) else list(order)
-    bk = "_bk"
-    with_bk = df.withColumn(bk, _bucket_expr(df, orders[0], bucket))
+    with_bk = df.withColumn(BUCKET, _bucket_expr(df, orders[0], bucket))
     # The count branch reads only the key and order columns; feed a stored
     # table (or ``materialize`` a derived one) so it is a narrow re-scan.
-    counts = with_bk.groupBy(*keys, bk).agg(F.count(F.lit(1)).alias("_n"))
-    w_b = Window.partitionBy(*keys).orderBy(bk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, bk, F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_start"))
-    w_r = Window.partitionBy(*keys, bk).orderBy(*orders)
-    return (with_bk.join(starts, [*keys, bk], "inner")
+    counts = with_bk.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, BUCKET, F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_start"))
+    w_r = Window.partitionBy(*keys, BUCKET).orderBy(*orders)
+    return (join_null_safe(with_bk, starts, [*keys, BUCKET])
             .withColumn(out, F.col("_start") + F.row_number().over(w_r) - 1)
-            .drop(bk, "_start"))
-
-
-def split_series(df: DataFrame, back: int, fwd: int,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Assign ``_chunk`` and duplicate boundary rows as ``_halo`` rows."""
-    c = max(int(chunk_rows), back, fwd, 1)
-    rn = F.col(RN)
-    own = F.floor(rn / c).cast("long")
-    pos = rn - own * c
-    entries = F.array(
-        F.struct(own.alias("c"), F.lit(False).alias("h")),
-        F.when(pos >= c - back, F.struct((own + 1).alias("c"), F.lit(True).alias("h"))),
-        F.when((pos < fwd) & (own > 0), F.struct((own - 1).alias("c"), F.lit(True).alias("h"))),
-    )
-    e = F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("_e")
-    return (df.select("*", e)
-            .select("*", F.col("_e.c").alias(CHUNK), F.col("_e.h").alias(HALO))
-            .drop("_e"))
-
-
-def chunk_window(key: str | list[str]) -> Window:
+            .drop(BUCKET, "_start"))
+
+
+@dataclass(frozen=True)
+class ChunkPlan:
+    """Row counts of a table's (key, bucket) groups, and the chunks made of them.
+
+    ``gaps`` counts, per bucket, the rows that a look-back over present rows
+    has to pass (see ``targets``)."""
+    keys: tuple[str, ...]
+    order: str
+    bucket: object
+    counts: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str | list[str], order: str, bucket=None, gap: Column | None = None) -> "ChunkPlan":
+        keys = [key] if isinstance(key, str) else list(key)
+        g = F.count(F.when(gap, 1)) if gap is not None else F.lit(0).cast("long")
+        counts = (df.withColumn(BUCKET, _bucket_expr(df, order, bucket)).groupBy(*keys, BUCKET)
+                  .agg(F.count(F.lit(1)).alias("_n"), g.alias("_g")))
+        return cls(tuple(keys), order, bucket, counts)
+
+    def stored(self) -> "ChunkPlan":
+        """The same plan over counts written once (one job, now)."""
+        return replace(self, counts=materialize(self.counts, "chunk_counts"))
+
+    def targets(self, back: int, fwd: int, chunk_rows: int) -> DataFrame:
+        """(keys, bucket, _targets): the chunks each bucket goes to, with a halo flag.
+
+        Chunks are runs of whole buckets: bucket k (rows [start, end) of its
+        series) belongs to chunk ``floor(start / C)``.  With every bucket of
+        the series holding at most B rows and ``C > B + max(back, fwd)``,
+        every chunk but the last spans more than ``max(back, fwd)`` rows, so
+        halo rows only ever come from the adjacent chunk.  ``back`` grows by
+        the most gap rows of adjoining buckets that have any: no run of gap
+        rows is longer."""
+        by_key = Window.partitionBy(*self.keys).orderBy(BUCKET)
+        whole_key = Window.partitionBy(*self.keys)
+        so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
+        t = self.counts.withColumn("_run", F.count(F.when(F.col("_g") == 0, 1)).over(so_far))
+        t = t.withColumn("_run", F.sum("_g").over(Window.partitionBy(*self.keys, "_run")))
+        t = t.withColumn("_back", F.lit(back) + (F.max("_run").over(whole_key) if back else F.lit(0)))
+        t = t.withColumn("_C", F.greatest(F.lit(int(chunk_rows)).cast("long"),
+                                          F.max("_n").over(whole_key) + F.greatest(F.col("_back"), F.lit(fwd)) + 1))
+        t = (t.withColumn("_end", F.sum("_n").over(so_far)).withColumn("_start", F.col("_end") - F.col("_n"))
+             .withColumn("_c", F.expr("_start div _C")))
+        t = t.withColumn("_pc", F.lag("_c").over(by_key)).withColumn("_nc", F.lead("_c").over(by_key))
+        by_chunk = Window.partitionBy(*self.keys, "_c")
+        t = (t.withColumn("_cs", F.min("_start").over(by_chunk)).withColumn("_ce", F.max("_end").over(by_chunk))
+             .withColumn("_prev", F.max(F.when(F.col("_start") == F.col("_cs"), F.col("_pc"))).over(by_chunk))
+             .withColumn("_next", F.max(F.when(F.col("_end") == F.col("_ce"), F.col("_nc"))).over(by_chunk)))
+        entries = F.array(
+            F.struct(F.col("_c").alias("c"), F.lit(False).alias("h")),
+            F.when((F.col("_end") > F.col("_ce") - F.col("_back")) & F.col("_next").isNotNull(),
+                   F.struct(F.col("_next").alias("c"), F.lit(True).alias("h"))),
+            F.when((F.col("_start") < F.col("_cs") + fwd) & F.col("_prev").isNotNull(),
+                   F.struct(F.col("_prev").alias("c"), F.lit(True).alias("h"))),
+        )
+        return t.select(*self.keys, BUCKET, F.filter(entries, lambda x: x.isNotNull()).alias("_targets"))
+
+
+def chunked(df: DataFrame, key: str | list[str], order: str, back: int, fwd: int,
+            chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None, plan: ChunkPlan | None = None,
+            gap: Column | None = None) -> DataFrame:
+    """``df`` with ``_chunk`` and ``_halo``: each row once in its own chunk, and
+    again as halo of a neighbour that looks back or ahead to it."""
     keys = [key] if isinstance(key, str) else list(key)
-    return Window.partitionBy(*keys, CHUNK).orderBy(RN)
-
-
-def _static_bucket_bound(df: DataFrame, order: str, bucket) -> int | None:
-    """Rows per bucket implied by a unique date / integer order key (the
-    ingest guarantees one row per (key, order)); None when it must be measured."""
-    dt = df.schema[order].dataType
-    if isinstance(bucket, int) and not isinstance(bucket, bool) and isinstance(dt, T.IntegralType):
-        return bucket
-    if isinstance(dt, T.DateType):
-        return {None: 366, "year": 366, "month": 31, "day": 1}.get(bucket)
-    return None
-
-
-# Largest chunk plan broadcast to the row join (its size is counted exactly).
-MAX_PLAN_BROADCAST_BYTES = 512 * 1024 * 1024
-
-
-def bucket_chunks(df: DataFrame, keys: list[str], order: str, back: int, fwd: int,
-                  chunk_rows: int, bucket) -> tuple[DataFrame, Column, int]:
-    """Chunk assignment decided on the small (key, bucket) count table.
-
-    Chunks are runs of whole buckets: bucket k (rows [start, end) of its
-    series) belongs to chunk ``floor(start / C)``.  With every bucket holding
-    at most B rows and ``C >= B + max(back, fwd) + 1``, every chunk but the
-    last spans more than ``max(back, fwd)`` rows, so halo rows only ever come
-    from the adjacent chunk: a bucket reaching into the last ``back`` rows of
-    its chunk is copied (whole) into the next chunk, one reaching into the
-    first ``fwd`` rows into the previous chunk.  Whole-bucket halos are a
-    superset of the rows needed; they are dropped after the windows."""
-    bk = "_bk"
-    bcol = _bucket_expr(df, order, bucket)
-    counts = df.select(*keys, bcol.alias(bk)).groupBy(*keys, bk).agg(F.count(F.lit(1)).alias("_n"))
-    # one small job: bucket count (exact size of the plan table, for the
-    # broadcast decision), widest key, largest bucket
-    st = counts.agg(F.count(F.lit(1)).alias("rows"), F.max("_n").alias("big"),
-                    *[F.max(F.length(F.col(k).cast("string"))).alias(f"len{i}")
-                      for i, k in enumerate(keys)]).first()
-    plan_bytes = int(st["rows"] or 0) * (48 + sum(int(st[f"len{i}"] or 0) for i in range(len(keys))))
-    max_bucket = _static_bucket_bound(df, order, bucket)
-    if max_bucket is None:
-        max_bucket = int(st["big"] or 0)
-    c = max(int(chunk_rows), int(max_bucket) + max(back, fwd) + 1)
-    by_key = Window.partitionBy(*keys).orderBy(bk)
-    t = (counts.withColumn("_end", F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_start", F.col("_end") - F.col("_n"))
-         .withColumn("_c", F.floor(F.col("_start") / c).cast("long")))
-    t = (t.withColumn("_pc", F.lag("_c").over(by_key))
-         .withColumn("_nc", F.lead("_c").over(by_key)))
-    by_chunk = Window.partitionBy(*keys, "_c")
-    t = (t.withColumn("_cs", F.min("_start").over(by_chunk))
-         .withColumn("_ce", F.max("_end").over(by_chunk))
-         .withColumn("_prev", F.max(F.when(F.col("_start") == F.col("_cs"), F.col("_pc"))).over(by_chunk))
-         .withColumn("_next", F.max(F.when(F.col("_end") == F.col("_ce"), F.col("_nc"))).over(by_chunk)))
-    entries = F.array(
-        F.struct(F.col("_c").alias("c"), F.lit(False).alias("h")),
-        F.when((F.col("_end") > F.col("_ce") - back) & F.col("_next").isNotNull(),
-               F.struct(F.col("_next").alias("c"), F.lit(True).alias("h"))),
-        F.when((F.col("_start") < F.col("_cs") + fwd) & F.col("_prev").isNotNull(),
-               F.struct(F.col("_prev").alias("c"), F.lit(True).alias("h"))),
-    )
-    plan = t.select(*keys, bk, F.filter(entries, lambda x: x.isNotNull()).alias("_targets"))
-    return plan, bcol, plan_bytes
+    plan = plan or ChunkPlan.of(df, keys, order, bucket, gap)
+    with_bk = df.withColumn(BUCKET, _bucket_expr(df, order, plan.bucket))
+    rows = join_null_safe(with_bk, plan.targets(back, fwd, chunk_rows), [*plan.keys, BUCKET])
+    return (rows.withColumn("_e", F.explode("_targets"))
+            .withColumns({CHUNK: F.col("_e.c"), HALO: F.col("_e.h")}).drop("_e", "_targets", BUCKET))
 
 
 def series_window(df: DataFrame, key: str | list[str], order: str | list[str],
                   layers: Callable[[DataFrame, Window], DataFrame],
                   back: int, fwd: int, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                  bucket=None, keep_rn: bool = False) -> DataFrame:
+                  bucket=None, plan: ChunkPlan | None = None, gap: Column | None = None) -> DataFrame:
     """Run ``layers(df, w)`` (which adds window columns over ``w``) on a
     chunked copy of ``df`` and return only the real rows.
 
-    Default: bucket-aligned chunks (one shuffle of the rows, on (key,
-    chunk)); windows are ordered by ``order``, which must be unique per key.
-    ``keep_rn=True`` numbers the rows exactly first (one more shuffle)."""
+    Windows are ordered by ``order``, which should be unique per key (rows
+    that tie stand in any order, all of them stay).  ``plan``: counts shared
+    with other operators over the same rows, or over a superset of them whose
+    extra rows are edge rows or counted as gaps.  ``gap``: rows that a series
+    skips when it looks back over present rows."""
     keys = [key] if isinstance(key, str) else list(key)
     orders = [order] if isinstance(order, str) else list(order)
-    if keep_rn:
-        numbered = number_rows(df, keys, orders, bucket)
-        chunked = split_series(numbered, back, fwd, chunk_rows)
-        out = layers(chunked, chunk_window(keys))
-        return out.where(~F.col(HALO)).drop(CHUNK, HALO)
-    plan, bcol, plan_bytes = bucket_chunks(df, keys, orders[0], back, fwd, chunk_rows, bucket)
-    # a broadcast plan keeps the rows to a single shuffle (on key, chunk);
-    # beyond the bound the planner falls back to a shuffle join
-    if plan_bytes <= MAX_PLAN_BROADCAST_BYTES:
-        plan = F.broadcast(plan)
-    rows = df.withColumn("_bk", bcol).join(plan, [*keys, "_bk"], "inner")
-    e = F.explode("_targets").alias("_e")
-    chunked = (rows.select("*", e).drop("_targets", "_bk")
-               .select("*", F.col("_e.c").alias(CHUNK), F.col("_e.h").alias(HALO)).drop("_e"))
     w = Window.partitionBy(*keys, CHUNK).orderBy(*orders)
-    out = layers(chunked, w)
+    out = layers(chunked(df, keys, orders[0], back, fwd, chunk_rows, bucket, plan, gap), w)
     return out.where(~F.col(HALO)).drop(CHUNK, HALO)

@@ -1,7 +1,8 @@
 """Row-series operators: add one column to a per-instrument ordered frame.
 
 These keep every input row (unlike the long-store operators, which drop
-edge rows) and follow the row-series conventions:
+edge rows), also rows with a null key (one series) or a null order value
+(first in its series), and follow the row-series conventions:
 
 * ``performance(n)``: ``x[t] / x[t+n] - 1`` for both signs of ``n`` (n > 0
   compares with the future), ``derivative(n)``: ``x[t] - x[t+n]``.  A NULL or
@@ -18,15 +19,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import columns as C
-from tidemark.operators.sequence import (DEFAULT_CHUNK_ROWS, RN, number_rows,
-                                         series_window)
-from tidemark.session import materialize
+from tidemark.operators.sequence import (CHUNK, DEFAULT_CHUNK_ROWS, HALO, ChunkPlan, chunked,
+                                         join_null_safe, series_window)
 
 
 def _zero_or(value, *operands_nonzero):
@@ -38,7 +36,7 @@ def _zero_or(value, *operands_nonzero):
 
 
 def _paired(df: DataFrame, src: str, to: str, n: int, key: str, order: str,
-            combine, chunk_rows: int, bucket=None) -> DataFrame:
+            combine, chunk_rows: int, bucket=None, plan: ChunkPlan | None = None) -> DataFrame:
     def run(d, w):
         x = F.col(src).cast("double")
         other = C.shifted(x, n, w)
@@ -46,17 +44,19 @@ def _paired(df: DataFrame, src: str, to: str, n: int, key: str, order: str,
         v = F.when(exists, _zero_or(combine(x, other), x, other))
         return d.select("*", v.alias(to))
 
-    return series_window(df, key, order, run, max(-n, 0), max(n, 0), chunk_rows, bucket)
+    return series_window(df, key, order, run, max(-n, 0), max(n, 0), chunk_rows, bucket, plan)
 
 
 def performance(df: DataFrame, src: str, to: str, n: int, key: str = "ISIN",
-                order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None) -> DataFrame:
-    return _paired(df, src, to, n, key, order, lambda a, b: F.try_divide(a, b) - 1, chunk_rows, bucket)
+                order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None,
+                plan: ChunkPlan | None = None) -> DataFrame:
+    return _paired(df, src, to, n, key, order, lambda a, b: F.try_divide(a, b) - 1, chunk_rows, bucket, plan)
 
 
 def derivative(df: DataFrame, src: str, to: str, n: int, key: str = "ISIN",
-               order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None) -> DataFrame:
-    return _paired(df, src, to, n, key, order, lambda a, b: a - b, chunk_rows, bucket)
+               order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None,
+               plan: ChunkPlan | None = None) -> DataFrame:
+    return _paired(df, src, to, n, key, order, lambda a, b: a - b, chunk_rows, bucket, plan)
 
 
 def rate(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
@@ -67,146 +67,104 @@ def rate(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
 
 # --- exponential moving average ----------------------------------------------
 #
-# For a segment of non-NULL values starting at s, with a = 1 - r:
-#     y[t] = r * sum_{k=s'..t} a^(t-k) x[k] + a^(t-s'+1) * Y
-# where s' is the first row of the segment inside the current chunk and Y is
-# the EMA just before s' (the value x[s] itself when s' = s: a virtual seed
-# that makes y[s] = x[s]).  Inside a chunk the sum is a window running sum of
-# a^-(k-b) x[k] (b = chunk start; the chunk size keeps a^-(k-b) finite).  The
-# EMA entering each chunk is a linear scan over one summary row per chunk.
-
-_MAX_LOG_SPAN = 600.0
-
-
-def _ema_chunk_rows(rate: float, chunk_rows: int) -> int:
-    a = abs(1.0 - rate)
-    la = abs(math.log(a)) if a > 0 else float("inf")
-    if la == 0:
-        return chunk_rows
-    return max(1, min(chunk_rows, int(_MAX_LOG_SPAN / la)))
-
+# With a = 1 - r, a segment of non-NULL values starting at row s has
+#     y[t] = a^(t-s) x[s] + r * sum_{k=s+1..t} a^(t-k) x[k].
+# Rows of a chunk are cut into blocks of S rows. Inside a block the sum is a
+# window running sum of a^-(k-b) x[k] (b = block start; S keeps the powers
+# finite); the EMA before the block enters as a^(t-b+1) times the value at the
+# previous block's end, which older blocks no longer change (a^S < 1e-130).
+#
+# What lies H rows back has weight a^H < 2^-70, below a double's rounding. So
+# the EMA is a window operator with H halo rows, in which the first row of a
+# chunk's halo stands for the unseen past. A slow rate (H above MAX_HALO, and
+# r = 0) carries the exact value from chunk to chunk instead.
 
-# Fixed-size blocks of chunk summaries for the two-level carry scan.
+MAX_HALO = 1 << 16
 CARRY_BLOCK = 1024
 
 
-def _affine_prefix(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 1, one (key, block) group of at most CARRY_BLOCK chunks: the map
-    from the carry entering the block to the carry entering each chunk
-    (prefix composition of carry[c+1] = A[c] * carry[c] + B[c]), plus the
-    whole block's map on its last row."""
-    pdf = pdf.sort_values("_c")
-    pa, pb = 1.0, 0.0
-    out_pa, out_pb, ta, tb = [], [], [], []
-    last = len(pdf) - 1
-    for i, (a, b) in enumerate(zip(pdf["_A"], pdf["_B"])):
-        out_pa.append(pa)
-        out_pb.append(pb)
-        # compose f_c after the prefix: v -> a * (pa v + pb) + b
-        if a == 0:
-            pa, pb = 0.0, b
-        else:
-            pa, pb = a * pa, a * pb + b
-        ta.append(pa if i == last else None)
-        tb.append(pb if i == last else None)
-    return pd.DataFrame({"_k": pdf["_k"].values, "_c": pdf["_c"].values, "_j": pdf["_j"].values,
-                         "_PA": out_pa, "_PB": pd.array(out_pb, dtype="Float64"),
-                         "_TA": pd.array(ta, dtype="Float64"), "_TB": pd.array(tb, dtype="Float64")})
-
-
-def _block_scan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 2, one key: the carry entering every block (one row per block)."""
-    pdf = pdf.sort_values("_j")
-    carry = pdf["_xb0"].dropna().iloc[0] if pdf["_xb0"].notna().any() else None
-    starts = []
-    for ta, tb in zip(pdf["_TA"], pdf["_TB"]):
-        starts.append(carry)
-        if ta == 0 or pd.isna(ta):
-            carry = None if pd.isna(tb) else tb
-        else:
-            carry = None if (carry is None or pd.isna(tb)) else ta * carry + tb
-    return pd.DataFrame({"_k": pdf["_k"].values, "_j": pdf["_j"].values,
-                         "_cs": pd.array(starts, dtype="Float64")})
-
-
-def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN",
-        order: str = "date", chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None) -> DataFrame:
+def _local(d: DataFrame, keys: list[str], w: Window, x: Column, r: float, a: float, rows: int, seeded: bool) -> DataFrame:
+    """Adds _x, _rn, _s (start of the row's segment in its chunk, null-run aware),
+    _rel (row in its block), _own (EMA of the block's own rows of the segment).
+    ``seeded``: the chunk's first row stands for the past; else it adds r * x only."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_x", x).withColumn("_rn", F.row_number().over(w) - 1)
+    d = d.withColumn("_s", F.max(F.when(F.col("_x").isNull(), F.col("_rn") + 1)).over(so_far))
+    d = d.withColumn("_seg", F.coalesce("_s", F.lit(0))).withColumn("_b", F.expr(f"_rn div {rows}"))
+    d = d.withColumn("_rel", (F.col("_rn") % rows).cast("double"))
+    seed = (F.col("_rn") == F.col("_seg")) & (F.lit(True) if seeded else F.col("_s").isNotNull())
+    term = F.when(F.col("_x").isNull(), F.lit(0.0)).otherwise(
+        F.when(seed, F.col("_x")).otherwise(F.col("_x") * r) * F.pow(F.lit(a), -F.col("_rel")))
+    own = Window.partitionBy(*keys, CHUNK, "_b", "_seg").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_own", F.sum(term).over(own) * F.pow(F.lit(a), F.col("_rel")))
+    end = F.when(F.col("_rel") == rows - 1, F.col("_own"))
+    before = F.last(end, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    older = F.when(F.col("_seg") < F.col("_b") * rows, before * F.pow(F.lit(a), F.col("_rel") + 1))
+    y = F.when(seed, F.col("_x")).otherwise(F.col("_own") + F.coalesce(older, F.lit(0.0)))  # a seed is the value itself
+    return d.withColumn("_own", F.when(F.col("_x").isNotNull(), y))
+
+
+_WORK = ["_x", "_rn", "_s", "_seg", "_b", "_rel", "_own"]
+
+
+def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN", order: str = "date",
+        chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None, plan: ChunkPlan | None = None) -> DataFrame:
+    if not 0 <= rate <= 1:
+        raise ValueError("the rate of an EMA lies between 0 and 1")
     x = F.col(src).cast("double")
     if rate == 1:
         return df.withColumn(to, x)
     a = 1.0 - rate
-    cr = _ema_chunk_rows(rate, chunk_rows)
-    cols = df.columns
-    kt = df.schema[key].dataType
-
-    numbered = number_rows(df, key, order, bucket).withColumn("_x", x)
-    numbered = (numbered.withColumn("_c", F.floor(F.col(RN) / cr).cast("long"))
-                .withColumn("_b", F.col("_c") * cr))
-    w_c = Window.partitionBy(key, "_c").orderBy(RN)
-    run = Window.unboundedPreceding
-    ln = F.max(F.when(F.col("_x").isNull(), F.col(RN))).over(w_c.rowsBetween(run, 0))
-    p1 = numbered.withColumn("_ln", ln)
-    p1 = p1.withColumn("_s", F.coalesce(F.col("_ln") + 1, F.col("_b")))
-    w_s = Window.partitionBy(key, "_c", "_s").orderBy(RN).rowsBetween(run, 0)
-    rel = (F.col(RN) - F.col("_b")).cast("double")
-    seeded = F.col("_ln").isNotNull()
-    # the seed row of a segment starting inside the chunk enters as a^(t-s) x[s]
-    is_seed = seeded & (F.col(RN) == F.col("_s"))
-    term = (F.when(F.col("_x").isNotNull() & ~is_seed, F.col("_x") * F.pow(F.lit(a), -rel))
-            .otherwise(F.lit(0.0)))
-    p1 = (p1.withColumn("_R", F.sum(term).over(w_s))
-          .withColumn("_first", F.first("_x", ignorenulls=True).over(w_s)))
-    local = F.lit(rate) * F.pow(F.lit(a), rel) * F.col("_R")
-    since_s = (F.col(RN) - F.col("_s")).cast("double")
-    p1 = (p1.withColumn("_ync", F.when(seeded, F.pow(F.lit(a), since_s) * F.col("_first") + local)
-                        .otherwise(local))
-          .withColumn("_usecarry", ~seeded))
-    p = materialize(p1.select(*cols, RN, "_x", "_c", "_b", "_R", "_ync", "_usecarry"), "ema")
-
-    summary = (p.groupBy(key, "_c")
-               .agg(F.first("_b").alias("_b"),
-                    F.max(RN).alias("_end"),
-                    F.min_by("_x", RN).alias("_xb"),
-                    F.max_by(F.struct(F.col("_ync").alias("y"), F.col("_usecarry").alias("u"),
-                                      F.col("_x").isNull().alias("n")), RN).alias("_last"))
-               .select(F.col(key).alias("_k"), "_c", "_b", "_end", "_xb",
-                       F.col("_last.y").alias("_yend"), F.col("_last.u").alias("_usecarry"),
-                       F.col("_last.n").alias("_endnull")))
-    # neighbours by equi-joins on (key, chunk +/- 1): no window over a whole key
-    nxt = summary.select("_k", (F.col("_c") - 1).alias("_c"), F.col("_xb").alias("_xbn"))
-    prv = summary.select("_k", (F.col("_c") + 1).alias("_c"), F.col("_endnull").alias("_pendnull"))
-    maps = (summary.join(nxt, ["_k", "_c"], "left").join(prv, ["_k", "_c"], "left")
-            .select("_k", "_c", (F.floor(F.col("_c") / CARRY_BLOCK)).cast("long").alias("_j"),
-                    F.when(F.col("_c") == 0, F.col("_xb")).alias("_xb0"),
-                    ((F.col("_c") == 0) | F.coalesce(F.col("_pendnull"), F.lit(False))).alias("_seedb"),
-                    F.when(F.col("_endnull"), F.lit(0.0))
-                     .when(F.col("_usecarry"),
-                           F.pow(F.lit(a), (F.col("_end") - F.col("_b") + 1).cast("double")))
-                     .otherwise(F.lit(0.0)).alias("_A"),
-                    F.when(F.col("_endnull"), F.col("_xbn")).otherwise(F.col("_yend")).alias("_B")))
-    maps = materialize(maps, "ema_maps")
-    l1_schema = T.StructType([T.StructField("_k", kt), T.StructField("_c", T.LongType()),
-                              T.StructField("_j", T.LongType()),
-                              T.StructField("_PA", T.DoubleType()), T.StructField("_PB", T.DoubleType()),
-                              T.StructField("_TA", T.DoubleType()), T.StructField("_TB", T.DoubleType())])
-    l1 = maps.select("_k", "_c", "_j", "_A", "_B").groupBy("_k", "_j").applyInPandas(_affine_prefix, l1_schema)
-    l1 = materialize(l1, "ema_prefix")
-    blocks = (l1.where(F.col("_TA").isNotNull())
-              .join(maps.where(F.col("_c") == 0).select("_k", "_xb0"), "_k", "left")
-              .select("_k", "_j", "_TA", "_TB", F.when(F.col("_j") == 0, F.col("_xb0")).alias("_xb0")))
-    l2_schema = T.StructType([T.StructField("_k", kt), T.StructField("_j", T.LongType()),
-                              T.StructField("_cs", T.DoubleType())])
-    starts = blocks.groupBy("_k").applyInPandas(_block_scan, l2_schema)
-    carry = (F.when(F.col("_PA") == 0, F.col("_PB"))
-             .otherwise(F.col("_PA") * F.col("_cs") + F.col("_PB")))
-    carries = (l1.join(starts, ["_k", "_j"], "left")
-               .join(maps.select("_k", "_c", "_seedb"), ["_k", "_c"], "left")
-               .select("_k", "_c", carry.alias("_carry"), "_seedb"))
-    j = p.join(carries, (p[key] == carries["_k"]) & (p["_c"] == carries["_c"]), "left")
-    ab = F.pow(F.lit(a), (F.col(RN) - F.col("_b")).cast("double"))
-    seeded_at_b = ab * F.col("_carry") + F.lit(rate) * ab * (F.col("_R") - F.col("_carry"))
-    y = (F.when(F.col("_x").isNull(), F.lit(None).cast("double"))
-         .when(F.col("_usecarry") & F.col("_seedb"), seeded_at_b)
-         .when(F.col("_usecarry"), F.col("_ync") + ab * F.lit(a) * F.col("_carry"))
-         .otherwise(F.col("_ync")))
-    return j.select(*[p[c] for c in cols], y.alias(to))
+    fade = -math.log(a) if a < 1 else 0.0
+    if fade * MAX_HALO < 70 * math.log(2):
+        return _slow_ema(df, x, to, rate, a, key, order, chunk_rows, bucket, plan)
+    halo, rows = math.ceil(70 * math.log(2) / fade), max(2, int(300 / fade))
+    return series_window(df, key, order, lambda d, w: _local(d, [key], w, x, rate, a, rows, True)
+                         .withColumn(to, F.col("_own")).drop(*_WORK), halo, 0, chunk_rows, bucket, plan)
+
+
+def _compose(maps: Column) -> Column:
+    """Prefix compositions of an ordered array of affine maps (c, a, b): v -> a v + b."""
+    none = F.array().cast("array<struct<c:bigint,a:double,b:double>>")
+
+    def add(acc: Column, m: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joined = F.when(F.size(acc) == 0, F.struct(m["c"].alias("c"), m["a"].alias("a"), m["b"].alias("b"))).otherwise(
+            F.struct(m["c"].alias("c"), (m["a"] * last["a"]).alias("a"),
+                     (F.when(m["a"] == 0, F.lit(0.0)).otherwise(m["a"] * last["b"]) + m["b"]).alias("b")))
+        return F.concat(acc, F.array(joined))
+
+    return F.aggregate(maps, none, add)
+
+
+def _slow_ema(df: DataFrame, x: Column, to: str, r: float, a: float, key: str, order: str, chunk_rows: int, bucket,
+              plan: ChunkPlan | None) -> DataFrame:
+    """The EMA entering each chunk is a scan over one affine map per chunk, composed in
+    blocks of CARRY_BLOCK chunks and then over the blocks of a series."""
+    w = Window.partitionBy(key, CHUNK).orderBy(order)
+    d = _local(chunked(df, key, order, 0, 0, chunk_rows, bucket, plan), [key], w, x, r, a, 1 << 30, False)
+    last = F.max_by(F.struct("_x", "_own", "_s"), "_rn")
+    chunks = (d.groupBy(key, CHUNK).agg(F.count("*").alias("n"), F.min_by("_x", "_rn").alias("x0"), last.alias("l"))
+              .select(key, CHUNK, "n", "x0", F.col("l._x").isNull().alias("ends_null"), F.col("l._s").isNotNull().alias("nulls"),
+                      F.coalesce("l._own", F.lit(0.0)).alias("own")))
+    by_key = Window.partitionBy(key).orderBy(CHUNK)
+    chunks = chunks.withColumn("_fresh", F.coalesce(F.lag("ends_null").over(by_key), F.lit(True)))
+    fade = F.pow(F.lit(a), F.col("n").cast("double"))
+    entry = F.struct(F.col(CHUNK).cast("long").alias("c"),
+                     F.when(F.col("_fresh") | F.col("nulls"), F.lit(0.0)).otherwise(fade).alias("a"),
+                     F.when(F.col("_fresh") & ~F.col("nulls"), F.col("own") + fade * F.coalesce("x0", F.lit(0.0)))
+                     .otherwise(F.col("own")).alias("b"))
+    blocks = (chunks.groupBy(key, F.expr(f"{CHUNK} div {CARRY_BLOCK}").alias("_j"))
+              .agg(_compose(F.sort_array(F.collect_list(entry))).alias("m")))
+    tops = (blocks.select(key, "_j", F.element_at("m", -1).alias("t"))
+            .groupBy(key).agg(_compose(F.sort_array(F.collect_list(
+                F.struct(F.col("_j").cast("long").alias("c"), F.col("t.a").alias("a"), F.col("t.b").alias("b"))))).alias("m"))
+            .select(key, F.explode("m").alias("t")).select(key, (F.col("t.c") + 1).alias("_j"), F.col("t.b").alias("_in")))
+    ends = join_null_safe(blocks, tops, [key, "_j"], "left").select(key, F.explode("m").alias("e"), "_in").select(
+        key, (F.col("e.c") + 1).alias(CHUNK), (F.col("e.a") * F.coalesce("_in", F.lit(0.0)) + F.col("e.b")).alias("_end"))
+    # the value before a chunk: the previous chunk's end, or, after a null or at the start, the chunk's own first value
+    carry = join_null_safe(chunks.select(key, CHUNK, "x0", "_fresh"), ends, [key, CHUNK], "left").select(
+        key, CHUNK, F.when(F.col("_fresh"), F.col("x0")).otherwise(F.col("_end")).alias("_carry"))
+    y = F.when(F.col("_s").isNotNull() | F.col("_x").isNull(), F.col("_own")).otherwise(
+        F.col("_own") + F.pow(F.lit(a), (F.col("_rn") + 1).cast("double")) * F.col("_carry"))
+    return join_null_safe(d, carry, [key, CHUNK]).withColumn(to, y).drop("_carry", CHUNK, HALO, *_WORK)

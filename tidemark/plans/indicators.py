@@ -9,8 +9,11 @@ The long store ``(isin, date, value, type)`` is a view of the wide table that
 keeps exactly the rows the row-based operators produce (``long_view``);
 ``pivot`` is its inverse.
 
-Precondition (enforced at ingest): (isin, date) is unique and the four prices
-are non-null.  Under it the wide and long forms agree value for value.
+Precondition (kept by the ingest): (isin, date) is unique.  Rows with null
+prices stay.  A missing Close leaves a performance series without a row where
+its counterpart is missing; series over such a series look back over its
+present rows, as the row-based operators do, and the chunks' halo grows by the
+longest run of missing closes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.sequence import DEFAULT_CHUNK_ROWS, series_window
+from tidemark.operators.sequence import CHUNK, DEFAULT_CHUNK_ROWS, ChunkPlan, series_window
 from tidemark.plans import spec as S
 
 KEY = "isin"
@@ -51,8 +54,7 @@ class _Builder:
         if s.op == "base":
             p = None
         elif s.op in ("perf", "deriv"):
-            x = F.col(s.inputs[0])
-            p = _and(self.presence(s.inputs[0]), C.shifted(x, s.n, self.w).isNotNull())
+            p = _and(self.presence_ref(s.inputs[0]), self.counterpart(s).isNotNull())
         else:
             p = None
             for i in s.inputs:
@@ -66,9 +68,19 @@ class _Builder:
             return F.col(_q(PRESENT + name))
         return self.presence(name)
 
+    def counterpart(self, s: S.Series) -> Column:
+        """The input's value ``n`` of its rows away: of all rows, or of its
+        present rows where it has not one for every quote."""
+        src = s.inputs[0]
+        if self.presence(src) is None or not s.n:
+            return C.shifted(F.col(_q(src)), s.n, self.w)
+        step = "lag" if s.n < 0 else "lead"
+        return F.expr(f"({step}(CASE WHEN {_q(PRESENT + src)} THEN struct({_q(src)} AS v) END, {abs(s.n)}) IGNORE NULLS "
+                      f"OVER (PARTITION BY {KEY}, {CHUNK} ORDER BY {ORDER})).v")
+
     def expr(self, s: S.Series) -> Column:
         w = self.w
-        x = [F.col(i) for i in s.inputs]
+        x = [F.col(_q(i)) for i in s.inputs]
         op = s.op
         if op == "base":
             return F.col(s.name)
@@ -79,9 +91,10 @@ class _Builder:
         if op == "stddev":
             return C.rolling_stddev(x[0], s.n, w)
         if op == "perf":
-            return C.performance(x[0], s.n, w)
+            other = self.counterpart(s)
+            return (F.try_divide(x[0], other) if s.n < 0 else F.try_divide(other, x[0])) - 1
         if op == "deriv":
-            return C.derivative(x[0], s.n, w)
+            return x[0] - self.counterpart(s)
         if op == "boll_h":
             return C.boll_high(x[0], x[1])
         if op == "boll_l":
@@ -98,16 +111,14 @@ class _Builder:
 
 
 def prepare_quotes(quotes: DataFrame) -> DataFrame:
-    """Project the four prices and drop rows the series cannot use."""
-    return (quotes.select(F.col(KEY).cast("string").alias(KEY), F.col(ORDER),
-                          *[F.col(c).cast("double").alias(c) for c in S.BASE])
-            .where(F.col("Close").isNotNull() & F.col("Open").isNotNull()
-                   & F.col("Low").isNotNull() & F.col("High").isNotNull()))
+    """Project the four prices; every row stays."""
+    return quotes.select(F.col(KEY).cast("string").alias(KEY), F.col(ORDER),
+                         *[F.col(c).cast("double").alias(c) for c in S.BASE])
 
 
 def build_wide(quotes: DataFrame, plan=None, columns: list[str] | None = None,
                presence: bool = False, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-               bucket: str | None = None) -> DataFrame:
+               bucket: str | None = None, chunks: ChunkPlan | None = None) -> DataFrame:
     """Wide indicator table.  ``columns`` restricts the output (only the
     needed definitions are computed); ``presence`` adds ``__p__<name>``
     flags used by ``long_view``."""
@@ -117,7 +128,8 @@ def build_wide(quotes: DataFrame, plan=None, columns: list[str] | None = None,
     back, fwd = S.reach(needed)
     layers = S.layering(needed)
 
-    label_sources = {s.inputs[0] for s in needed if s.op in ("class", "gt")}
+    shifted = {s.inputs[0] for s in needed if s.op in ("perf", "deriv")}
+    label_sources = {s.inputs[0] for s in needed if s.op in ("class", "gt")} | shifted
 
     def run(df: DataFrame, w: Window) -> DataFrame:
         b = _Builder(needed, w)
@@ -132,7 +144,7 @@ def build_wide(quotes: DataFrame, plan=None, columns: list[str] | None = None,
         return df
 
     q = prepare_quotes(quotes)
-    wide = series_window(q, KEY, ORDER, run, back, fwd, chunk_rows, bucket)
+    wide = series_window(q, KEY, ORDER, run, back, fwd, chunk_rows, bucket, chunks, gap=F.col("Close").isNull())
     out = [KEY, ORDER, *wanted]
     if presence:
         out += [PRESENT + n for n in wanted if n not in S.BASE]
@@ -155,10 +167,10 @@ def long_view(wide_with_presence: DataFrame, names: list[str]) -> DataFrame:
 
 
 def build_long(quotes: DataFrame, plan=None, columns: list[str] | None = None,
-               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+               chunk_rows: int = DEFAULT_CHUNK_ROWS, chunks: ChunkPlan | None = None) -> DataFrame:
     plan = tuple(plan or S.standard_plan())
     names = columns or [s.name for s in plan]
-    wide = build_wide(quotes, plan, names, presence=True, chunk_rows=chunk_rows)
+    wide = build_wide(quotes, plan, names, presence=True, chunk_rows=chunk_rows, chunks=chunks)
     return long_view(wide, names)
 
 

@@ -18,6 +18,8 @@ fits re-read it.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -124,13 +126,21 @@ def elbow(prepared: DataFrame, ks=range(3, 90, 3), seed: int = KMEANS_SEED,
     return prepared.sparkSession.createDataFrame(rows, "k int, wssse double")
 
 
+def split_by_hash(rows: DataFrame, weights=(0.8, 0.2), seed: int = FOREST_SEED) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows by a hash of (isin, date) and the seed: the same split
+    whatever the partitioning or the cluster."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "isin", F.col("date").cast("string"), F.lit(str(seed)))), 1, 4), 16, 10).cast("int")
+    train = h < int(65536 * weights[0] / sum(weights))
+    return rows.where(train), rows.where(~train)
+
+
 def evaluate(data: DataFrame, label: str, seed: int = FOREST_SEED,
              weights=(0.8, 0.2), num_trees: int = NUM_TREES) -> DataFrame:
     """Test error and opportunity metrics of a forest trained on a random
     split, as a one-row DataFrame (one aggregate, not one job per count)."""
-    pert = materialize(training_set(data, label, extra=["P-XS+5"]), "evaluate")
+    pert = materialize(training_set(data, label, extra=["P-XS+5", "isin", "date"]), "evaluate")
     pipe = feature_pipeline(pert)
-    train, test = pert.randomSplit(list(weights), seed=seed)
+    train, test = split_by_hash(pert, weights, seed)
     model = train_forest(pipe.transform(train), label, seed, num_trees)
     pred = model.transform(pipe.transform(test))
     to, lab = q(predicted_col(label)), q(label)
@@ -180,14 +190,20 @@ def recent(data: DataFrame, as_of: dt.date | Column | None = None, days: int = R
 
 
 def predict(data: DataFrame, model_dir: str, as_of=None, labels=LABELS) -> DataFrame:
-    """Score recent rows with the saved pipeline, forests and k-means."""
+    """Score recent rows with the saved pipeline, forests and k-means. Rows short
+    of a feature stay, with null predictions."""
     pipe = PipelineModel.load(f"{model_dir}/pipeline")
-    out = pipe.transform(recent(data, as_of))
+    rows = recent(data, as_of)
+    short = reduce(or_, [q(c).isNull() | F.isnan(q(c)) for c in FEATURES])
+    out = pipe.transform(rows.where(~short))
     for label in labels:
         out = RandomForestClassificationModel.load(f"{model_dir}/rfc/{label}").transform(out)
-    return KMeansModel.load(f"{model_dir}/kmeans").transform(out)
+    out = KMeansModel.load(f"{model_dir}/kmeans").transform(out)
+    return out.unionByName(rows.where(short), allowMissingColumns=True)
 
 
-def probability_of_one(c: str) -> Column:
-    """Probability of class 1 from a probability vector (or a plain double)."""
-    return vector_to_array(q(c))[1]
+def center_distances(centers, vec: str = "scaledFeatures") -> Column:
+    """Squared distances from a vector to each centre, computed apart from the model's transform."""
+    v = vector_to_array(F.col(vec))
+    return F.array(*[F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)),
+                                F.lit(0.0), lambda s, x: s + x) for c in centers])

@@ -1,45 +1,71 @@
 """Spark session helpers.
 
 The engine never creates machine-local scratch space on a cluster: the
-checkpoint folder is taken from ``spark.checkpoint.dir`` when the cluster
-names one, and only a local/test session gets a private folder.
+checkpoint folder is taken from ``spark.checkpoint.dir``, and only a local
+(single-machine) master may fall back to a private folder.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Settings of this engine; a submitted configuration always wins over them.
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
+def submitted_conf() -> dict[str, str]:
+    """Settings given from outside: by spark-submit (whose JVM this process was
+    started from) or in PYSPARK_SUBMIT_ARGS; empty for a plain ``python`` run."""
+    args = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and "--master" not in args and "spark.master" not in args:
+        return {}
+    from pyspark import SparkConf, SparkContext
+    SparkContext._ensure_initialized()
+    return dict(SparkConf().getAll())
+
 
 def get_session(master: str | None = None, cpus: int | None = None,
                 app: str = "tidemark", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session configured for this engine.
 
-    ``master`` defaults to ``local[cpus]`` only when no master is configured
-    by the environment (spark-submit sets it on a cluster).
+    An active session is returned as it is. Under spark-submit the master,
+    memory and shuffle partitions are the submitted ones; only settings absent
+    there are filled in. A plain ``python`` run gets ``local[cpus]``.
     """
-    cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or f"local[{cpus}]")
-    conf = {
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(max(8, cpus * 2)),
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "16g",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    }
-    conf.update(extra or {})
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        checkpoint_dir(active)
+        return active
+    given = submitted_conf()
+    conf = dict(DEFAULTS)
+    if not given:
+        cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+        conf |= {"spark.master": master or f"local[{cpus}]", "spark.driver.memory": "16g",
+                 "spark.sql.shuffle.partitions": str(max(8, cpus * 2))}
+    elif master:
+        conf["spark.master"] = master
+    conf |= extra or {}
+    b = SparkSession.builder
+    if "spark.app.name" not in given:
+        b = b.appName(app)
     for k, v in conf.items():
-        b = b.config(k, v)
+        if k not in given:
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -47,33 +73,59 @@ def get_session(master: str | None = None, cpus: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only when
-    the session has none (local runs and tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder. Without one a local master gets a private
+    folder; any other master must name it in ``spark.checkpoint.dir``, because
+    executors could not read what the driver's machine keeps to itself."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: "
+                               f"master {spark.sparkContext.master} has no machine-local scratch")
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        try:
+        with contextlib.suppress(Exception):  # core confs may be read-only at runtime
             spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release_tables(since: int = 0) -> None:
+    """Delete the tables that ``materialize`` has written (from the given one on)."""
+    while len(_written) > since:
+        _delete(*_written.pop())
+
+
+atexit.register(release_tables)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables materialised inside are deleted at the end of the block; write the
+    block's result before it ends."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        release_tables(mark)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it
-    back: cuts the lineage and gives a columnar, prunable re-scan."""
+    back: cuts the lineage and gives a columnar, prunable re-scan. The table
+    lives until ``scratch`` or the process ends."""
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append((spark, path))
     return spark.read.parquet(path)
