@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import boosting, langid, quality, toxicity
-from tidemark.llm.common import fold, hash_spans, spans
+from tidemark.llm.common import fold, hash_spans, sample_ids, spans
 
 SF = "/root/testdata/sf0.01"
 ODD = [(90001, None), (90002, ""), (90003, " \n\t"), (90004, "x"), (90004, "x"), (90005, "é" * 200_000), (None, "no id")]
@@ -108,3 +108,12 @@ def test_span_hashes_depend_on_the_bytes_only():
     s, e = spans(data != 32)
     h = hash_spans(data, s, e)
     assert h[0] == h[2] and h[1] == h[5] and h[3] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_samples_are_bounded_and_the_smallest_hashes(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, "rare").otherwise("many").alias("g"))
+    got = sample_ids(rows, "id", ["g"], 50, 3)
+    assert {r.g: r["count"] for r in got.groupBy("g").count().collect()} == {"rare": 50, "many": 50} and got.columns == ["id", "g"]
+    all_ = rows.where("g = 'rare'").orderBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)), "id").limit(50)
+    assert {r.id for r in got.where("g = 'rare'").collect()} == {r.id for r in all_.collect()}
+    assert sample_ids(rows.limit(7), "id", ["g"], 50, 3).count() == 7 and sample_ids(rows.limit(0), "id", ["g"], 50, 3).count() == 0

@@ -13,6 +13,7 @@ import numpy as np
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -56,22 +57,21 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def sample_ids(rows: DataFrame, id_col: str, by: list[str], per_group: int, seed: int) -> DataFrame:
-    """At most ``per_group`` rows for each value of ``by``, the smallest by a seeded hash.
+    """At most ``per_group`` rows for each value of ``by`` (not null), the smallest by a
+    seeded hash.
 
-    The bound holds whatever the input: a first cut keeps, per group and hash slice, no
-    more than the share it could need, so no group is ever sorted in one task.
+    The groups are counted first, and only hashes below a bound that leaves a little more
+    than enough rows go on, so the ranking of a group is small however large the group.
     """
-    from pyspark.sql import Window as W
-
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    slices = 64
-    part = rows.withColumn(P + "h", h).withColumn(P + "s", F.pmod(F.xxhash64(F.col(P + "h")), F.lit(slices)))
-    order = [F.col(P + "h"), F.col(id_col)]
-    part = (part.withColumn(P + "r", F.row_number().over(W.partitionBy(*by, P + "s").orderBy(*order)))
-            .where(F.col(P + "r") <= per_group)
-            .withColumn(P + "r", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-            .where(F.col(P + "r") <= per_group))
-    return part.drop(P + "h", P + "s", P + "r")
+    space, spare = 1 << 40, 1.5
+    names = {c: P + f"by{i}" for i, c in enumerate(by)}
+    counts = rows.groupBy(*by).agg(F.count("*").alias(P + "n")).withColumnsRenamed(names)
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(space))
+    enough = F.lit((per_group * spare + 256) * space) / F.col(P + "n")
+    same = [F.col(c) == F.col(n) for c, n in names.items()]
+    near = rows.withColumn(P + "u", u).join(counts, same).where(F.col(P + "u") < enough)
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(P + "u", id_col))
+    return near.withColumn(P + "r", rank).where(F.col(P + "r") <= per_group).drop(P + "u", P + "r", P + "n", *names.values())
 
 
 # --- vectorised text ----------------------------------------------------------

@@ -95,16 +95,16 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def parse_table(go: list[dict[int, int]], width: int, base: int) -> np.ndarray:
-    """table[(state - base) * width + symbol]: next state x width; negative (bit inverted)
-    where the phrase ended and the symbol begins the next one at the root."""
+    """table[(state - base) * width + symbol]: next state x width, its bits inverted where
+    the symbol begins a phrase: at the root, and where no longer match goes on. A symbol
+    that the reference lacks is a phrase of its own, after which the parse is at the root."""
     from_root = np.full(width, base * width, dtype=np.int32)
     for c, s in go[0].items():
         from_root[c] = (base + s) * width
     table = np.tile(~from_root, (len(go), 1))
-    for s, out in enumerate(go):
+    for s, out in enumerate(go[1:], 1):
         for c, t in out.items():
             table[s, c] = (base + t) * width
-    # at the root itself an unknown symbol is a phrase of its own, already counted by the inversion
     return table.ravel()
 
 
@@ -155,14 +155,14 @@ class Model:
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        phrases = np.ones((k, len(owner)), dtype=np.int32)
+        phrases = np.zeros((k, len(owner)), dtype=np.int32)
         falling = -length
         for step in range(int(length[0]) if len(length) else 0):
             alive = int(np.searchsorted(falling, -step, side="left"))
             value = self.table[state[:, :alive] + sym[start[:alive] + step]]
-            ended = value >> 31
-            phrases[:, :alive] -= ended
-            state[:, :alive] = value ^ ended
+            begins = value >> 31  # -1 or 0
+            phrases[:, :alive] -= begins
+            state[:, :alive] = value ^ begins
         per_text = np.stack([np.bincount(owner, row, n) for row in phrases], axis=1) if k else np.zeros((n, 0))
         return per_text * self.factor / np.maximum(total, 1)[:, None], letters
 

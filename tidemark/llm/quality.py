@@ -32,11 +32,12 @@ PER_CLASS = 6000
 SEED = 9
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
+STATISTICS = 18
 
 
 def statistics(blobs: list[bytes]) -> np.ndarray:
     """One row of statistics per text, computed over whole texts, many texts at a time."""
-    return np.concatenate([_statistics(blobs[lo:hi]) for lo, hi in chunks(blobs)]) if blobs else np.zeros((0, 18))
+    return np.concatenate([_statistics(blobs[lo:hi]) for lo, hi in chunks(blobs)]) if blobs else np.zeros((0, STATISTICS))
 
 
 def _statistics(blobs: list[bytes]) -> np.ndarray:
@@ -116,10 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, seen, id_col: str = "doc_id", text
 
     got = (texts.select(F.col(P + "id").cast("string").alias("id"), "text", F.col(P + "y").alias("y"))
            .mapInArrow(run, "id string, x array<double>, y int").toArrow().sort_by("id"))
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(got.num_rows, -1)
+    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(got.num_rows, STATISTICS)
     y = np.array(got.column("y").to_pylist(), dtype=float)
-    order = np.lexsort((*x.T, y)) if len(y) else []  # the same model however the rows arrive
-    return boosting.fit(x[order] if len(y) else np.zeros((0, 18)), y[order] if len(y) else y)
+    order = np.lexsort((*x.T, y))  # the same model however the rows arrive
+    return boosting.fit(x[order], y[order])
 
 
 def score(docs: DataFrame, model: boosting.Trees, text_col: str = "text", out: str = "score") -> DataFrame:
