@@ -55,15 +55,20 @@ def words(text):
 def contaminated(text, items, window=16, share=0.8):
     """Items of which some window is in the text, position by position, to the share."""
     import math
-    d, out = words(text), set()
+
+    import numpy as np
+    number, out = {}, set()
+    d = [number.setdefault(w, len(number)) for w in words(text)]
     for i, t in items:
-        w = words(t)
+        w = np.array([number.setdefault(x, len(number)) for x in words(t)], dtype=int)
+        if not len(w):
+            continue
         n = min(window, len(w))
-        need = math.ceil(n * share)
-        for a in range(len(w) - n + 1):
-            for shift in range(-a - n + 1, len(d)):
-                if n and sum(0 <= a + k + shift < len(d) and d[a + k + shift] == w[a + k] for k in range(n)) >= need:
-                    out.add(i)
+        padded = np.array([-1] * len(w) + d + [-1] * len(w), dtype=int)
+        equal = np.lib.stride_tricks.sliding_window_view(padded, len(w)) == w  # one row per shift of the item
+        runs = np.pad(equal.cumsum(axis=1), ((0, 0), (1, 0)))
+        if (runs[:, n:] - runs[:, :-n]).max() >= math.ceil(n * share):
+            out.add(i)
     return out
 
 

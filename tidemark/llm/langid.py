@@ -47,13 +47,6 @@ LANES = 1 << 21
 BLANK, OTHER = 0, 1
 
 
-def is_letter(codes: np.ndarray) -> np.ndarray:
-    """Letters among code points."""
-    kinds = np.unique(codes)
-    known = np.array([chr(c).isalpha() for c in kinds.tolist()], dtype=bool)
-    return known[np.searchsorted(kinds, codes)]
-
-
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     low = [t.lower() for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
