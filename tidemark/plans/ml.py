@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, persisted
 
 # The model features (all look backwards) and the labels.
 FEATURES = [
@@ -112,17 +112,12 @@ def elbow(prepared: DataFrame, ks=range(3, 90, 3), seed: int = KMEANS_SEED,
     short k-means iterations; each fit keeps its own fixed seed."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import StorageLevel
-
-    data = prepared.select("scaledFeatures").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with persisted(prepared.select("scaledFeatures")) as data:
         def fit(k):
             return int(k), float(train_kmeans(data, k, seed, max_iter).summary.trainingCost)
 
         with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
             rows = list(pool.map(fit, ks))
-    finally:
-        data.unpersist()
     return prepared.sparkSession.createDataFrame(rows, "k int, wssse double")
 
 

@@ -13,6 +13,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings of this engine; a submitted configuration always wins over them.
@@ -129,3 +130,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     _written.append((spark, path))
     return spark.read.parquet(path)
+
+
+@contextlib.contextmanager
+def persisted(*frames: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    """Frames read by several actions, cached inside the block only."""
+    for df in frames:
+        df.persist(level)
+    try:
+        yield frames[0] if len(frames) == 1 else frames
+    finally:
+        for df in frames:
+            df.unpersist()
