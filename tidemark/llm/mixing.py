@@ -77,14 +77,16 @@ def quotas(leaves: DataFrame, levels: list[str], weights: dict[str, dict[tuple,
             weight = F.when(hit, F.lit(int(value))).otherwise(weight)
         nodes = nodes.withColumn("w_" + level, weight.cast("long")).where((F.col("w_" + level) > 0) & (F.col("cap") > 0))
     tree = nodes.withColumn("root", F.lit(0))
-    caps = tree.groupBy("root").agg(F.sum("cap").alias("cap"))
-    have = caps.select("root", F.least(F.lit(int(budget)).cast("long"), "cap").alias("budget"))
-    parent = ["root"]
+    have = None
     for k, level in enumerate(levels):
-        path = ["root", *levels[:k + 1]]
-        children = tree.groupBy(*path, F.col("w_" + level).alias("weight")).agg(F.sum("cap").alias("cap")).join(have, parent)
+        path, parent = ["root", *levels[:k + 1]], ["root", *levels[:k]]
+        children = tree.groupBy(*path, F.col("w_" + level).alias("weight")).agg(F.sum("cap").alias("cap"))
+        if have is None:
+            whole = F.sum("cap").over(W.partitionBy("root"))
+            children = children.withColumn("budget", F.least(F.lit(int(budget)).cast("long"), whole))
+        else:
+            children = children.join(have, parent)
         have = _share(children, parent, level).select(*path, "budget")
-        parent = path
     return leaves.join(have.drop("root").withColumnRenamed("budget", "quota"), levels)
 
 
@@ -111,35 +113,40 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[tupl
     ``budget``: tokens in all; by default ``share`` of the tokens there are.
     """
     names = [P + k for k in levels]
-    placed = docs.withColumns({P + k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()}).withColumn(
-        P + "tokens", tokens(F.col(text_col)))
-    todo = plan(placed.select(*names, P + "tokens"), names, {P + k: v for k, v in weights.items()}, budget, share, max_epochs)
+    placed = docs.withColumns({P + k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()})
+    count = tokens(F.col(text_col))
+    ids = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(P + "id")
+    # texts are counted here once, and once more where they leave; everything between reads this narrow table
+    narrow = materialize(placed.select(*names, ids, count.alias(P + "tokens")), "mix_tokens")
+    todo = plan(narrow, names, {P + k: v for k, v in weights.items()}, budget, share, max_epochs)
     # one row per leaf: Spark broadcasts it if its written size is small, else joins by shuffle
     todo = todo.select(*names, *[F.col(c).alias(P + c) for c in ("epochs", "take", "digits")])
-    rows = placed.join(todo, names).where(F.col(P + "tokens") > 0)
     epochs, take, cut, before, start = (F.col(P + c) for c in ("epochs", "take", "cut", "before", "start"))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), epochs, F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    partial = rows.where(take > 0).withColumn(P + "order", order).withColumn(
-        P + "range", F.expr(f"substr({P}order, 1, {P}digits)"))
-    sums = partial.groupBy(*names, P + "range", P + "take").agg(F.sum(P + "tokens").alias("sum"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), epochs, F.col(P + "id")))
+    ranged = F.expr(f"substr({P}order, 1, {P}digits)")
+    sums = (narrow.join(todo, names).where((F.col(P + "tokens") > 0) & (take > 0)).withColumn(P + "order", order)
+            .groupBy(*names, ranged.alias(P + "range"), P + "take").agg(F.sum(P + "tokens").alias("sum")))
     ahead = W.partitionBy(*names).orderBy(P + "range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn(P + "before", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))
     cuts = sums.where((before < take) & (before + F.col("sum") >= take)).select(*names, F.col(P + "range").alias(P + "cut"), P + "before")
-    met = partial.join(materialize(cuts, "mix_cuts"), names)
+    todo = materialize(todo.join(cuts, names, "left"), "mix_todo")
+    rows = placed.withColumn(P + "id", ids).join(todo, names).withColumn(P + "order", order).withColumn(P + "range", ranged)
+
     own = W.partitionBy(*names).orderBy(P + "order", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), P + "tokens")
-    inside = met.where(F.col(P + "range") == cut).withColumn(
+    inside = rows.where(F.col(P + "range") == cut).withColumn(P + "tokens", count).where(F.col(P + "tokens") > 0).withColumn(
         P + "start", before + F.coalesce(F.sum(P + "tokens").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    count = F.col(P + "tokens")
-    last = inside.where(start < take).withColumns({P + "taken": F.least(count, take - start), P + "epoch": epochs})
-    last = last.withColumn(text_col, F.when(F.col(P + "taken") < count, first_tokens(F.col(text_col), F.col(P + "taken"))).otherwise(F.col(text_col)))
-    whole = met.where(F.col(P + "range") < cut).withColumns({P + "taken": count, P + "epoch": epochs})
-    full = (rows.where(epochs > 0).withColumn(P + "taken", count)
-            .withColumn(P + "epoch", F.explode(F.sequence(F.lit(0), epochs - 1))))
+    n = F.col(P + "tokens")
+    last = inside.where(start < take).withColumns({P + "taken": F.least(n, take - start), P + "epoch": epochs})
+    last = last.withColumn(text_col, F.when(F.col(P + "taken") < n, first_tokens(F.col(text_col), F.col(P + "taken"))).otherwise(F.col(text_col)))
+    # whole documents: once per whole epoch, and once more before the cut of the last one
+    times = epochs + F.coalesce(F.col(P + "range") < cut, F.lit(False)).cast("int")
+    whole = (rows.withColumn(P + "times", times).where(F.col(P + "times") > 0).withColumn(P + "tokens", count).where(F.col(P + "tokens") > 0)
+             .withColumn(P + "taken", n).withColumn(P + "epoch", F.explode(F.sequence(F.lit(0), F.col(P + "times") - 1))))
     added = {"epoch": "epoch", "n_tokens": "tokens", "n_taken": "taken"}
     cols = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    cols += [F.col(n).alias(k) for n, k in zip(names, levels) if k not in docs.columns]
+    cols += [F.col(n_).alias(k) for n_, k in zip(names, levels) if k not in docs.columns]
     cols += [F.col(P + v).alias(k) for k, v in added.items()]
-    return full.select(*cols).unionByName(whole.select(*cols)).unionByName(last.select(*cols))
+    return whole.select(*cols).unionByName(last.select(*cols))
 
 
 def first_tokens(text: Column, n: Column) -> Column:
