@@ -11,6 +11,9 @@ non-ANSI arithmetic of the original engine did, instead of raising.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +25,45 @@ def sma(x: Column, n: int, w: Window) -> Column:
     return F.avg(x).over(w.rowsBetween(-(n - 1), 0))
 
 
+# Frames of at least this many rows are added up from shorter ones.
+LONG_FRAME = 32
+
+
+def frame_parts(n: int) -> tuple[int, int]:
+    """Rows of the short frame, and of the rest: n = k * short + rest."""
+    short = max(1, round(n ** 0.5))
+    return short, n % short
+
+
+def partial_sum(x: Column, rows: int, w: Window) -> Column:
+    """Sum and count over ``rows`` rows, to be added up by ``long_sma``."""
+    f = w.rowsBetween(-(rows - 1), 0)
+    return F.struct(F.coalesce(F.sum(x).over(f), F.lit(0.0)).alias("s"), F.count(x).over(f).alias("c"))
+
+
+def long_sma(n: int, short: Column, rest: Column | None, w: Window) -> Column:
+    """``sma`` over ``n`` rows from lagged ``partial_sum`` columns of ``frame_parts(n)``
+    rows: about 2 sqrt(n) steps a row instead of n. Sums are only added, never
+    subtracted, so nothing cancels and a NaN is gone when it leaves the frame."""
+    rows, left = frame_parts(n)
+    parts = [short if j == 0 else F.lag(short, j * rows).over(w) for j in range(n // rows)]
+    if left:
+        parts.append(F.lag(rest, n - left).over(w))
+    total = reduce(add, [F.coalesce(p["s"], F.lit(0.0)) for p in parts])
+    count = reduce(add, [F.coalesce(p["c"], F.lit(0)) for p in parts])
+    return F.when(count > 0, total / count)
+
+
+def weigh(average: Column, x: Column, n: int) -> Column:
+    return average * (n - 1) / n + x / n
+
+
 def ma_plus(x: Column, n: int, w: Window) -> Column:
     """Moving average that weighs the current value once more:
     ``avg_n * (n-1) / n + x / n`` (the average already contains ``x``)."""
     if n < 1:
         raise ValueError("moving average needs n >= 1")
-    return sma(x, n, w) * (n - 1) / n + x / n
+    return weigh(sma(x, n, w), x, n)
 
 
 def rolling_stddev(x: Column, n: int, w: Window) -> Column:
