@@ -109,6 +109,9 @@ _WORK = ["_x", "_rn", "_s", "_seg", "_b", "_rel", "_own"]
 
 def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN", order: str = "date",
         chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket=None, plan: ChunkPlan | None = None) -> DataFrame:
+    """``to`` = the EMA of ``src``.  Missing values are nulls; a NaN or infinite value
+    spoils the rows after it, up to the next null or for as long as the form of the
+    sum remembers it (at least the rest of its block)."""
     if not 0 <= rate <= 1:
         raise ValueError("the rate of an EMA lies between 0 and 1")
     x = F.col(src).cast("double")
