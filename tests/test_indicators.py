@@ -194,21 +194,3 @@ def test_scan_prunes_columns(spark, bars001):
     assert schemas
     for s in schemas:
         assert "Turnover" not in s and "Number_of_Shares" not in s
-
-
-def test_long_frames_equal_sliding_ones(spark):
-    """Added-up partial sums: heads, nulls, NaN and infinite values as in a plain frame."""
-    from pyspark.sql import Window
-
-    from tidemark.functions import columns as C
-    bad = {60: float("nan"), 160: float("inf"), 300: None, 301: None, 420: float("-inf")}
-    d = spark.createDataFrame([("k", i, bad.get(i, float(i % 13) + i / 7)) for i in range(700)], "isin string, date int, p double")
-    names = [(f"A{n}", n) for n in (32, 33, 90, 97, 200)]
-    q = d.select("isin", "date", *[F.col("p").alias(c) for c in S.BASE])
-    got = {r["date"]: r for r in IND.build_wide(q, [S.base(b) for b in S.BASE] + [S.sma("Close", a, n) for a, n in names],
-                                                [a for a, _ in names], chunk_rows=64, bucket=16).collect()}
-    w = Window.partitionBy("isin").orderBy("date")
-    for r in d.select("date", *[C.sma(F.col("p"), n, w).alias(a) for a, n in names]).collect():
-        for a, _ in names:
-            x, y = r[a], got[r["date"]][a]
-            assert x == y or (math.isnan(x) and math.isnan(y)) or abs(x - y) <= 1e-9 * max(1, abs(x)), (r["date"], a, x, y)

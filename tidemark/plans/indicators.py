@@ -38,10 +38,6 @@ def _and(a: Column | None, b: Column | None) -> Column | None:
     return a & b
 
 
-def part_name(src: str, rows: int) -> str:
-    return _q(f"__sum{rows}__{src}")
-
-
 class _Builder:
     def __init__(self, plan, w: Window):
         self.idx = S.by_name(plan)
@@ -88,13 +84,10 @@ class _Builder:
         op = s.op
         if op == "base":
             return F.col(s.name)
-        if op in ("sma", "ma_plus"):
-            if s.n < C.LONG_FRAME:
-                average = C.sma(x[0], s.n, w)
-            else:
-                short, rest = (F.col(part_name(s.inputs[0], r)) for r in C.frame_parts(s.n))
-                average = C.long_sma(s.n, short, rest, w)
-            return average if op == "sma" else C.weigh(average, x[0], s.n)
+        if op == "sma":
+            return C.sma(x[0], s.n, w)
+        if op == "ma_plus":
+            return C.ma_plus(x[0], s.n, w)
         if op == "stddev":
             return C.rolling_stddev(x[0], s.n, w)
         if op == "perf":
@@ -141,10 +134,6 @@ def build_wide(quotes: DataFrame, plan=None, columns: list[str] | None = None,
     def run(df: DataFrame, w: Window) -> DataFrame:
         b = _Builder(needed, w)
         for layer in layers[1:]:
-            parts = {(s.inputs[0], r) for s in layer if s.op in ("sma", "ma_plus") and s.n >= C.LONG_FRAME
-                     for r in C.frame_parts(s.n) if r}
-            if parts:
-                df = df.select("*", *[C.partial_sum(F.col(_q(x)), r, w).alias(part_name(x, r).strip("`")) for x, r in sorted(parts)])
             cols = [b.expr(s).alias(s.name) for s in layer]
             for s in layer:
                 p = b.presence(s.name)
