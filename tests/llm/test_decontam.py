@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 from brute import contaminated
@@ -71,3 +72,15 @@ def test_nulls_and_repeats(spark):
     items = spark.createDataFrame([(None, w), (3, w), (3, w)], "item_id long, text string")
     got = sorted((str(r.doc_id), str(r.item_id)) for r in decontam.overlaps(docs, items).collect())
     assert got == [("1", "3"), ("1", "None"), ("None", "3"), ("None", "None")]
+
+
+@pytest.mark.parametrize("n,wrong,limit", [(11, 2, 1), (12, 2, 1), (13, 2, 1), (14, 2, 1), (15, 3, 1), (16, 3, 1), (20, 4, 1), (12, 2, 0), (16, 3, 0)])
+def test_every_accepted_substitution_pattern(spark, n, wrong, limit):
+    item = [f"t{i}" for i in range(n)]
+    texts = [(k, " ".join("zzz" if i in at else w for i, w in enumerate(item))) for k, at in enumerate(combinations(range(n), wrong))]
+    exp = {k for k, t in texts if contaminated(t, [(7, " ".join(item))])}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = decontam.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), broadcast_bytes=limit * decontam.BROADCAST_BYTES)
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == exp and len(rows) == len(exp)
+    assert all(r.window == min(n, 16) and r.equal_words >= 0.8 * r.window and r.n_places >= 1 for r in rows)
