@@ -34,3 +34,21 @@ def test_own_rules_and_empty(spark):
     rules = {"r": ("X", ["one", "two"])}
     assert scan(spark, [(1, "First thing. Second thing.")], sentences={"one": "First thing", "two": "second thing!"}, rules=rules) == [("1", "r", "X", 2)]
     assert scan(spark, []) == []
+
+
+CLAUSES = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+           "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+           licences.SENTENCES["bsd-endorse"]]
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+def bsd(clauses, mark):
+    parts = [licences.SENTENCES["bsd-redistribute"], *[mark.format(i + 1) + c for i, c in enumerate(CLAUSES[:clauses])], DISCLAIMER]
+    return "Copyright (c) 2024, The Authors\nAll rights reserved.\n\n" + "\n\n".join(wrap(p, 76) for p in parts)
+
+
+def test_published_bsd_texts(spark):
+    marks = ["{}. ", "({}) ", "{}) ", "* ", ""]
+    texts = [(10 * n + i, bsd(n, m)) for n in (2, 3) for i, m in enumerate(marks)]
+    exp = [(str(10 * n + i), f"bsd-{n}", f"BSD-{n}-Clause", n - 1) for n in (2, 3) for i in range(len(marks))]
+    assert scan(spark, texts) == exp

@@ -7,7 +7,8 @@ of sentence ids. The longest rule at a place wins, and a match inside a longer o
 Sentences end at . ! ? ; or : before white space, and at blank lines. Licence text is often
 wrapped, and licence lines often stand alone, so a sentence that runs over several lines is
 looked up as a whole and line by line. Between two sentences of one rule at most
-``MAX_GAP`` unknown sentences may stand.
+``MAX_GAP`` unknown sentences may stand. A list number ('1.', '(b)') is no sentence there,
+although it has a number of its own, and a sentence is found with or without one before it.
 
 Only sentences in the table leave the map stage; the table is a fixed list, broadcast.
 
@@ -85,6 +86,10 @@ RULES = {
 }
 
 END = r"(?<=[.!?;:])\s+|\n\s*\n"
+NUMBER = r"[^\p{L}\p{N}]*(?:\p{N}{1,3}|\p{L}|[ivxIVX]{1,5})"
+#: A piece that is a list number or has no word, and a list number before a sentence.
+NO_SENTENCE = rf"^(?:{NUMBER})?[^\p{{L}}\p{{N}}]*$"
+NUMBERED = rf"^{NUMBER}[.)]+\s+"
 
 
 def normal(sentence: Column) -> Column:
@@ -100,19 +105,32 @@ def pieces(text: Column) -> Column:
         .otherwise(F.array(F.struct(i.alias("sentence"), F.lit(0).alias("line"), s.alias("piece")))))
 
 
+def unnumbered(sentence: Column) -> Column:
+    return F.regexp_replace(sentence, NUMBERED, "")
+
+
+def skipped(text: Column) -> Column:
+    """Numbers of the pieces that don't count as sentences between two others."""
+    at = F.transform(F.split(text, END), lambda s, i: F.when((F.length(s) < 32) & s.rlike(NO_SENTENCE), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
 def sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
     return (spark.createDataFrame([(k, v) for k, v in sorted(sentences.items())], "sid string, sentence_text string")
-            .select("sid", normal(F.col("sentence_text")).alias(P + "norm")).dropDuplicates([P + "norm"]))
+            .select("sid", normal(unnumbered(F.col("sentence_text"))).alias(P + "norm")).dropDuplicates([P + "norm"]))
 
 
 def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str]) -> DataFrame:
-    """(id, key, sentence, line, sid): key tells texts with one id apart."""
+    """(id, key, sentence, line, sid, nth): key tells texts with one id apart; nth numbers the sentences that count."""
     known = sentence_table(docs.sparkSession, sentences)
     longest = 4 * max(map(len, sentences.values()))
-    cut = (docs.select(F.col(id_col), F.xxhash64(text_col).alias(P + "key"), F.explode(F.flatten(pieces(F.col(text_col)))).alias("p"))
+    cut = (docs.select(F.col(id_col), F.xxhash64(text_col).alias(P + "key"), skipped(F.col(text_col)).alias("skip"),
+                       F.explode(F.flatten(pieces(F.col(text_col)))).alias("p"))
            .where(F.length("p.piece").between(2, longest)))
-    return (cut.select(F.col(id_col), P + "key", "p.sentence", "p.line", normal(F.col("p.piece")).alias(P + "norm"))
-            .join(F.broadcast(known), P + "norm").drop(P + "norm").distinct())
+    found = (cut.select(F.col(id_col), P + "key", "p.sentence", "p.line", "skip", normal(unnumbered(F.col("p.piece"))).alias(P + "norm"))
+             .join(F.broadcast(known), P + "norm").drop(P + "norm"))
+    nth = F.col("sentence") - F.size(F.filter("skip", lambda i: i < F.col("sentence")))
+    return found.withColumn("nth", nth).drop("skip").distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None,
@@ -125,14 +143,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     doc = W.partitionBy(id_col, P + "key").orderBy("sentence", "line", "sid")
     ahead = found.withColumns({f"s{k}": F.lead("sid", k).over(doc) for k in range(1, depth)} |
                               {f"p{k}": F.lead("sentence", k).over(doc) for k in range(1, depth)} |
-                              {"s0": F.col("sid"), "p0": F.col("sentence"), "n": F.row_number().over(doc)})
+                              {f"g{k}": F.lead("nth", k).over(doc) for k in range(1, depth)} |
+                              {"s0": F.col("sid"), "p0": F.col("sentence"), "g0": F.col("nth"), "n": F.row_number().over(doc)})
     best = F.lit(None).cast("struct<rule_id:string,licence:string,n_sentences:int,last_sentence:int>")
     for rule, (name, ids) in sorted(rules.items(), key=lambda r: (len(r[1][1]), r[0])):
         hit = F.lit(True)
         for k, sid in enumerate(ids):
             hit = hit & (F.col(f"s{k}") == sid)
             if k:
-                hit = hit & (F.col(f"p{k}") - F.col(f"p{k - 1}") <= max_gap + 1)
+                hit = hit & (F.col(f"g{k}") - F.col(f"g{k - 1}") <= max_gap + 1)
         best = F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("licence"), F.lit(len(ids)).alias("n_sentences"),
                                     F.col(f"p{len(ids) - 1}").alias("last_sentence"))).otherwise(best)
     matched = ahead.withColumn("m", best).where(F.col("m").isNotNull()).withColumn("end", F.col("n") + F.col("m.n_sentences"))
