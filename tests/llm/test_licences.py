@@ -52,3 +52,35 @@ def test_published_bsd_texts(spark):
     texts = [(10 * n + i, bsd(n, m)) for n in (2, 3) for i, m in enumerate(marks)]
     exp = [(str(10 * n + i), f"bsd-{n}", f"BSD-{n}-Clause", n - 1) for n in (2, 3) for i in range(len(marks))]
     assert scan(spark, texts) == exp
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+SIGNS = ["", "# ", "// ", " * ", "-- ", ";; ", "! ", "dnl ", "REM ", ":: ", "% "]
+
+
+def commented(text, sign, head="Copyright (c) 2024 X"):
+    return "\n".join((sign + x).rstrip() for x in f"{head}\n\n{text}".split("\n")) + "\n\nimport os\n"
+
+
+def test_headers_in_comments(spark):
+    mit = "\n\n".join(wrap(x, 70) for x in MIT)
+    texts = [(100 + i, commented(APACHE, s)) for i, s in enumerate(SIGNS)] + [(200 + i, commented(mit, s)) for i, s in enumerate(SIGNS)]
+    exp = [(str(100 + i), "apache-notice", "Apache-2.0", 5) for i in range(len(SIGNS))]
+    assert scan(spark, texts) == exp + [(str(200 + i), "mit-text", "MIT", 3) for i in range(len(SIGNS))]
+
+
+def test_unfinished_line_before_a_wrapped_sentence(spark):
+    text = "\n".join(wrap(x, 70) for x in MIT)
+    texts = [(1, "MIT License\n" + text), (2, "Copyright (c) 2024 X\n" + text + "\nand more"), (3, "#\n# Released under the MIT License.\n#"),
+             (4, "Licensed under the Apache License, Version 2.0\n" + APACHE.partition("2.0 ")[2])]
+    assert scan(spark, texts) == [("1", "mit-text", "MIT", 3), ("2", "mit-text", "MIT", 3), ("3", "mit-named", "MIT", 1), ("4", "apache-notice", "Apache-2.0", 5)]

@@ -5,12 +5,14 @@ sentence id; the ids of a document, in order, are matched with rules, each an or
 of sentence ids. The longest rule at a place wins, and a match inside a longer one goes.
 
 Sentences end at . ! ? ; or : before white space, and at blank lines. Licence text is often
-wrapped, and licence lines often stand alone, so a sentence that runs over several lines is
-looked up as a whole and line by line. Between two sentences of one rule at most
+wrapped, and licence lines often stand alone or follow a copyright line, so every run of
+consecutive lines of such a piece is looked up: a run can begin at any line with which a
+known sentence begins. Comment signs fall away with the punctuation; those that hold an end
+of a sentence, or a word, go before the cut. What lies inside a longer find is left out. Between two sentences of one rule at most
 ``MAX_GAP`` unknown sentences may stand. A list number ('1.', '(b)') is no sentence there,
 although it has a number of its own, and a sentence is found with or without one before it.
 
-Only sentences in the table leave the map stage; the table is a fixed list, broadcast.
+Only sentences in the table leave the map stage; the table is a fixed list, in the plan.
 
 Defined cases: null or empty texts, and texts without a known sentence, give no row.
 Repeated documents are found once for each id and text. Null ids are kept. Extra columns
@@ -19,7 +21,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,6 +92,8 @@ NUMBER = r"[^\p{L}\p{N}]*(?:\p{N}{1,3}|\p{L}|[ivxIVX]{1,5})"
 #: A piece that is a list number or has no word, and a list number before a sentence.
 NO_SENTENCE = rf"^(?:{NUMBER})?[^\p{{L}}\p{{N}}]*$"
 NUMBERED = rf"^{NUMBER}[.)]+\s+"
+#: Comment signs that the cut would take for the end of a sentence, or the lookup for a word.
+COMMENT = r"(?m)^[ \t]*(?:;+|!+|::+|(?i:@?rem|dnl)\b)[ \t]*"
 
 
 def normal(sentence: Column) -> Column:
@@ -97,40 +101,58 @@ def normal(sentence: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """Sentences as (sentence, line, text): line 0 is the whole sentence."""
-    return F.transform(F.split(text, END), lambda s, i: F.when(
-        F.contains(s, F.lit("\n")),
-        F.concat(F.array(F.struct(i.alias("sentence"), F.lit(0).alias("line"), s.alias("piece"))),
-                 F.transform(F.split(s, "\n"), lambda x, j: F.struct(i.alias("sentence"), (j + 1).alias("line"), x.alias("piece")))))
-        .otherwise(F.array(F.struct(i.alias("sentence"), F.lit(0).alias("line"), s.alias("piece")))))
+    return F.split(F.regexp_replace(text, COMMENT, ""), END)
+
+
+def lines(cut: Column) -> Column:
+    """Lines with a word as (sentence, line, norm, bare): bare is without a list number before it."""
+    return F.filter(F.flatten(F.transform(cut, lambda s, i: F.transform(F.split(s, "\n"), lambda x, j: F.struct(
+        i.alias("sentence"), j.alias("line"), normal(x).alias("norm"), normal(unnumbered(x)).alias("bare"))))), lambda x: x["norm"] != "")
 
 
 def unnumbered(sentence: Column) -> Column:
     return F.regexp_replace(sentence, NUMBERED, "")
 
 
-def skipped(text: Column) -> Column:
+def skipped(cut: Column) -> Column:
     """Numbers of the pieces that don't count as sentences between two others."""
-    at = F.transform(F.split(text, END), lambda s, i: F.when((F.length(s) < 32) & s.rlike(NO_SENTENCE), i))
+    at = F.transform(cut, lambda s, i: F.when((F.length(s) < 32) & s.rlike(NO_SENTENCE), i))
     return F.filter(at, lambda i: i.isNotNull())
 
 
-def sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
-    return (spark.createDataFrame([(k, v) for k, v in sorted(sentences.items())], "sid string, sentence_text string")
-            .select("sid", normal(unnumbered(F.col("sentence_text"))).alias(P + "norm")).dropDuplicates([P + "norm"]))
+def sentence_table(sentences: dict[str, str]) -> Column:
+    """Known sentences as an array of (norm, sid)."""
+    return F.array(*[F.struct(normal(unnumbered(F.lit(v))).alias("norm"), F.lit(k).alias("sid")) for k, v in sorted(sentences.items())])
 
 
 def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str]) -> DataFrame:
     """(id, key, sentence, line, sid, nth): key tells texts with one id apart; nth numbers the sentences that count."""
-    known = sentence_table(docs.sparkSession, sentences)
-    longest = 4 * max(map(len, sentences.values()))
-    cut = (docs.select(F.col(id_col), F.xxhash64(text_col).alias(P + "key"), skipped(F.col(text_col)).alias("skip"),
-                       F.explode(F.flatten(pieces(F.col(text_col)))).alias("p"))
-           .where(F.length("p.piece").between(2, longest)))
-    found = (cut.select(F.col(id_col), P + "key", "p.sentence", "p.line", "skip", normal(unnumbered(F.col("p.piece"))).alias(P + "norm"))
-             .join(F.broadcast(known), P + "norm").drop(P + "norm"))
-    nth = F.col("sentence") - F.size(F.filter("skip", lambda i: i < F.col("sentence")))
-    return found.withColumn("nth", nth).drop("skip").distinct()
+    bound = max(len(v.split()) + 2 * sum(not c.isalnum() for c in v) for v in sentences.values())  # words, and so lines, at most
+    keys, known = [F.col(id_col), F.col(P + "key")], F.col(P + "known")
+    norms = F.transform(sentence_table(sentences), lambda k: k["norm"])
+    text = docs.select(F.col(id_col), F.xxhash64(text_col).alias(P + "key"), pieces(F.col(text_col)).alias("cut"))
+    read = text.select(*keys, skipped(F.col("cut")).alias("skip"), lines(F.col("cut")).alias("u"))
+    # a run is the lines from a place on where a known sentence can begin, within one piece
+    begins = F.transform("u", lambda x, i: F.when(F.exists(norms, lambda k: F.startswith(k, x["bare"])) & (x["bare"] != ""), i))
+    run = read.withColumn("i", F.explode(F.filter(begins, lambda i: i.isNotNull())))
+    first = F.get("u", F.col("i"))
+    after = F.filter(F.slice("u", F.col("i") + 2, F.lit(bound)), lambda x: x["sentence"] == first["sentence"])
+    run = (run.select(*keys, "skip", first.alias("first"), after.alias("after"))
+           .withColumn("rest", F.array_join(F.concat(F.array("first.bare"), F.transform("after", lambda x: x["norm"])), "\n")))
+    flat = run.withColumn("flat", F.translate("rest", "\n", " ")).withColumn(P + "known", sentence_table(sentences))
+    fits = F.filter(known, lambda k: F.startswith(F.col("flat"), k["norm"]) & (
+        (F.length("flat") == F.length(k["norm"])) | (F.substring(F.col("rest"), F.length(k["norm"]) + 1, F.lit(1)) == "\n")))
+    longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k["norm"]).alias("n"), k["norm"].alias("norm"))))
+    best = (flat.withColumn("m", longest).where(F.col("m").isNotNull())
+            .withColumn("sid", F.array_min(F.transform(F.filter(known, lambda k: k["norm"] == F.col("m.norm")), lambda k: k["sid"]))))
+    ends = F.length(F.substring(F.col("rest"), F.lit(1), F.col("m.n"))) - F.length(F.translate(F.substring(F.col("rest"), F.lit(1), F.col("m.n")), "\n", ""))
+    last = F.coalesce(F.get("after", ends - 1), F.col("first"))
+    end = F.struct(last["sentence"].alias("sentence"), last["line"].alias("line"))
+    nth = F.col("first.sentence") - F.size(F.filter("skip", lambda i: i < F.col("first.sentence")))
+    found = best.select(*keys, "first.sentence", "first.line", "sid", nth.alias("nth"), end.alias("end")).distinct()
+    before = W.partitionBy(id_col, P + "key").orderBy("sentence", "line").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.max("end").over(before) >= F.col("end")
+    return found.withColumn("inside", F.coalesce(inside, F.lit(False))).where(~F.col("inside")).drop("inside")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None,
