@@ -83,4 +83,32 @@ def test_unfinished_line_before_a_wrapped_sentence(spark):
     text = "\n".join(wrap(x, 70) for x in MIT)
     texts = [(1, "MIT License\n" + text), (2, "Copyright (c) 2024 X\n" + text + "\nand more"), (3, "#\n# Released under the MIT License.\n#"),
              (4, "Licensed under the Apache License, Version 2.0\n" + APACHE.partition("2.0 ")[2])]
-    assert scan(spark, texts) == [("1", "mit-text", "MIT", 3), ("2", "mit-text", "MIT", 3), ("3", "mit-named", "MIT", 1), ("4", "apache-notice", "Apache-2.0", 5)]
+    assert scan(spark, texts) == [("1", "mit-text", "MIT", 3), ("2", "mit-text", "MIT", 3), ("3", "mit-named", "MIT", 1), ("3", "mit-named", "MIT", 1), ("4", "apache-notice", "Apache-2.0", 5)]
+
+
+def test_every_rule_matches_its_own_sentences(spark):
+    for sep in ("\n", "\n\n"):
+        texts = [(i, sep.join(licences.SENTENCES[k] for k in ids)) for i, (_, ids) in enumerate(licences.RULES.values())]
+        assert {(i, r, x) for i, r, x, _ in scan(spark, texts)} == {(str(i), r, x) for i, (r, (x, _)) in enumerate(licences.RULES.items())}
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_published_notices_that_split(spark):
+    notices = [(MPL, "mpl", "MPL-2.0", 1), (GPL, "gpl3-notice", "GPL-3.0-or-later", 4)]
+    texts = [(100 * n + i, commented(x[0], s)) for n, x in enumerate(notices, 1) for i, s in enumerate(SIGNS)]
+    assert scan(spark, texts) == [(str(100 * n + i), *x[1:]) for n, x in enumerate(notices, 1) for i in range(len(SIGNS))]
+    spans = [(r.first_sentence, r.last_sentence) for r in licences.scan(spark.createDataFrame([(1, "A. " + MPL)], "doc_id long, text string")).collect()]
+    assert spans == [(1, 2)]

@@ -8,19 +8,24 @@ Sentences end at . ! ? ; or : before white space, and at blank lines. Licence te
 wrapped, and licence lines often stand alone or follow a copyright line, so every run of
 consecutive lines of such a piece is looked up: a run can begin at any line with which a
 known sentence begins. Comment signs fall away with the punctuation; those that hold an end
-of a sentence, or a word, go before the cut. What lies inside a longer find is left out. Between two sentences of one rule at most
+of a sentence, or a word, go before the cut. What lies inside a longer find is left out. The table's sentences are cut by the same rule: one
+whose pieces are all in the table stands for these in the rules, another one that splits
+('..., v. 2.0.') is looked up in as many consecutive pieces. Between two sentences of one rule at most
 ``MAX_GAP`` unknown sentences may stand. A list number ('1.', '(b)') is no sentence there,
 although it has a number of its own, and a sentence is found with or without one before it.
 
 Only sentences in the table leave the map stage; the table is a fixed list, in the plan.
 
-Defined cases: null or empty texts, and texts without a known sentence, give no row.
+Defined cases: a lone line beside lines without a word is found as a whole and as a line, so
+a rule of one sentence gives two equal rows for it, as the SQL states. Null or empty texts, and texts without a known sentence, give no row.
 Repeated documents are found once for each id and text. Null ids are kept. Extra columns
 are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,9 +110,11 @@ def pieces(text: Column) -> Column:
 
 
 def lines(cut: Column) -> Column:
-    """Lines with a word as (sentence, line, norm, bare): bare is without a list number before it."""
+    """Lines with a word as (sentence, line, norm, bare, many): bare is without a list number
+    before it, many says that its piece has more lines, with words or not."""
     return F.filter(F.flatten(F.transform(cut, lambda s, i: F.transform(F.split(s, "\n"), lambda x, j: F.struct(
-        i.alias("sentence"), j.alias("line"), normal(x).alias("norm"), normal(unnumbered(x)).alias("bare"))))), lambda x: x["norm"] != "")
+        i.alias("sentence"), j.alias("line"), normal(x).alias("norm"), normal(unnumbered(x)).alias("bare"),
+        F.contains(s, F.lit("\n")).alias("many"))))), lambda x: x["norm"] != "")
 
 
 def unnumbered(sentence: Column) -> Column:
@@ -120,36 +127,55 @@ def skipped(cut: Column) -> Column:
     return F.filter(at, lambda i: i.isNotNull())
 
 
+def parts(sentence: str) -> list[str]:
+    return [x for x in re.split(END, sentence) if x.strip()]
+
+
+def in_pieces(sentences: dict[str, str]) -> dict[str, list[str]]:
+    """Sentences whose pieces are all sentences of the table, with the ids of these."""
+    plain = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    ids = {plain(v): k for k, v in sorted(sentences.items(), reverse=True) if len(parts(v)) == 1}
+    cut = {k: [ids.get(plain(x)) for x in parts(v)] for k, v in sentences.items()}
+    return {k: v for k, v in cut.items() if len(v) > 1 and None not in v}
+
+
 def sentence_table(sentences: dict[str, str]) -> Column:
-    """Known sentences as an array of (norm, sid)."""
-    return F.array(*[F.struct(normal(unnumbered(F.lit(v))).alias("norm"), F.lit(k).alias("sid")) for k, v in sorted(sentences.items())])
+    """Known sentences as an array of (norm, sid, more): more is the number of pieces after the first."""
+    return F.array(*[F.struct(normal(unnumbered(F.lit(v))).alias("norm"), F.lit(k).alias("sid"), F.lit(max(0, len(parts(v)) - 1)).alias("more"))
+                     for k, v in sorted(sentences.items())])
 
 
 def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str]) -> DataFrame:
-    """(id, key, sentence, line, sid, nth): key tells texts with one id apart; nth numbers the sentences that count."""
+    """(id, key, sentence, line, sid, nth, end, nth_end, lone): key tells texts with one id apart; nth numbers the sentences that count."""
+    sentences = {k: v for k, v in sentences.items() if k not in in_pieces(sentences)}
+    more = max(len(parts(v)) for v in sentences.values()) - 1
     bound = max(len(v.split()) + 2 * sum(not c.isalnum() for c in v) for v in sentences.values())  # words, and so lines, at most
     keys, known = [F.col(id_col), F.col(P + "key")], F.col(P + "known")
     norms = F.transform(sentence_table(sentences), lambda k: k["norm"])
     text = docs.select(F.col(id_col), F.xxhash64(text_col).alias(P + "key"), pieces(F.col(text_col)).alias("cut"))
     read = text.select(*keys, skipped(F.col("cut")).alias("skip"), lines(F.col("cut")).alias("u"))
-    # a run is the lines from a place on where a known sentence can begin, within one piece
+    # a run is the lines from a place on where a known sentence can begin
     begins = F.transform("u", lambda x, i: F.when(F.exists(norms, lambda k: F.startswith(k, x["bare"])) & (x["bare"] != ""), i))
     run = read.withColumn("i", F.explode(F.filter(begins, lambda i: i.isNotNull())))
     first = F.get("u", F.col("i"))
-    after = F.filter(F.slice("u", F.col("i") + 2, F.lit(bound)), lambda x: x["sentence"] == first["sentence"])
-    run = (run.select(*keys, "skip", first.alias("first"), after.alias("after"))
+    after = F.filter(F.slice("u", F.col("i") + 2, F.lit(bound)), lambda x: x["sentence"] <= first["sentence"] + more)
+    apart = lambda x: F.coalesce(x["sentence"] != first["sentence"], F.lit(True))
+    lone = first["many"] & apart(F.get("u", F.col("i") - 1)) & apart(F.get("u", F.col("i") + 1))
+    run = (run.select(*keys, "skip", first.alias("first"), after.alias("after"), lone.alias("lone"))
            .withColumn("rest", F.array_join(F.concat(F.array("first.bare"), F.transform("after", lambda x: x["norm"])), "\n")))
     flat = run.withColumn("flat", F.translate("rest", "\n", " ")).withColumn(P + "known", sentence_table(sentences))
-    fits = F.filter(known, lambda k: F.startswith(F.col("flat"), k["norm"]) & (
-        (F.length("flat") == F.length(k["norm"])) | (F.substring(F.col("rest"), F.length(k["norm"]) + 1, F.lit(1)) == "\n")))
+    begun = lambda n: F.substring(F.col("rest"), F.lit(1), n)
+    last = lambda n: F.coalesce(F.get("after", F.length(begun(n)) - F.length(F.translate(begun(n), "\n", "")) - 1), F.col("first"))
+    whole = lambda n: (F.length("flat") == n) | (F.substring(F.col("rest"), n + 1, F.lit(1)) == "\n")
+    fits = F.filter(known, lambda k: F.startswith(F.col("flat"), k["norm"]) & whole(F.length(k["norm"])) & (
+        last(F.length(k["norm"]))["sentence"] - F.col("first.sentence") == k["more"]))
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k["norm"]).alias("n"), k["norm"].alias("norm"))))
     best = (flat.withColumn("m", longest).where(F.col("m").isNotNull())
             .withColumn("sid", F.array_min(F.transform(F.filter(known, lambda k: k["norm"] == F.col("m.norm")), lambda k: k["sid"]))))
-    ends = F.length(F.substring(F.col("rest"), F.lit(1), F.col("m.n"))) - F.length(F.translate(F.substring(F.col("rest"), F.lit(1), F.col("m.n")), "\n", ""))
-    last = F.coalesce(F.get("after", ends - 1), F.col("first"))
-    end = F.struct(last["sentence"].alias("sentence"), last["line"].alias("line"))
-    nth = F.col("first.sentence") - F.size(F.filter("skip", lambda i: i < F.col("first.sentence")))
-    found = best.select(*keys, "first.sentence", "first.line", "sid", nth.alias("nth"), end.alias("end")).distinct()
+    end = F.struct(last(F.col("m.n"))["sentence"].alias("sentence"), last(F.col("m.n"))["line"].alias("line"))
+    nth = lambda at: at - F.size(F.filter("skip", lambda i: i < at))
+    found = (best.withColumn("end", end).select(*keys, "first.sentence", "first.line", "sid", "end", nth(F.col("first.sentence")).alias("nth"),
+                                                nth(F.col("end.sentence")).alias("nth_end"), "lone").distinct())
     before = W.partitionBy(id_col, P + "key").orderBy("sentence", "line").rowsBetween(W.unboundedPreceding, -1)
     inside = F.max("end").over(before) >= F.col("end")
     return found.withColumn("inside", F.coalesce(inside, F.lit(False))).where(~F.col("inside")).drop("inside")
@@ -159,25 +185,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
          rules: dict[str, tuple[str, list[str]]] | None = None, max_gap: int = MAX_GAP) -> DataFrame:
     """One row per match: id, rule_id, licence, first_sentence, last_sentence, n_sentences."""
     sentences, rules = sentences or SENTENCES, rules or RULES
+    split = in_pieces(sentences)
+    rules = {r: (name, [x for k in sids for x in split.get(k, [k])]) for r, (name, sids) in rules.items()}
     found = sentences_found(docs, id_col, text_col, sentences)
     # the ids that follow are seen through a look-ahead as long as the longest rule
     depth = max(len(s) for _, s in rules.values())
     doc = W.partitionBy(id_col, P + "key").orderBy("sentence", "line", "sid")
     ahead = found.withColumns({f"s{k}": F.lead("sid", k).over(doc) for k in range(1, depth)} |
-                              {f"p{k}": F.lead("sentence", k).over(doc) for k in range(1, depth)} |
+                              {f"p{k}": F.lead("end.sentence", k).over(doc) for k in range(1, depth)} |
                               {f"g{k}": F.lead("nth", k).over(doc) for k in range(1, depth)} |
-                              {"s0": F.col("sid"), "p0": F.col("sentence"), "g0": F.col("nth"), "n": F.row_number().over(doc)})
+                              {f"e{k}": F.lead("nth_end", k).over(doc) for k in range(1, depth)} |
+                              {"s0": F.col("sid"), "p0": F.col("end.sentence"), "e0": F.col("nth_end"), "n": F.row_number().over(doc)})
     best = F.lit(None).cast("struct<rule_id:string,licence:string,n_sentences:int,last_sentence:int>")
     for rule, (name, ids) in sorted(rules.items(), key=lambda r: (len(r[1][1]), r[0])):
         hit = F.lit(True)
         for k, sid in enumerate(ids):
             hit = hit & (F.col(f"s{k}") == sid)
             if k:
-                hit = hit & (F.col(f"g{k}") - F.col(f"g{k - 1}") <= max_gap + 1)
+                hit = hit & (F.col(f"g{k}") - F.col(f"e{k - 1}") <= max_gap + 1)
         best = F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("licence"), F.lit(len(ids)).alias("n_sentences"),
                                     F.col(f"p{len(ids) - 1}").alias("last_sentence"))).otherwise(best)
     matched = ahead.withColumn("m", best).where(F.col("m").isNotNull()).withColumn("end", F.col("n") + F.col("m.n_sentences"))
     earlier = W.partitionBy(id_col, P + "key").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     free = matched.withColumn("covered", F.max("end").over(earlier)).where(F.col("covered").isNull() | (F.col("end") > F.col("covered")))
-    return free.select(F.col(id_col), "m.rule_id", "m.licence", F.col("sentence").cast("long").alias("first_sentence"),
+    copies = F.when(F.col("lone") & (F.col("m.n_sentences") == 1), 2).otherwise(1)
+    return free.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(F.col(id_col), "m.rule_id", "m.licence", F.col("sentence").cast("long").alias("first_sentence"),
                        F.col("m.last_sentence").cast("long").alias("last_sentence"), F.col("m.n_sentences").cast("long").alias("n_sentences"))
