@@ -86,6 +86,30 @@ def test_parse_equals_longest_matches(text):
     assert rate[0, 0] * len(norm) / model.factor[0] == pytest.approx(plain_phrases(reference, norm))
 
 
+def written(letters, seed, n):
+    """Text of words over many letters, each language with its own words."""
+    words = np.random.default_rng(7 + seed // 10).choice(letters, size=(400, 3))
+    return " ".join("".join(w) for w in words[np.random.default_rng(seed).integers(0, 400, n)])
+
+
+def test_large_alphabets_are_told_apart():
+    han, kana, hangul = ([chr(lo + i) for i in range(n)] for lo, n in ((0x4E00, 900), (0x3041, 80), (0xAC00, 900)))
+    scripts = {"en": list("abcdefghijklmnopqrstuvwxyz"), "ja": han[:600] + kana, "ko": hangul, "zh": han, "zh2": han,
+               "el": [chr(0x3B1 + i) for i in range(24) if i != 17], "ru": [chr(0x430 + i) for i in range(32)]}  # these and en fill 62 columns
+    model = langid.Model({k: written(x, 10 * i, 3000) for i, (k, x) in enumerate(scripts.items())})
+    texts = {k: [written(x, 10 * i + j, 30) for j in range(1, 6)] for i, (k, x) in enumerate(scripts.items())}
+    assert {k: model.predict(v)[0] for k, v in texts.items()} == {k: [k] * 5 for k in texts}
+
+
+@pytest.mark.parametrize("text", ["abcab", "zaz", "中文中 abc", "語語", "文中語x", "中文字 " * 300])
+def test_parse_with_rare_letters_equals_longest_matches(text):
+    reference = "abc cab ab " + "".join(chr(0x4E00 + i) for i in range(90)) + " 中文字 文中 中文 ba"
+    model = langid.Model({"aa": reference, "bb": "abc other 語中"})
+    rate, _ = model.rates([text])
+    norm = langid.normal(text) + (" " if text.endswith(" ") else "")
+    assert rate[0, 0] * len(norm) / model.factor[0] == pytest.approx(plain_phrases(reference, norm))
+
+
 def test_clashing_columns_are_replaced(spark, docs, labels):
     few = docs.limit(20).select("doc_id", "text", "lang", F.lit("own").alias("score"), F.lit("own").alias("predicted"), F.lit("own").alias("lang_pred"),
                                 F.lit(1).alias("y"), F.lit(1).alias("id"), F.lit(2).alias("slots"))

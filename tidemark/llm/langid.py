@@ -11,8 +11,10 @@ step. Whole texts are parsed; the parse restarts at the root every ``WINDOW`` sy
 addition of less than one phrase a window, alike for all languages), which keeps a very
 long text from being one serial walk.
 
-Normalisation: lower case; letters stay, every run of anything else is one blank. Letters
-not among the reference's ``ALPHABET`` most frequent are one shared symbol.
+Normalisation: lower case; letters stay, every run of anything else is one blank. All
+letters of the references are symbols of their own: the ``ALPHABET`` most frequent have
+columns in the table, the others' transitions are sorted keys, so a language of thousands
+of letters costs its transitions only. Letters that no reference has are one shared symbol.
 
 Defined cases: null text, empty text or text without a letter gives `und` with score 0.
 Ties go to the language first in alphabetical order. Rows with null lang, and those held
@@ -93,14 +95,26 @@ def parse_table(go: list[dict[int, int]], width: int, base: int) -> np.ndarray:
     that the reference lacks is a phrase of its own, after which the parse is at the root."""
     from_root = np.full(width, base * width, dtype=np.int32)
     for c, s in go[0].items():
-        from_root[c] = (base + s) * width
+        if c < width:
+            from_root[c] = (base + s) * width
     table = np.tile(~from_root, (len(go), 1))
     for s, out in enumerate(go[1:], 1):
         for c, t in out.items():
-            table[s, c] = (base + t) * width
+            if c < width:
+                table[s, c] = (base + t) * width
     return table.ravel()
 
 
+def rare_steps(go: list[dict[int, int]], width: int, base: int, n: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The same for the ``n`` symbols from ``width`` on: (state x n + symbol, next) where a match goes on, and what begins a phrase."""
+    from_root = np.full(n, base * width, dtype=np.int32)
+    for c, s in go[0].items():
+        if c >= width:
+            from_root[c - width] = (base + s) * width
+    on = [((base + s) * n + c - width, (base + t) * width) for s, out in enumerate(go[1:], 1) for c, t in out.items() if c >= width]
+    return on, ~from_root
+
+
 class Model:
     """Languages, the letters' symbols, one table for all languages, roots and entropy factors."""
 
@@ -108,25 +122,47 @@ class Model:
         self.langs = sorted(references)
         counts = Counter("".join(references.values()))
         counts.pop(" ", None)
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
         self.symbol = {c: i + 2 for i, c in enumerate(letters)} | {" ": BLANK}
-        self.width = len(letters) + 2
-        tables, roots, base = [], [], 0
+        self.width = min(len(letters), ALPHABET) + 2
+        self.rare = len(letters) + 2 - self.width
+        tables, roots, base, steps, begin = [], [], 0, [], []
         for lang in self.langs:
-            go = suffix_automaton([self.symbol.get(c, OTHER) for c in references[lang]])
+            go = suffix_automaton([self.symbol[c] for c in references[lang]])
             tables.append(parse_table(go, self.width, base))
+            on, new = rare_steps(go, self.width, base, self.rare)
+            steps += on
+            begin.append(new)
             roots.append(base * self.width)
             base += len(go)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, dtype=np.int32)
+        steps.sort()
+        self.keys = np.array([k for k, _ in steps] + [np.iinfo(np.int64).max], dtype=np.int64)  # the last is no key
+        self.goes = np.array([t for _, t in steps] + [0], dtype=np.int32)
+        self.begin = np.stack(begin) if begin else np.zeros((0, self.rare), np.int32)
         self.factor = np.array([np.log2(max(2, len(references[x]))) for x in self.langs])
 
+    def next_states(self, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Table values of one symbol per lane for all languages' states."""
+        if not self.rare:
+            return self.table[state + sym]
+        at = np.flatnonzero(sym >= self.width)
+        value = self.table[state + np.where(sym < self.width, sym, BLANK)]
+        if len(at):
+            letter = sym[at] - self.width
+            key = state[:, at].astype(np.int64) // self.width * self.rare + letter
+            place = np.searchsorted(self.keys, key)
+            value[:, at] = np.where(self.keys[place] == key, self.goes[place], self.begin[:, letter])
+        return value
+
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised symbols of all texts in a row, and the text each belongs to."""
         codes, lengths = code_points(texts)
         kinds, at = np.unique(codes, return_inverse=True)
+        kind = np.int32 if self.rare else np.uint8
         sym = np.array([self.symbol.get(c, OTHER if c.isalpha() else BLANK) for c in map(chr, kinds.tolist())],
-                       dtype=np.uint8)[at] if len(kinds) else np.zeros(0, np.uint8)
+                       dtype=kind)[at] if len(kinds) else np.zeros(0, kind)
         doc = np.repeat(np.arange(len(texts)), lengths)
         keep = sym != BLANK
         if len(sym):
@@ -152,7 +188,7 @@ class Model:
         falling = -length
         for step in range(int(length[0]) if len(length) else 0):
             alive = int(np.searchsorted(falling, -step, side="left"))
-            value = self.table[state[:, :alive] + sym[start[:alive] + step]]
+            value = self.next_states(state[:, :alive], sym[start[:alive] + step])
             begins = value >> 31  # -1 or 0
             phrases[:, :alive] -= begins
             state[:, :alive] = value ^ begins
