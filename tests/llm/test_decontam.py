@@ -84,3 +84,12 @@ def test_every_accepted_substitution_pattern(spark, n, wrong, limit):
     rows = out.collect()
     assert {r.doc_id for r in rows} == exp and len(rows) == len(exp)
     assert all(r.window == min(n, 16) and r.equal_words >= 0.8 * r.window and r.n_places >= 1 for r in rows)
+
+
+def test_short_items_are_reported_but_drop_nothing(spark):
+    eight = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, "oh yes indeed"), (2, f"so {eight} nine"), (3, "neither")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Yes"), (2, eight)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, items).collect()} == {(1, 1), (2, 2)}
+    assert {r.doc_id for r in decontam.clean(docs, items).collect()} == {1, 3}
+    assert {r.doc_id for r in decontam.clean(docs, items, drop_words=1).collect()} == {3}

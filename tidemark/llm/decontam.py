@@ -41,6 +41,8 @@ from tidemark.session import materialize
 MASKS = ("110110010101", "101001101011", "11100101011")
 #: Weight 6: with them no accepted substitution pattern is left without a seed.
 MORE_MASKS = ("1110111", "1101001011", "111111", "1111101")
+#: Items of fewer words are reported but drop no documents: 'Yes' is no leak.
+DROP_WORDS = 8
 WINDOW = 16
 SHARE = 0.8
 BROADCAST_BYTES = 64 << 20
@@ -141,8 +143,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return (out.withColumnRenamed(P + "id", id_col).withColumnRenamed("item", item_col))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          drop_words: int = DROP_WORDS) -> DataFrame:
+    """``docs`` without the documents that hold a passage of a benchmark item of ``drop_words`` words or more."""
+    benchmark = benchmark.where(F.size(words(F.col("text"))) >= drop_words)
     key = F.xxhash64(F.col(text_col))
     bad = overlaps(docs, benchmark, id_col, text_col, keep=[key]).select(
         F.col(id_col).alias(P + "id"), F.col(f"{P}k0").alias(P + "key")).distinct()
