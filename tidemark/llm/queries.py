@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, licences, linededup, mixing, multiindex, oracles, quality, simhash, toxicity
+from tidemark.llm import chat, decontam, langid, licences, linededup, mixing, multiindex, oracles, pieces, quality, simhash, toxicity
 from tidemark.llm.common import documents, fold, table
 
 #: Domains of the mix, by the number at the end of a source's name.
@@ -86,6 +86,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def public_model(name: str) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_model("piece_bpe_32k.model")
+    d = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text"), model)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
