@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, licences, linededup, mixing, multiindex, oracles, pieces, quality, simhash, toxicity
+from tidemark.llm import chat, decontam, langid, licences, linededup, mixing, multiindex, oracles, pieces, quality, repair, simhash, toxicity
 from tidemark.llm.common import documents, fold, table
 
 #: Domains of the mix, by the number at the end of a source's name.
@@ -86,6 +86,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    got = repair.repair(repair.damage(rows))
+    hashed = repair.digests(got.turns, F.concat("role", F.lit(":"), "text"))
+    out = rows.select("conv_id").distinct()
+    for part in (got.report, hashed):
+        out = repair.join_id(out, part, "conv_id", "conv_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def public_model(name: str) -> bytes:
     import public_tokenizers
 
