@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, licences, linededup, mixing, multiindex, oracles, pieces, quality, repair, simhash, toxicity
+from tidemark.llm import chat, decontam, langid, licences, linededup, mixing, multiindex, oracles, pieces, quality, repair, rtree, simhash, toxicity
 from tidemark.llm.common import documents, fold, table
 
 #: Domains of the mix, by the number at the end of a source's name.
@@ -86,6 +86,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     got = repair.repair(repair.damage(rows))
