@@ -144,3 +144,86 @@ SELECT doc_id, domain, lang0 AS lang, source0 AS source, CAST(epoch AS BIGINT) A
        sha256(CASE WHEN n_taken = n THEN text ELSE
          array_to_string(regexp_extract_all(text, '{SPACES}*[^\\x20\\x09-\\x0D]+')[1:n_taken], '') END) AS text_sha256 FROM u""")
     return ",".join(out)
+
+
+def hard_negatives() -> str:
+    return """
+WITH good AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM good a JOIN good r ON a.id <> r.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 10"""
+
+
+def conversation_repair() -> str:
+    """States x0 (nothing yet), x1 (after s), x2 (after u), x3 (after a) are carried from row to row, each the
+    least (cost, audit) with the repaired lines; nearer edits win by comparing structs."""
+    def go(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    user, assistant, own = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || r.role || ':' || r.text"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN r.stay < 1000 AND left(r.role, 1) = '{initial}' THEN {go(state, 'r.stay', 'K', own)} ELSE {never} END"
+
+    def named(state: str, line: str) -> str:
+        return go(state, "3 + r.stay", "R", f"{line} || r.text")
+
+    y2 = least(go("x2", "4", "D"), *[f(s) for s in ("x0", "x1", "x3") for f in (lambda s: kept(s, "u"), lambda s: named(s, user))])
+    y3 = least(go("x3", "4", "D"), kept("x2", "a"), named("x2", assistant))
+    inserted = least("y2", *[go(s, "3", "I", user) for s in ("y0", "y1", "y3")])
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda a, b: {byte}), 4294967295)"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, {crc} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {white}) AS said FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM placed),
+talks AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'role': role, 'text': text, 'stay': CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END}} ORDER BY i) AS rows
+  FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, n, rows, x0, {never} AS x1, {go("x0", "3", "I", user)} AS x2, {go("x0", "6", "II", f"{user} || {assistant}")} AS x3
+  FROM (SELECT *, {{'c': 0, 'a': '', 't': ''}} AS x0 FROM talks)
+  UNION ALL
+  SELECT conv_id, i + 1, n, rows, y0, y1, z2, {least("y3", go("z2", "3", "I", assistant))}
+  FROM (SELECT *, {inserted} AS z2 FROM (
+    SELECT *, {go("x0", "4", "D")} AS y0, {least(go("x1", "4", "D"), kept("x0", "s"))} AS y1, {y2} AS y2, {y3} AS y3
+    FROM (SELECT *, rows[i + 1] AS r FROM walk WHERE i < n)))),
+best AS (SELECT conv_id, {least("x0", "x3")} AS b FROM walk WHERE i = n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN talks t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -125,4 +125,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {"op1_source_mix": oracles.source_mix(DOMAINS, WEIGHTS, **MIX), "op2_line_dedup": oracles.line_dedup(10, 1),
             "op3_decontamination": oracles.decontamination(), "op7_licences": oracles.licence_scan(),
-            "op8_chat_format": oracles.chat_format()}
+            "op8_chat_format": oracles.chat_format(), "op11_hard_negatives": oracles.hard_negatives(),
+            "op12_conversation_repair": oracles.conversation_repair()}
