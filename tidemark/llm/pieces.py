@@ -27,6 +27,7 @@ ties: ids follow from the model alone.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -110,7 +111,7 @@ def load(model: bytes):
 
 def segment(processor, words: list[str]) -> list[bytes]:
     """Each word's ids as 32-bit integers."""
-    return [np.array(ids, dtype=np.int32).tobytes() for ids in processor.encode(words, num_threads=1)]
+    return [array("i", ids).tobytes() for ids in processor.encode(words, num_threads=1)]
 
 
 def count_words(docs: DataFrame, cuts: Cuts, text_col: str = "text") -> DataFrame:
@@ -178,7 +179,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cut, processor = shared.value, cuts.cutter(), load(cuts.words)
+        known, cut, processor = dict(shared.value), cuts.cutter(), load(cuts.words)
         tail = np.array([processor.eos_id()] if end and processor.eos_id() >= 0 else [], dtype=np.int32).tobytes()
         for b in batches:
             texts, lo, size = b.column(at).to_pylist(), 0, 0
@@ -187,9 +188,11 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
                 if size < STEP and hi < len(texts):
                     continue
                 words = [[w for part in cut(t or "") for w in part] for t in texts[lo:hi]]
-                new = list({w for doc in words for w in doc if w not in table})
-                own = dict(zip(new, segment(processor, new)))
-                found = [b"".join([table[w] if w in table else own[w] for w in doc]) + tail for doc in words]
+                new = list(set().union(*words) - known.keys())
+                known.update(zip(new, segment(processor, new)))
+                found = [b"".join(map(known.__getitem__, doc)) + tail for doc in words]
+                for w in new:
+                    del known[w]
                 offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, ids], names=[*b.schema.names, ids_col])
@@ -207,7 +210,10 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model)
         for b in batches:
-            texts = [None if ids is None else processor.decode(ids) for ids in (x.as_py() for x in b.column(at))]
+            ids = b.column(at)
+            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+            texts = processor.decode([values[i:j].tolist() for i, j in zip(ends, ends[1:])], num_threads=1) if len(ids) else []
+            texts = [t if there else None for t, there in zip(texts, ids.is_valid().to_pylist())] if ids.null_count else texts
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
