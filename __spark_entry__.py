@@ -51,6 +51,9 @@ SF_SMOKE = "/root/testdata/sf0.001"
 # Fixed parameters of the registered queries.
 AS_OF = dt.date(1998, 8, 2)          # "today" of the recent-window reports
 SPLIT = dt.date(1998, 1, 1)          # stored / new cut for the ingestion queries
+WRONG_FROM = dt.date(1997, 11, 3)
+INCREMENTS = [dt.date(1998, 2, 1), dt.date(1998, 5, 11), dt.date(2100, 1, 1)]
+JOB_SHIFT, JOB_CUT, JOB_TOP = 3653, dt.date(2007, 1, 1), 8  # after the first day ever requested
 NULL_DAY = dt.date(1995, 6, 17)
 EXPORT_COLS = ["Close", "XS", "P-XS-5", "BOL-H-XS", "gt1"]
 BATCH_FROM = dt.date(1997, 7, 1)     # new batches overlap the stored history
@@ -356,6 +359,76 @@ def q_long_store_roundtrip(spark, sf):
     return out
 
 
+def q_indicators_incremental(spark, sf):
+    """Features built to a cut-off, with wrong closes in some instruments' last months, then
+    brought up to date after three batches: two appended, the last with the corrections."""
+    bars, store = _bars_sd(spark, sf), _own_store(spark)
+    wrong = (F.col("date") >= F.lit(WRONG_FROM)) & (F.col("date") < F.lit(SPLIT)) & F.col("isin").isin("3", "7")
+    store.append_quotes(bars.where(F.col("date") < F.lit(SPLIT)).withColumn("Close", F.when(wrong, F.col("Close") * 2).otherwise(F.col("Close"))))
+    store.update_indicators()
+    for until in INCREMENTS:
+        store.append_quotes(bars.where(F.col("date") < F.lit(until)))
+        if until == INCREMENTS[-1]:
+            store.upsert_quotes(bars.where(wrong))
+        store.update_indicators()
+    out = materialize(quantize(store.table("data")), "incremental")
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    return out
+
+
+def q_upsert_partitions(spark, sf):
+    """``upsert_append`` through the month-partitioned store."""
+    stored, batch = _stored_and_batch(spark, sf)
+    store = _own_store(spark)
+    store.append_quotes(stored)
+    store.upsert_quotes(batch.withColumn("Open", F.col("Close")))
+    out = materialize(quantize(store.table("quotation")), "upserted")
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    return out
+
+
+def q_watchlist_store_roundtrip(spark, sf):
+    """The watchlist stored (twice over), the instrument list and quotes as views, read back by SQL."""
+    store = _own_store(spark)
+    store.init_watchlist()
+    for _ in range(2):
+        store.insert_watchlist(FX.watchlist(spark, sf))
+    store.overwrite("stock", FX.stock(spark, sf))
+    store.append_quotes(_bars_sd(spark, sf))
+    store.create_views(("stock", "quotation"))
+    store.watchlist().createOrReplaceTempView("watched")
+    out = materialize(spark.sql("""
+        SELECT w.isin, s.Name AS name, count(q.date) AS days, max(q.date) AS last
+        FROM watched w JOIN stock s ON s.ISIN = w.isin LEFT JOIN quotation q ON q.isin = w.isin GROUP BY w.isin, s.Name"""), "watched")
+    for view in ("stock", "quotation", "watched"):
+        spark.catalog.dropTempView(view)
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    return out
+
+
+def q_daily_job(spark, sf):
+    """The whole daily job from vendor files, twice (the second day's files hold more), for the
+    instruments of largest turnover; returns the exported features."""
+    from tidemark.plans import job
+    isin = F.concat(F.lit("FR"), F.lpad("isin", 9, "0"), F.lit("0"))
+    later = _bars_sd(spark, sf).withColumn("date", F.date_add("date", JOB_SHIFT)).withColumn("isin", isin)
+    null, base, store = F.lit(None).cast("double"), _scratch(spark, "job"), _own_store(spark)
+    store.init_watchlist()
+    for n, before in enumerate((JOB_CUT, dt.date(2100, 1, 1))):
+        b = later.where(F.col("date") < F.lit(before))
+        b.select("isin", F.lit("XPAR"), F.date_format("date", CSV.QUOTE_DATE_FORMAT), "Open", "High", "Low", "Close", "Number_of_Shares",
+                 "Number_of_Trades", F.col("Turnover").cast("string"), F.lit("EUR")).write.csv(f"{base}/quotes{n}")
+        (b.groupBy("isin").agg(F.max("date").alias("d"), F.sum("Turnover").alias("t"))
+         .select(F.lit("Name"), "isin", F.lit("SYM"), F.lit("Paris"), F.lit("EUR"), null, null, null, null,
+                 F.date_format("d", CSV.LIST_TIMESTAMP_FORMAT), F.lit("CET"), null, "t").write.option("sep", ";").csv(f"{base}/list{n}"))
+        as_of = b.agg(F.max("date")).first()[0]
+        paths = job.run(spark, store, f"{base}/list{n}", f"{base}/quotes{n}", f"{base}/models", f"{base}/out{n}", JOB_TOP, as_of, learn=n == 0, num_trees=2)
+    schema = store.table("data").schema
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    back = spark.read.option("header", True).schema(schema).csv(paths["data"])
+    return quantize(back.select("isin", "date", *[F.col(f"`{c}`") for c in EXPORT_COLS]))
+
+
 def q_export_roundtrip(spark, sf):
     """The feature table exported as CSV and read back."""
     store, path = _own_store(spark), _scratch(spark, "export")
@@ -655,6 +728,26 @@ def _model_sql() -> dict[str, str]:
     }
 
 
+def _upsert_sql() -> str:
+    cols = [O.Q(f"CASE WHEN date >= DATE '{BATCH_FROM}' THEN \"Close\" ELSE \"Open\" END" if c == "Open" else O.ident(c)) + f" AS {O.ident(c)}" for c in O.BAR_COLS]
+    return f"SELECT isin, date, {', '.join(cols)} FROM ({O.BARS_SUPPLIER_DAY}) b"
+
+
+def _job_bars() -> str:
+    """What two days of the job store: all days of the first list's instruments, and of the second
+    list's new ones all but the last trade day, which a first fetch leaves out."""
+    shifted = f"date + INTERVAL {JOB_SHIFT} DAY"
+
+    def top(before: dt.date) -> str:
+        return (f"SELECT isin FROM b WHERE {shifted} < DATE '{before}' GROUP BY isin "
+                f"ORDER BY sum(\"Turnover\") DESC NULLS LAST, lpad(isin, 9, '0') LIMIT {JOB_TOP}")
+
+    return f"""SELECT 'FR' || lpad(isin, 9, '0') || '0' AS isin, CAST({shifted} AS DATE) AS date, {', '.join(map(O.ident, S.BASE))} FROM (
+        WITH b AS MATERIALIZED ({O.BARS_SUPPLIER_DAY}), t1 AS ({top(JOB_CUT)}), t2 AS ({top(dt.date(2100, 1, 1))}),
+        m AS (SELECT isin, max(date) AS last FROM b GROUP BY isin)
+        SELECT b.* FROM b JOIN m USING (isin) WHERE isin IN (SELECT isin FROM t1) OR (isin IN (SELECT isin FROM t2) AND date < last)) j"""
+
+
 def oracle_sql() -> dict[str, str]:
     plan = S.standard_plan()
     names = [s.name for s in plan]
@@ -687,6 +780,11 @@ def oracle_sql() -> dict[str, str]:
             {O.Q('CASE WHEN "Close" IS NULL OR "Open" IS NULL OR "Open" = 0 THEN 0.0 ELSE "Close" / "Open" - 1 END')} AS r
             FROM ({sd}) b""",
         "features_wide": O.wide_sql(plan, names, sd),
+        "indicators_incremental": O.wide_sql(plan, names, sd),
+        "watchlist_store_roundtrip": f"""
+            SELECT CAST(s_suppkey AS VARCHAR) AS isin, s_name AS name, count(b.date) AS days, max(b.date) AS last
+            FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+            LEFT JOIN ({sd}) b ON b.isin = CAST(s_suppkey AS VARCHAR) WHERE r_name = '{FX.WATCH_REGION}' GROUP BY ALL""",
         "event_features": O.wide_sql(plan, names, O.BARS_EVENT_HOUR),
         "indicator_stats": O.long_sql(plan, names, sd, "SELECT type, count(*) AS count FROM long GROUP BY type"),
         "indicator_stats_long": O.long_sql(plan, names, sd, "SELECT type, count(*) AS count FROM long GROUP BY type"),
@@ -754,10 +852,9 @@ wl AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS isin FROM supplier
                    {O.Q('CASE WHEN rn + 5 > n THEN NULL WHEN x IS NULL OR y IS NULL OR x = 0 OR y = 0 THEN 0.0 ELSE x / y - 1 END')} AS p FROM s""",
         "features_wide_nulls": O.wide_sql(plan, names, f"""SELECT isin, date, "Open", "Low",
             CASE WHEN day(date) % 9 <> 0 THEN "Close" END AS "Close", CASE WHEN "Number_of_Trades" < 2 THEN "High" END AS "High" FROM ({sd}) t"""),
-        "upsert_append": f"""
-            WITH b AS ({sd})
-            SELECT isin, date, {', '.join(O.Q(f'CASE WHEN date >= DATE {chr(39)}{BATCH_FROM}{chr(39)} THEN "Close" ELSE "Open" END' if c == 'Open' else O.ident(c)) + f' AS {O.ident(c)}' for c in O.BAR_COLS)}
-            FROM b""",
+        "upsert_append": _upsert_sql(),
+        "upsert_partitions": _upsert_sql(),
+        "daily_job": O.wide_sql(plan, EXPORT_COLS, _job_bars()),
         "quotes_csv_roundtrip": O.quantized_bars(sd),
         "stock_csv_roundtrip": f"""
             WITH last AS (SELECT l_suppkey, max(l_shipdate) AS t FROM lineitem GROUP BY l_suppkey)

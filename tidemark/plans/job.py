@@ -44,7 +44,8 @@ def predict(store: Store, model_dir: str, as_of: dt.date, learn: bool = False, *
     """Scores of the recent rows become the ``prediction`` table."""
     if learn:
         ML.learn(store.table("data"), model_dir, **learn_options)
-    store.replace("prediction", ML.predict(store.table("data"), model_dir, as_of))
+    recent = store.between("data", as_of - dt.timedelta(days=ML.RECENT_DAYS))  # only these months are read
+    store.replace("prediction", ML.predict(recent, model_dir, as_of))
 
 
 def run(spark: SparkSession, store: Store, list_path: str, quotes_path: str, model_dir: str, export_dir: str,
@@ -52,6 +53,6 @@ def run(spark: SparkSession, store: Store, list_path: str, quotes_path: str, mod
     """The whole chain; returns the exported paths."""
     with scratch():
         ingest(spark, store, list_path, quotes_path, top_n, as_of)
-        store.compute_indicators()
+        store.update_indicators()
         predict(store, model_dir, as_of, learn, **learn_options)
         return export(store, export_dir)

@@ -27,10 +27,11 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, persisted
+from tidemark.sources.versions import current, publish
 
 # The model features (all look backwards) and the labels.
 FEATURES = [
@@ -166,17 +167,31 @@ def confusion(pred: DataFrame, label: str) -> DataFrame:
             .orderBy(F.desc(predicted_col(label)), F.asc(label)))
 
 
-def learn(data: DataFrame, model_dir: str, labels=LABELS, num_trees: int = NUM_TREES) -> None:
-    """Fit and save: the feature pipeline, one forest per label, k-means."""
-    base = training_set(data, None, extra=labels)
-    pert = materialize(base, "training")
+def learn(data: DataFrame, model_dir: str, labels=LABELS, num_trees: int = NUM_TREES, parallel_fits: int = 2) -> None:
+    """Fit and save: the feature pipeline, one forest per label, k-means. The rows are prepared
+    once; the fits are independent and submitted from a few threads. All models are one
+    version of ``model_dir``: ``predict`` loads four that belong together, the old ones until
+    the last of the new is saved."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    pert = materialize(training_set(data, None, extra=labels), "training")
     pipe = feature_pipeline(pert)
-    pipe.write().overwrite().save(f"{model_dir}/pipeline")
-    prepared = pipe.transform(pert)
-    for label in labels:
-        lab = prepared.where(q(label).isNotNull() & ~F.isnan(q(label)))
-        train_forest(lab, label, num_trees=num_trees).write().overwrite().save(f"{model_dir}/rfc/{label}")
-    train_kmeans(prepared).write().overwrite().save(f"{model_dir}/kmeans")
+    with publish(data.sparkSession, model_dir) as folder, persisted(pipe.transform(pert).select("features", "scaledFeatures", *map(q, labels))) as prepared:
+        def fit(label: str | None) -> None:
+            if label is None:
+                train_kmeans(prepared).save(f"{folder}/kmeans")
+            else:
+                lab = prepared.where(q(label).isNotNull() & ~F.isnan(q(label)))
+                train_forest(lab, label, num_trees=num_trees).save(f"{folder}/rfc/{label}")
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+            list(pool.map(fit, [None, *labels]))
+        pipe.save(f"{folder}/pipeline")
+
+
+def models(spark: SparkSession, model_dir: str) -> str:
+    """The folder of the models that are current."""
+    return current(spark, model_dir) or model_dir.rstrip("/")
 
 
 def recent(data: DataFrame, as_of: dt.date | Column | None = None, days: int = RECENT_DAYS) -> DataFrame:
@@ -187,13 +202,14 @@ def recent(data: DataFrame, as_of: dt.date | Column | None = None, days: int = R
 def predict(data: DataFrame, model_dir: str, as_of=None, labels=LABELS) -> DataFrame:
     """Score recent rows with the saved pipeline, forests and k-means. Rows short
     of a feature stay, with null predictions."""
-    pipe = PipelineModel.load(f"{model_dir}/pipeline")
+    folder = models(data.sparkSession, model_dir)
+    pipe = PipelineModel.load(f"{folder}/pipeline")
     rows = recent(data, as_of)
     short = reduce(or_, [q(c).isNull() | F.isnan(q(c)) for c in FEATURES])
     out = pipe.transform(rows.where(~short))
     for label in labels:
-        out = RandomForestClassificationModel.load(f"{model_dir}/rfc/{label}").transform(out)
-    out = KMeansModel.load(f"{model_dir}/kmeans").transform(out)
+        out = RandomForestClassificationModel.load(f"{folder}/rfc/{label}").transform(out)
+    out = KMeansModel.load(f"{folder}/kmeans").transform(out)
     return out.unionByName(rows.where(short), allowMissingColumns=True)
 
 
