@@ -189,3 +189,17 @@ def test_ties_in_the_order_lose_no_halo(spark):
     df = spark.createDataFrame([("k", i // 3, float(i)) for i in range(754)], "ISIN string, id int, val double")
     out = SR.performance(df, "val", "p", -5, order="id", chunk_rows=1, bucket=1)
     assert out.count() == 754 and out.where("p is null").count() == 5
+
+
+@pytest.mark.parametrize("rate", [0.2, 0.05, 0.9, 0.0001])
+def test_ema_of_an_outlier_does_not_depend_on_the_chunks(spark, rate):
+    """A first value 1e25 times the rest: equal at every chunk size, and to the plain recursion."""
+    values = [1e25] + [1.0 + (i % 7) / 10 for i in range(1, 4000)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "ISIN string, id int, val double")
+    want, y = [], None
+    for v in values:
+        y = v if y is None else v * rate + y * (1 - rate)
+        want.append(y)
+    for chunk_rows, bucket in ((50, 16), (300, 16), (1 << 17, 4096)):
+        got = [r[0] for r in SR.ema(df, "val", "e", rate, order="id", chunk_rows=chunk_rows, bucket=bucket).orderBy("id").select("e").collect()]
+        assert max(abs(a - b) / abs(b) for a, b in zip(got, want)) < 1e-9

@@ -74,11 +74,13 @@ def rate(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
 # finite); the EMA before the block enters as a^(t-b+1) times the value at the
 # previous block's end, which older blocks no longer change (a^S < 1e-130).
 #
-# What lies H rows back has weight a^H < 2^-70, below a double's rounding. So
+# What lies H rows back has weight a^H < e^-FADE = 1e-130, as a block has, so it
+# can show in a double only beside values smaller by 114 orders of magnitude. So
 # the EMA is a window operator with H halo rows, in which the first row of a
 # chunk's halo stands for the unseen past. A slow rate (H above MAX_HALO, and
 # r = 0) carries the exact value from chunk to chunk instead.
 
+FADE = 300
 MAX_HALO = 1 << 16
 CARRY_BLOCK = 1024
 
@@ -119,9 +121,9 @@ def ema(df: DataFrame, src: str, to: str, rate: float = 0.2, key: str = "ISIN",
         return df.withColumn(to, x)
     a = 1.0 - rate
     fade = -math.log(a) if a < 1 else 0.0
-    if fade * MAX_HALO < 70 * math.log(2):
+    if fade * MAX_HALO < FADE:
         return _slow_ema(df, x, to, rate, a, key, order, chunk_rows, bucket, plan)
-    halo, rows = math.ceil(70 * math.log(2) / fade), max(2, int(300 / fade))
+    halo, rows = math.ceil(FADE / fade), max(2, int(FADE / fade))
     return series_window(df, key, order, lambda d, w: _local(d, [key], w, x, rate, a, rows, True)
                          .withColumn(to, F.col("_own")).drop(*_WORK), halo, 0, chunk_rows, bucket, plan)
 

@@ -9,10 +9,21 @@ the planner keeps a shuffle join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+DEFAULT_MAX_BYTES = 10 * 1024 * 1024  # Spark's own
+UNITS = {"": 1, "b": 1, **{u + end: 1 << 10 * n for n, u in enumerate("kmgtp", 1) for end in ("", "b", "ib")}}
+
+
+def in_bytes(size: str) -> int:
+    """A byte size as Spark writes it ("1m", "10MB", "64KiB", "-1")."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", str(size).lower())
+    if not m or m[2] not in UNITS:
+        raise ValueError(f"not a size: {size!r}")
+    return int(m[1]) * UNITS[m[2]]
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -25,12 +36,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def maybe_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     if max_bytes is None:
-        conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        try:
-            max_bytes = int(str(conf).lower().rstrip("b"))
-        except ValueError:
-            max_bytes = DEFAULT_MAX_BYTES
-        max_bytes = max(max_bytes, 0)
+        max_bytes = max(in_bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_MAX_BYTES))), 0)
     size = estimated_bytes(df)
     if size is not None and 0 < size <= max_bytes:
         return F.broadcast(df)
