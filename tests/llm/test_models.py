@@ -1,4 +1,6 @@
 """Classifiers: held-out accuracy, what they may learn from, and odd rows."""
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,37 @@ def test_samples_are_bounded_and_the_smallest_hashes(spark):
     all_ = rows.where("g = 'rare'").orderBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)), "id").limit(50)
     assert {r.id for r in got.where("g = 'rare'").collect()} == {r.id for r in all_.collect()}
     assert sample_ids(rows.limit(7), "id", ["g"], 50, 3).count() == 7 and sample_ids(rows.limit(0), "id", ["g"], 50, 3).count() == 0
+
+
+def test_shared_opening_does_not_stand_for_a_language(spark):
+    """Two invented languages; every document begins with the same 2,500 characters, then 400 words of its own."""
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(300)] for lang, letters in (("aa", "abcdefghiklmn"), ("bb", "aefghiknoprstu"))}
+    opening = " ".join(rng.choice(words["aa"] + words["bb"]) for _ in range(420))[:2500]
+    rows = [(i, opening + " " + " ".join(rng.choices(words[lang], k=400)), lang) for i in range(400) for lang in [("aa", "bb")[i % 2]]]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang_pred == r.lang for r in out) >= 0.95 * len(out)
+
+
+def test_shares_and_bounds(monkeypatch):
+    assert langid.shares([5, 100, 1, 100], 60) == [5, 27, 1, 27] and langid.shares([3, 4], 100) == [3, 4] and langid.shares([], 9) == []
+    monkeypatch.setattr(langid, "MODEL_BYTES", 200_000)
+    model = langid.Model({k: "the quick brown fox " * 500 + k for k in ("aa", "bb", "cc")})
+    assert model.table.nbytes <= 200_000 and len(model.langs) == 3
+    same = langid.Model.of(model.parts())
+    assert same.predict(["quick fox"])[0] == model.predict(["quick fox"])[0]
+
+
+def test_parse_without_restarts():
+    reference = "the cat sat on the mat and the dog ran to the cat again"
+    text = "the cat and the dog sat on the mat then again ran " * 200
+    norm = langid.normal(text) + " "
+    model = langid.Model({"aa": reference, "bb": "other words of some kind"}, window=None)
+    i, phrases = 0, 0
+    while i < len(norm):
+        j = i + 1
+        while j < len(norm) and norm[i:j + 1] in reference:
+            j += 1
+        i, phrases = j, phrases + 1
+    rate, _ = model.rates([text, "cat"])
+    assert rate[0, 0] * len(norm) / model.factor[0] == pytest.approx(phrases)

@@ -7,9 +7,15 @@ entropy rate, phrases x log2(reference length) / letters, and the lowest rate wi
 
 A greedy parse only moves forward, so the automaton with its restarts at the root is a
 plain transition table, and thousands of stretches of text walk all languages' tables in
-step. Whole texts are parsed; the parse restarts at the root every ``WINDOW`` symbols (an
+step. Whole texts are parsed; the parse restarts at the root every ``window`` symbols (an
 addition of less than one phrase a window, alike for all languages), which keeps a very
-long text from being one serial walk.
+long text from being one serial walk; ``window=None`` parses each text without restarts.
+
+The reference of a language is made of stretches of at most REF_DOCS labelled documents, at
+seeded places anywhere in their texts; all of them share its REF_SYMBOLS symbols, the long
+ones what the short ones leave. The model is counted: at most MAX_LANGS languages, those of
+most documents, and beyond MODEL_BYTES of tables all references shrink alike. It travels to
+the tasks as arrays, without this package.
 
 Normalisation: lower case; letters stay, every run of anything else is one blank. All
 letters of the references are symbols of their own: the ``ALPHABET`` most frequent have
@@ -38,8 +44,9 @@ from tidemark.llm.common import P, by_value, fold, sample_ids, small_batches
 
 by_value(__name__)
 
-#: The reference of a language: the first REF_SYMBOLS symbols of at most REF_DOCS documents, PIECE of each at most.
+#: The reference of a language: REF_SYMBOLS symbols of at most REF_DOCS documents, PIECE of each at most.
 REF_DOCS, REF_SYMBOLS, PIECE = 200, 1 << 15, 1 << 11
+MAX_LANGS, MODEL_BYTES = 256, 256 << 20
 ALPHABET = 62
 WINDOW = 1024
 FOLDS, HELD = 4, 2
@@ -118,11 +125,15 @@ def rare_steps(go: list[dict[int, int]], width: int, base: int, n: int) -> tuple
 class Model:
     """Languages, the letters' symbols, one table for all languages, roots and entropy factors."""
 
-    def __init__(self, references: dict[str, str]):
+    def __init__(self, references: dict[str, str], window: int | None = WINDOW):
         self.langs = sorted(references)
+        self.window = window
         counts = Counter("".join(references.values()))
         counts.pop(" ", None)
         letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        # an automaton has at most two states a symbol, each with a row of 32-bit columns
+        most = MODEL_BYTES // (8 * (min(len(letters), ALPHABET) + 2) * max(1, len(references)))
+        references = {k: v[:most] for k, v in references.items()}
         self.symbol = {c: i + 2 for i, c in enumerate(letters)} | {" ": BLANK}
         self.width = min(len(letters), ALPHABET) + 2
         self.rare = len(letters) + 2 - self.width
@@ -143,6 +154,16 @@ class Model:
         self.begin = np.stack(begin) if begin else np.zeros((0, self.rare), np.int32)
         self.factor = np.array([np.log2(max(2, len(references[x]))) for x in self.langs])
 
+    def parts(self) -> dict:
+        """Arrays, lists and dicts of plain values: what a task needs to have the model again."""
+        return self.__dict__
+
+    @staticmethod
+    def of(parts: dict) -> Model:
+        model = Model.__new__(Model)
+        model.__dict__.update(parts)
+        return model
+
     def next_states(self, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
         """Table values of one symbol per lane for all languages' states."""
         if not self.rare:
@@ -176,11 +197,12 @@ class Model:
         letters = np.bincount(doc[sym != BLANK], minlength=n)
         total = np.bincount(doc, minlength=n)
         first = np.concatenate(([0], np.cumsum(total)))[:-1]
-        windows = -(-total // WINDOW)
+        window = self.window or max(1, int(total.max(initial=1)))
+        windows = -(-total // window)
         owner = np.repeat(np.arange(n), windows)
         nth = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(windows)))[:-1], windows)
-        start = first[owner] + nth * WINDOW
-        length = np.minimum(WINDOW, total[owner] - nth * WINDOW)
+        start = first[owner] + nth * window
+        length = np.minimum(window, total[owner] - nth * window)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
@@ -206,21 +228,33 @@ class Model:
         return [self.langs[b] if m else "und" for b, m in zip(best.tolist(), letters.tolist())], score
 
 
+def shares(lengths: list[int], total: int) -> list[int]:
+    """``total`` dealt out evenly, what a short one cannot take to the longer ones."""
+    out, left = [0] * len(lengths), total
+    for k, i in enumerate(sorted(range(len(lengths)), key=lambda i: (lengths[i], i))):
+        out[i] = min(lengths[i], left // (len(lengths) - k))
+        left -= out[i]
+    return out
+
+
 def train(docs: DataFrame, seen, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          seed: int = SEED) -> Model:
+          seed: int = SEED, window: int | None = WINDOW, max_langs: int = MAX_LANGS) -> Model:
     """References come from a bounded, seeded sample; only they reach the driver."""
     known = (docs.select(F.col(id_col).alias(P + "id"), F.col(lang_col).alias(P + "lang"))
              .where(F.col(P + "lang").isNotNull() & F.col(P + "id").isNotNull() & seen(F.col(P + "id"))))
-    picked = sample_ids(known.distinct(), P + "id", [P + "lang"], REF_DOCS, seed)
-    piece = F.substring(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " "), 1, PIECE)
-    got = (docs.select(F.col(id_col).alias(P + "id"), F.col(lang_col).alias(P + "lang"), piece.alias("text"))
+    kept = known.groupBy(P + "lang").count().orderBy(F.desc("count"), P + "lang").limit(max_langs).select(P + "lang")
+    picked = sample_ids(known.distinct().join(F.broadcast(kept), P + "lang", "left_semi"), P + "id", [P + "lang"], REF_DOCS, seed)
+    letters = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " "))
+    place = F.pmod(F.xxhash64(P + "id", F.lit(seed + 1)), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1
+    got = (docs.select(F.col(id_col).alias(P + "id"), F.col(lang_col).alias(P + "lang"), letters.alias("text"))
            .join(F.broadcast(picked), [P + "id", P + "lang"])
-           .select(P + "lang", F.xxhash64(P + "id", F.lit(seed)).alias("h"), "text").collect())
-    references: dict[str, str] = {}
+           .select(P + "lang", F.xxhash64(P + "id", F.lit(seed)).alias("h"), F.substr("text", place, F.lit(PIECE)).alias("text")).collect())
+    stretches: dict[str, list[str]] = {}
     for lang, _, text in sorted(got, key=lambda r: (r[0], r[1], r[2] or "")):
-        if text and len(references.get(lang, "")) < REF_SYMBOLS:
-            references[lang] = (references.get(lang, "") + " " + normal(text)).strip()[:REF_SYMBOLS]
-    return Model({k: v for k, v in references.items() if v})
+        if text and (text := normal(text)):
+            stretches.setdefault(lang, []).append(text)
+    return Model({lang: " ".join(t[:n] for t, n in zip(texts, shares([len(t) for t in texts], REF_SYMBOLS)) if n)[:REF_SYMBOLS]
+                  for lang, texts in stretches.items()}, window)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -229,16 +263,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text_col)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.parts())  # at most about MODEL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.of(shared.value)
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             langs, scores, lo, size = [], [], 0, 0
             for hi in range(1, len(texts) + 1):
                 size += len(texts[hi - 1])
                 if size >= LANES or hi == len(texts):
-                    x, s = shared.value.predict(texts[lo:hi])
+                    x, s = model.predict(texts[lo:hi])
                     langs += x
                     scores.append(s)
                     lo, size = hi, 0
@@ -254,5 +289,5 @@ def not_held():
     return lambda doc_id: fold(doc_id, FOLDS) != HELD
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    return predict(docs, train(docs, not_held(), id_col, text_col, lang_col), text_col)
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window: int | None = WINDOW) -> DataFrame:
+    return predict(docs, train(docs, not_held(), id_col, text_col, lang_col, window=window), text_col)
