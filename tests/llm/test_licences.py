@@ -83,7 +83,7 @@ def test_unfinished_line_before_a_wrapped_sentence(spark):
     text = "\n".join(wrap(x, 70) for x in MIT)
     texts = [(1, "MIT License\n" + text), (2, "Copyright (c) 2024 X\n" + text + "\nand more"), (3, "#\n# Released under the MIT License.\n#"),
              (4, "Licensed under the Apache License, Version 2.0\n" + APACHE.partition("2.0 ")[2])]
-    assert scan(spark, texts) == [("1", "mit-text", "MIT", 3), ("2", "mit-text", "MIT", 3), ("3", "mit-named", "MIT", 1), ("3", "mit-named", "MIT", 1), ("4", "apache-notice", "Apache-2.0", 5)]
+    assert scan(spark, texts) == [("1", "mit-text", "MIT", 3), ("2", "mit-text", "MIT", 3), ("3", "mit-named", "MIT", 1), ("4", "apache-notice", "Apache-2.0", 5)]
 
 
 def test_every_rule_matches_its_own_sentences(spark):
@@ -112,3 +112,58 @@ def test_published_notices_that_split(spark):
     assert scan(spark, texts) == [(str(100 * n + i), *x[1:]) for n, x in enumerate(notices, 1) for i in range(len(SIGNS))]
     spans = [(r.first_sentence, r.last_sentence) for r in licences.scan(spark.createDataFrame([(1, "A. " + MPL)], "doc_id long, text string")).collect()]
     assert spans == [(1, 2)]
+
+
+def test_one_find_is_one_row(spark):
+    texts = [(1, "# -----\n# Released under the MIT License.\n# -----"), (2, "/*\n * Licensed under CC BY 4.0.\n */"),
+             (3, "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0.")]
+    assert scan(spark, texts) == [("1", "mit-named", "MIT", 1), ("2", "cc-by", "CC-BY-4.0", 1)] + [("3", "cc-by", "CC-BY-4.0", 1)] * 2
+
+
+ENDORSE = ("Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software "
+           "without specific prior written permission.")
+ADVERTISE = ("All advertising materials mentioning features or use of this software must display the following acknowledgement:\n"
+             "This product includes software developed by Example Inc. and its contributors.")
+
+
+def test_names_inside_sentences_and_the_advertising_clause(spark):
+    three = [*CLAUSES[:2], ENDORSE.format("Example Inc.")]
+    four = [*CLAUSES[:2], ADVERTISE, ENDORSE.format("the University of Somewhere")]
+    head = licences.SENTENCES["bsd-redistribute"]
+    texts = []
+    for n, clauses in ((100, three), (200, four)):
+        for i, sign in enumerate(SIGNS):
+            numbered = "\n\n".join(wrap(f"{k}. {c}", 70) if "\n" not in c else f"{k}. {c}" for k, c in enumerate(clauses, 1))
+            texts.append((n + i, commented(wrap(head, 70) + "\n\n" + numbered + "\n\n" + wrap(DISCLAIMER), sign)))
+    got = scan(spark, texts)
+    assert got == [(str(100 + i), "bsd-3", "BSD-3-Clause", 2) for i in range(len(SIGNS))] + [(str(200 + i), "bsd-4", "BSD-4-Clause", 3) for i in range(len(SIGNS))]
+
+
+FREE = """This {kind} is free software{a} you can redistribute it and/or
+modify it under the terms of the GNU {name} General Public License as
+published by the Free Software Foundation{b} either version {version} of the
+License, or (at your option) any later version."""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License version 2 as published
+by the Free Software Foundation."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0"""
+
+
+def test_more_published_notices(spark):
+    def free(name, version, kind="program", a=";", b=";"):
+        return FREE.format(kind=kind, name=name, version=version, a=a, b=b).replace("GNU  General", "GNU General")
+
+    hope = "\n\n" + GPL.split("\n\n")[1]
+    notices = [(free("", "2") + hope, "gpl2-notice", "GPL-2.0-or-later", 5), (free("", "2"), "gpl2-free", "GPL-2.0-or-later", 3),
+               (GPL2_ONLY, "gpl2-only", "GPL-2.0-only", 2), (free("Lesser", "2.1", "library"), "lgpl21-free", "LGPL-2.1-or-later", 3),
+               (free("Lesser", "3", a=":", b=","), "lgpl3-program", "LGPL-3.0-or-later", 2), (free("Affero", "3", a=":", b=","), "agpl3-free", "AGPL-3.0-or-later", 2),
+               (ISC, "isc", "ISC", 1), ("This is free and unencumbered software released into the public domain.", "unlicense", "Unlicense", 1), (EPL, "epl", "EPL-2.0", 1)]
+    texts = [(100 * n + i, commented(x[0], s)) for n, x in enumerate(notices, 1) for i, s in enumerate(SIGNS)]
+    assert scan(spark, texts) == [(str(100 * n + i), *x[1:]) for n, x in enumerate(notices, 1) for i in range(len(SIGNS))]

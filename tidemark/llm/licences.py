@@ -16,9 +16,11 @@ although it has a number of its own, and a sentence is found with or without one
 
 Only sentences in the table leave the map stage; the table is a fixed list, in the plan.
 
-Defined cases: a lone line beside lines without a word is found as a whole and as a line, so
-a rule of one sentence gives two equal rows for it, as the SQL states. Null or empty texts, and texts without a known sentence, give no row.
-Repeated documents are found once for each id and text. Null ids are kept. Extra columns
+A name inside a sentence ("Neither the name of Example Inc. nor ...") is first replaced by
+the words that the table has for it (SLOTS).
+
+Defined cases: a find gives one row. Null or empty texts, and texts without a known sentence,
+give no row. A text of any length is cut whole. Repeated documents are found once for each id and text. Null ids are kept. Extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -57,7 +59,19 @@ SENTENCES = {
     "gpl-fitness": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "bsd-redistribute": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-advertise": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
     "bsd-ref": "Licensed under the BSD 3-Clause License.",
+    "gpl2-modify": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2-version": "either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl-free": "This library is free software;",
+    "lgpl-modify": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl-version": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-modify": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-modify": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "cc-by": "Licensed under CC BY 4.0.",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa": "Licensed under CC BY-SA 4.0.",
@@ -83,7 +97,19 @@ RULES = {
     "gpl3-short": ("GPL-3.0", ["gpl3-ref-2"]),
     "bsd-3": ("BSD-3-Clause", ["bsd-redistribute", "bsd-endorse"]),
     "bsd-2": ("BSD-2-Clause", ["bsd-redistribute"]),
+    "bsd-4": ("BSD-4-Clause", ["bsd-redistribute", "bsd-advertise", "bsd-endorse"]),
+    "bsd-4-short": ("BSD-4-Clause", ["bsd-redistribute", "bsd-advertise"]),
     "bsd-named": ("BSD-3-Clause", ["bsd-ref"]),
+    "gpl2-notice": ("GPL-2.0-or-later", ["gpl-free-1", "gpl2-modify", "gpl2-version", "gpl-hope", "gpl-fitness"]),
+    "gpl2-free": ("GPL-2.0-or-later", ["gpl-free-1", "gpl2-modify", "gpl2-version"]),
+    "gpl2-only": ("GPL-2.0-only", ["gpl-free-1", "gpl2-only"]),
+    "lgpl21-free": ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-modify", "lgpl-version"]),
+    "lgpl3-free": ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-modify"]),
+    "lgpl3-program": ("LGPL-3.0-or-later", ["gpl-free-1", "lgpl3-modify"]),
+    "agpl3-free": ("AGPL-3.0-or-later", ["gpl-free-1", "agpl3-modify"]),
+    "isc": ("ISC", ["isc-grant"]),
+    "unlicense": ("Unlicense", ["unlicense"]),
+    "epl": ("EPL-2.0", ["epl-2"]),
     "cc-by": ("CC-BY-4.0", ["cc-by"]),
     "cc-by-nc": ("CC-BY-NC-4.0", ["cc-by-nc"]),
     "cc-by-sa": ("CC-BY-SA-4.0", ["cc-by-sa"]),
@@ -92,11 +118,16 @@ RULES = {
     "mit-or-apache": ("MIT OR Apache-2.0", ["mit-ref", "apache-ref"]),
 }
 
+#: A sentence with a name in it, and the words that the table has for the name.
+SLOTS = [(r"(?is)\bneither\W+the\W+name\W+of\W.{1,200}?\Wnor\W+the\W+names\W+of\W+its\W+contributors\b",
+          "Neither the name of the copyright holder nor the names of its contributors")]
+
 END = r"(?<=[.!?;:])\s+|\n\s*\n"
 NUMBER = r"[^\p{L}\p{N}]*(?:\p{N}{1,3}|\p{L}|[ivxIVX]{1,5})"
 #: A piece that is a list number or has no word, and a list number before a sentence.
 NO_SENTENCE = rf"^(?:{NUMBER})?[^\p{{L}}\p{{N}}]*$"
 NUMBERED = rf"^{NUMBER}[.)]+\s+"
+NUMBERED_ASCII = r"^\W*(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)]+\s+"
 #: Comment signs that the cut would take for the end of a sentence, or the lookup for a word.
 COMMENT = r"(?m)^[ \t]*(?:;+|!+|::+|(?i:@?rem|dnl)\b)[ \t]*"
 
@@ -106,15 +137,30 @@ def normal(sentence: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, COMMENT, ""), END)
+    text = F.regexp_replace(text, COMMENT, "")
+    for pattern, words in SLOTS:
+        text = F.regexp_replace(text, pattern, words)
+    return F.split(text, END)
 
 
 def lines(cut: Column) -> Column:
-    """Lines with a word as (sentence, line, norm, bare, many): bare is without a list number
-    before it, many says that its piece has more lines, with words or not."""
-    return F.filter(F.flatten(F.transform(cut, lambda s, i: F.transform(F.split(s, "\n"), lambda x, j: F.struct(
-        i.alias("sentence"), j.alias("line"), normal(x).alias("norm"), normal(unnumbered(x)).alias("bare"),
-        F.contains(s, F.lit("\n")).alias("many"))))), lambda x: x["norm"] != "")
+    """Lines with a word as (sentence, line, text)."""
+    return F.flatten(F.transform(cut, lambda s, i: F.filter(F.transform(F.split(s, "\n"), lambda x, j: F.struct(
+        i.alias("sentence"), j.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(r"[\p{L}\p{N}]"))))
+
+
+def first_words(sentence: str) -> set[str]:
+    """What a line that begins a sentence has as its first two words: they, or its one word."""
+    words = re.sub(r"[\W_]+", " ", sentence.lower()).split()
+    return {" ".join(words[:2]), words[0]} if words else set()
+
+
+def opens(line: Column, known: set[str]) -> Column:
+    """Whether a line may begin a known sentence, from its first characters with a word: most
+    lines are settled by this lookup, whatever the size of the table."""
+    head = F.substring(F.regexp_replace(line, r"^[^\p{L}\p{N}]+", ""), 1, 100)
+    key = F.substring_index(normal(unnumbered(head)), " ", 2)
+    return key.isin(*sorted(known))
 
 
 def unnumbered(sentence: Column) -> Column:
@@ -146,23 +192,23 @@ def sentence_table(sentences: dict[str, str]) -> Column:
 
 
 def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str]) -> DataFrame:
-    """(id, key, sentence, line, sid, nth, end, nth_end, lone): key tells texts with one id apart; nth numbers the sentences that count."""
+    """(id, key, sentence, line, sid, nth, end, nth_end): key tells texts with one id apart; nth numbers the sentences that count."""
     sentences = {k: v for k, v in sentences.items() if k not in in_pieces(sentences)}
     more = max(len(parts(v)) for v in sentences.values()) - 1
     bound = max(len(v.split()) + 2 * sum(not c.isalnum() for c in v) for v in sentences.values())  # words, and so lines, at most
     keys, known = [F.col(id_col), F.col(P + "key")], F.col(P + "known")
     norms = F.transform(sentence_table(sentences), lambda k: k["norm"])
+    known_words = set().union(*[first_words(re.sub(NUMBERED_ASCII, "", v)) for v in sentences.values()])
     text = docs.select(F.col(id_col), F.xxhash64(text_col).alias(P + "key"), pieces(F.col(text_col)).alias("cut"))
     read = text.select(*keys, skipped(F.col("cut")).alias("skip"), lines(F.col("cut")).alias("u"))
-    # a run is the lines from a place on where a known sentence can begin
-    begins = F.transform("u", lambda x, i: F.when(F.exists(norms, lambda k: F.startswith(k, x["bare"])) & (x["bare"] != ""), i))
+    # a run is the lines from a place on where a known sentence can begin; only these lines are normalised
+    begins = F.transform("u", lambda x, i: F.when(opens(x["text"], known_words), i))
     run = read.withColumn("i", F.explode(F.filter(begins, lambda i: i.isNotNull())))
     first = F.get("u", F.col("i"))
     after = F.filter(F.slice("u", F.col("i") + 2, F.lit(bound)), lambda x: x["sentence"] <= first["sentence"] + more)
-    apart = lambda x: F.coalesce(x["sentence"] != first["sentence"], F.lit(True))
-    lone = first["many"] & apart(F.get("u", F.col("i") - 1)) & apart(F.get("u", F.col("i") + 1))
-    run = (run.select(*keys, "skip", first.alias("first"), after.alias("after"), lone.alias("lone"))
-           .withColumn("rest", F.array_join(F.concat(F.array("first.bare"), F.transform("after", lambda x: x["norm"])), "\n")))
+    run = run.select(*keys, "skip", first.alias("first"), after.alias("after")).withColumn("bare", normal(unnumbered(F.col("first.text"))))
+    run = run.where((F.col("bare") != "") & F.exists(norms, lambda k: F.startswith(k, F.col("bare"))))
+    run = run.withColumn("rest", F.array_join(F.concat(F.array("bare"), F.transform("after", lambda x: normal(x["text"]))), "\n"))
     flat = run.withColumn("flat", F.translate("rest", "\n", " ")).withColumn(P + "known", sentence_table(sentences))
     begun = lambda n: F.substring(F.col("rest"), F.lit(1), n)
     last = lambda n: F.coalesce(F.get("after", F.length(begun(n)) - F.length(F.translate(begun(n), "\n", "")) - 1), F.col("first"))
@@ -175,7 +221,7 @@ def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict
     end = F.struct(last(F.col("m.n"))["sentence"].alias("sentence"), last(F.col("m.n"))["line"].alias("line"))
     nth = lambda at: at - F.size(F.filter("skip", lambda i: i < at))
     found = (best.withColumn("end", end).select(*keys, "first.sentence", "first.line", "sid", "end", nth(F.col("first.sentence")).alias("nth"),
-                                                nth(F.col("end.sentence")).alias("nth_end"), "lone").distinct())
+                                                nth(F.col("end.sentence")).alias("nth_end")).distinct())
     before = W.partitionBy(id_col, P + "key").orderBy("sentence", "line").rowsBetween(W.unboundedPreceding, -1)
     inside = F.max("end").over(before) >= F.col("end")
     return found.withColumn("inside", F.coalesce(inside, F.lit(False))).where(~F.col("inside")).drop("inside")
@@ -208,6 +254,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     matched = ahead.withColumn("m", best).where(F.col("m").isNotNull()).withColumn("end", F.col("n") + F.col("m.n_sentences"))
     earlier = W.partitionBy(id_col, P + "key").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     free = matched.withColumn("covered", F.max("end").over(earlier)).where(F.col("covered").isNull() | (F.col("end") > F.col("covered")))
-    copies = F.when(F.col("lone") & (F.col("m.n_sentences") == 1), 2).otherwise(1)
-    return free.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(F.col(id_col), "m.rule_id", "m.licence", F.col("sentence").cast("long").alias("first_sentence"),
+    return free.select(F.col(id_col), "m.rule_id", "m.licence", F.col("sentence").cast("long").alias("first_sentence"),
                        F.col("m.last_sentence").cast("long").alias("last_sentence"), F.col("m.n_sentences").cast("long").alias("n_sentences"))

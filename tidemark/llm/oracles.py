@@ -83,14 +83,18 @@ def licence_scan() -> str:
     best.sort(key=lambda x: (x[0], x[1]), reverse=True)  # the last rule in the operator's order wins
     cases = "\n".join(b for _, _, b in best)
     ws = r"[ \t\n\x0B\f\r]"
+    slotted = "coalesce(text, '')"
+    for pattern, words in licences.SLOTS:
+        slotted = f"regexp_replace({slotted}, {quote(pattern)}, {quote(words)}, 'g')"
     return rf"""
-WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:]){ws}+|\n{ws}*\n', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
+WITH d AS (SELECT doc_id, string_split(regexp_replace({slotted}, '([.!?;:]){ws}+|\n{ws}*\n', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
 s AS (SELECT doc_id, unnest(ss) AS piece, unnest(range(len(ss))) AS sentence FROM d),
 l AS (SELECT doc_id, sentence, 0 AS line, piece FROM s
       UNION ALL SELECT doc_id, sentence, unnest(range(1, len(ls) + 1)), unnest(ls) FROM
         (SELECT doc_id, sentence, string_split(piece, chr(10)) AS ls FROM s WHERE contains(piece, chr(10)))),
 k AS (SELECT min(sid) AS sid, norm FROM (SELECT sid, {norm('t')} AS norm FROM (VALUES {known}) AS v(sid, t)) GROUP BY norm),
-f AS (SELECT DISTINCT doc_id, sentence, line, sid FROM l JOIN k ON {norm('l.piece')} = k.norm WHERE length(piece) BETWEEN 2 AND {longest}),
+e AS (SELECT DISTINCT doc_id, sentence, line, sid FROM l JOIN k ON {norm('l.piece')} = k.norm WHERE length(piece) BETWEEN 2 AND {longest}),
+f AS (SELECT * FROM e QUALIFY line = 0 OR NOT bool_or(line = 0) OVER (PARTITION BY doc_id, sentence)), -- a whole piece holds its lines
 a AS (SELECT *, sid AS s0, sentence AS p0, {lead}, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY sentence, line, sid)),
 m AS (SELECT doc_id, sentence, n, CASE {cases} END AS r FROM a),
 c AS (SELECT *, n + r.n AS stop FROM m WHERE r IS NOT NULL),
