@@ -191,6 +191,12 @@ def sentence_table(sentences: dict[str, str]) -> Column:
                      for k, v in sorted(sentences.items())])
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: as a generator's output it is not
+    written out again in every later expression and filter that uses it."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str]) -> DataFrame:
     """(id, key, sentence, line, sid, nth, end, nth_end): key tells texts with one id apart; nth numbers the sentences that count."""
     sentences = {k: v for k, v in sentences.items() if k not in in_pieces(sentences)}
@@ -203,20 +209,21 @@ def sentences_found(docs: DataFrame, id_col: str, text_col: str, sentences: dict
     read = text.select(*keys, skipped(F.col("cut")).alias("skip"), lines(F.col("cut")).alias("u"))
     # a run is the lines from a place on where a known sentence can begin; only these lines are normalised
     begins = F.transform("u", lambda x, i: F.when(opens(x["text"], known_words), i))
-    run = read.withColumn("i", F.explode(F.filter(begins, lambda i: i.isNotNull())))
+    # an inner explode would infer a filter, pushed down to the texts, that cuts all of them once more
+    run = read.withColumn("i", F.explode_outer(F.filter(begins, lambda i: i.isNotNull()))).where(F.col("i").isNotNull())
     first = F.get("u", F.col("i"))
     after = F.filter(F.slice("u", F.col("i") + 2, F.lit(bound)), lambda x: x["sentence"] <= first["sentence"] + more)
     run = run.select(*keys, "skip", first.alias("first"), after.alias("after")).withColumn("bare", normal(unnumbered(F.col("first.text"))))
     run = run.where((F.col("bare") != "") & F.exists(norms, lambda k: F.startswith(k, F.col("bare"))))
-    run = run.withColumn("rest", F.array_join(F.concat(F.array("bare"), F.transform("after", lambda x: normal(x["text"]))), "\n"))
-    flat = run.withColumn("flat", F.translate("rest", "\n", " ")).withColumn(P + "known", sentence_table(sentences))
+    run = once(run, "rest", F.array_join(F.concat(F.array("bare"), F.transform("after", lambda x: normal(x["text"]))), "\n"))
+    flat = once(run, "flat", F.translate("rest", "\n", " ")).withColumn(P + "known", sentence_table(sentences))
     begun = lambda n: F.substring(F.col("rest"), F.lit(1), n)
     last = lambda n: F.coalesce(F.get("after", F.length(begun(n)) - F.length(F.translate(begun(n), "\n", "")) - 1), F.col("first"))
     whole = lambda n: (F.length("flat") == n) | (F.substring(F.col("rest"), n + 1, F.lit(1)) == "\n")
     fits = F.filter(known, lambda k: F.startswith(F.col("flat"), k["norm"]) & whole(F.length(k["norm"])) & (
         last(F.length(k["norm"]))["sentence"] - F.col("first.sentence") == k["more"]))
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k["norm"]).alias("n"), k["norm"].alias("norm"))))
-    best = (flat.withColumn("m", longest).where(F.col("m").isNotNull())
+    best = (once(flat, "m", longest).where(F.col("m").isNotNull())
             .withColumn("sid", F.array_min(F.transform(F.filter(known, lambda k: k["norm"] == F.col("m.norm")), lambda k: k["sid"]))))
     end = F.struct(last(F.col("m.n"))["sentence"].alias("sentence"), last(F.col("m.n"))["line"].alias("line"))
     nth = lambda at: at - F.size(F.filter("skip", lambda i: i < at))
