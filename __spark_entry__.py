@@ -41,9 +41,8 @@ from tidemark.sources.store import Store  # noqa: E402
 try:  # the training-data operators and their pipeline can be taken out as a whole
     import corpus_pipeline
     from tidemark.llm import queries as LLM
-except ModuleNotFoundError as missing:
-    if (missing.name or "").split(".")[:2] not in (["corpus_pipeline"], ["tidemark", "llm"]):
-        raise
+except ImportError as missing:  # they, or a package that only they use, are not there
+    print(f"training-data queries are left out: {missing}", file=sys.stderr)
     corpus_pipeline = LLM = None
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -556,28 +555,59 @@ def _predicted(spark, sf):
     return materialize(ML.predict(data, _models[key], as_of=AS_OF), "predicted")
 
 
+def in_rank_order(rows: list, scored: DataFrame, order: list[tuple[str, str]]) -> list[bool]:
+    """For each row of a report, whether exactly the rows before it rank above it among all
+    scored rows. ``order``: (column, "desc", "asc" or "asc_nulls_first"); nulls come last
+    otherwise. One aggregate over the scored rows, apart from the report's own sort."""
+    def above(row) -> Column:
+        out, level = F.lit(False), F.lit(True)
+        for name, way in order:
+            c, v = ML.q(name), row[name]
+            if v is None:
+                better, same = (c.isNotNull() if way != "asc_nulls_first" else F.lit(False)), c.isNull()
+            else:
+                better = (c > F.lit(v)) if way == "desc" else (c < F.lit(v))
+                better = F.coalesce(better, F.lit(way == "asc_nulls_first"))
+                same = F.coalesce(c == F.lit(v), F.lit(False))
+            out, level = out | (level & better), level & same
+        return out
+
+    if not rows:
+        return []
+    counts = scored.agg(*[F.count_if(above(r)).alias(f"n{i}") for i, r in enumerate(rows)]).first()
+    return [counts[f"n{i}"] == i for i in range(len(rows))]
+
+
+TOP_ORDER = [("date", "desc"), ("prediction-gt1", "desc"), ("prediction-gt2", "desc"), ("prediction-gt3", "desc"), ("probability-gt1", "desc"), ("isin", "asc")]
+DIPS_ORDER = [("date", "desc"), ("P-Close-1", "asc_nulls_first"), ("isin", "asc")]
+
+
+def _scores(pred: DataFrame) -> DataFrame:
+    """The columns that the reports rank by, each probability as that of the class 1."""
+    from pyspark.ml.functions import vector_to_array
+    p = ML.probability_col("gt1")
+    return pred.withColumn(p, vector_to_array(ML.q(p))[1]) if dict(pred.dtypes)[p] == "vector" else pred
+
+
 def q_top_opportunities(spark, sf):
-    """The latest days lead; within a day the scores fall; names belong to their rows."""
-    from pyspark.sql import Window
-    top = REP.opportunities(_predicted(spark, sf), FX.stock(spark, sf), 6)
-    keys = [F.col(f"`{c}`") for c in ("prediction-gt1", "prediction-gt2", "prediction-gt3", "probability-gt1")]
-    score = F.struct(*[F.coalesce(k, F.lit(-1.0)).alias(f"k{i}") for i, k in enumerate(keys)])
-    rank = [F.desc("date"), *[k.desc_nulls_last() for k in keys], F.asc("isin")]
-    w = Window.orderBy(*rank)  # six rows
-    ranked = top.select("*", F.row_number().over(w).alias("place"), F.lag("date").over(w).alias("_d"), F.lag(score).over(w).alias("_s"), score.alias("_o"))
-    falls = F.col("_d").isNull() | (F.col("_d") > F.col("date")) | (F.col("_s") >= F.col("_o"))
-    return ranked.select("place", "date", _flag(falls & (F.col("symbol") == F.concat(F.lit("S"), "isin"))))
+    """Six rows: above each, only the rows before it rank among all scored rows; names belong to their rows."""
+    pred = _predicted(spark, sf)
+    top = REP.opportunities(pred, FX.stock(spark, sf), 6).collect()  # six rows
+    right = in_rank_order(top, _scores(pred), TOP_ORDER)
+    rows = [(i, r["date"], int(ok and r["symbol"] == "S" + r["isin"])) for i, (r, ok) in enumerate(zip(top, right), 1)]
+    return spark.createDataFrame(rows, "place int, date date, valid int")
 
 
 def q_dips(spark, sf):
-    """At most six rows, as many as there are, all predicted to rise, with their own past return."""
+    """Up to six rows that are predicted to rise: no other such row of the day fell more."""
     pred = _predicted(spark, sf)
-    d = REP.dips(pred, FX.stock(spark, sf), 6)
-    there = pred.where(ML.q("prediction-gt1") == 1).select("isin", "date", ML.q("P-Close-1").alias("_p"))
-    n = F.lit(min(6, pred.where(ML.q("prediction-gt1") == 1).limit(6).count()))
-    j = d.join(there, ["isin", "date"], "left")
-    return j.agg(_flag((F.count("*") == n) & F.coalesce(F.every(ML.q("prediction-gt1") == 1), F.lit(True))
-                       & F.coalesce(F.every(F.col("PClose").eqNullSafe(F.col("_p"))), F.lit(True))))
+    rising = pred.where(ML.q("prediction-gt1") == 1).select("isin", "date", ML.q("P-Close-1"))
+    dips = REP.dips(pred, FX.stock(spark, sf), 6).collect()  # six rows
+    rows = [r.asDict() | {"P-Close-1": r["PClose"]} for r in dips]
+    there = {(r["isin"], r["date"], r["P-Close-1"]) for r in rising.where(F.col("isin").isin([r["isin"] for r in rows]) & F.col("date").isin([r["date"] for r in rows])).collect()}
+    right = (len(rows) == min(6, rising.limit(6).count()) and all(in_rank_order(rows, rising, DIPS_ORDER))
+             and all((r["isin"], r["date"], r["P-Close-1"]) in there for r in rows))
+    return spark.createDataFrame([(int(right),)], "valid int")
 
 
 def q_cluster_listing(spark, sf):
