@@ -328,6 +328,37 @@ def q_quotes_csv_roundtrip(spark, sf):
     return quantize(CSV.read_quotes(spark, path).select("isin", "date", *O.BAR_COLS))
 
 
+def q_quotes_rejects(spark, sf):
+    """Quote files with damaged lines stored: how many lines were kept, and rejected why, by
+    the tables and by the counts taken while storing."""
+    path, store = _scratch(spark, "damaged"), _own_store(spark)
+    day = F.dayofmonth("date")
+    cells = [F.when(day != 30, F.col("isin")), F.lit("XPAR"),
+             F.when(day == 31, F.date_format("date", "'32'/MM/yyyy")).when(day != 29, F.date_format("date", CSV.QUOTE_DATE_FORMAT)),
+             *[F.col(c).cast("string") for c in ("Open", "High", "Low", "Close", "Number_of_Shares", "Number_of_Trades")],
+             F.when(day == 28, F.lit("n/a")).otherwise(F.col("Turnover").cast("string")), F.lit("EUR")]
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells])
+    _bars_sd(spark, sf).select(F.explode(F.when(day == 1, F.array(F.lit("  "), line)).otherwise(F.array(line))).alias("value")).write.text(path)
+    counted = store.ingest_quotes(path)
+    stored = store.table("quotation").agg(F.count("*").alias("kept"), F.count_if(F.col("Turnover").isNull()).alias("damaged")).first().asDict()
+    rejected = {r["reason"]: r["count"] for r in store.table("rejects").groupBy("reason").count().collect()}  # four reasons
+    spark.sql(f"DROP DATABASE {store.db} CASCADE")
+    rows = [(k, n, counted[k]) for k, n in (stored | rejected).items()]
+    return spark.createDataFrame(rows, "reason string, n_lines long, n_counted long")
+
+
+def q_history_csv_roundtrip(spark, sf):
+    """Bars written as history files of two layouts, each with its header row, and read back."""
+    path, b = _scratch(spark, "history"), _bars_sd(spark, sf)
+    days = [F.date_format("date", f).alias("Date") for f in CSV.HISTORY_DATE_FORMATS]
+    one = b.where(F.col("isin").cast("long") % 2 == 0).select("Close", F.lit("a, b").alias("Remark"), days[0], "High", "isin", "Low", "Open",
+                                                              F.col("Number_of_Shares").alias("Number of Shares"))
+    two = b.where(F.col("isin").cast("long") % 2 == 1).select("isin", days[1], "Open", "High", "Low", "Close", "Turnover")
+    one.write.option("header", True).csv(path)
+    two.write.mode("append").option("header", True).csv(path)
+    return quantize(CSV.read_instrument_history(spark, path).select("isin", "date", "Open", "High", "Low", "Close", "Number_of_Shares", "Turnover"))
+
+
 def q_stock_csv_roundtrip(spark, sf):
     """The instrument list written in the vendor's layout and read back."""
     path = _scratch(spark, "stock")
@@ -886,6 +917,16 @@ wl AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS isin FROM supplier
         "upsert_partitions": _upsert_sql(),
         "daily_job": O.wide_sql(plan, EXPORT_COLS, _job_bars()),
         "quotes_csv_roundtrip": O.quantized_bars(sd),
+        "quotes_rejects": f"""
+            WITH b AS (SELECT day(date) AS d FROM ({sd}) q), c AS (
+                SELECT 'kept' AS reason, count(*) FILTER (WHERE d < 29) AS n FROM b UNION ALL SELECT 'damaged', count(*) FILTER (WHERE d = 28) FROM b
+                UNION ALL SELECT 'no date', count(*) FILTER (WHERE d = 29) FROM b UNION ALL SELECT 'no instrument', count(*) FILTER (WHERE d = 30) FROM b
+                UNION ALL SELECT 'bad date', count(*) FILTER (WHERE d = 31) FROM b UNION ALL SELECT 'blank', count(*) FILTER (WHERE d = 1) FROM b)
+            SELECT reason, n AS n_lines, n AS n_counted FROM c""",
+        "history_csv_roundtrip": f"""
+            SELECT isin, date, {', '.join(O.Q(O.ident(c)) + ' AS ' + O.ident(c) for c in ('Open', 'High', 'Low', 'Close'))},
+                   {O.Q('CASE WHEN CAST(isin AS BIGINT) % 2 = 0 THEN "Number_of_Shares" END')} AS "Number_of_Shares",
+                   {O.Q('CASE WHEN CAST(isin AS BIGINT) % 2 = 1 THEN "Turnover" END')} AS "Turnover" FROM ({sd}) b""",
         "stock_csv_roundtrip": f"""
             WITH last AS (SELECT l_suppkey, max(l_shipdate) AS t FROM lineitem GROUP BY l_suppkey)
             SELECT s_name AS "Name", 'FR' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '0' AS "ISIN", 'S' || CAST(s_suppkey AS VARCHAR) AS "Symbol",

@@ -31,12 +31,13 @@ def planned_quotes(quotes: DataFrame, plan: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, store: Store, list_path: str, quotes_path: str, top_n: int, as_of: dt.date) -> DataFrame:
     """List, ranges still to fetch for the ``top_n`` instruments by turnover, and
-    the quote files' rows in those ranges; returns the fetch plan."""
+    the quote files' rows in those ranges; returns the fetch plan. Lines that are no quotes
+    go to the table ``rejects``."""
     load_instruments(spark, store, list_path)
     listed = top_by_turnover(store.table("stock"), top_n)
     marks = store.high_water() if store.exists("quotation") else spark.createDataFrame([], "isin string, last_quotation date")
     plan = materialize(fetch_plan(listed, marks, as_of=F.lit(as_of)), "fetch_plan")
-    store.append_quotes(planned_quotes(CSV.read_quotes(spark, quotes_path), plan))
+    store.ingest_quotes(quotes_path, lambda quotes: planned_quotes(quotes, plan))
     return plan
 
 
