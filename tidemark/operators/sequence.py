@@ -23,6 +23,12 @@ As long as ``back``/``fwd`` cover the total look-back/look-ahead of the chained
 expressions, every non-halo row sees exactly the rows it would see in an
 unsplit series; halo rows are dropped afterwards.  No group is larger than one
 chunk (or one time bucket) of one series.
+
+A bucket may hold too many rows itself (a day of ticks, rows without a date).
+``split_buckets`` cuts such buckets into parts of about equal depth at order
+values taken from a bounded sample by hash, and counts the parts again, until
+none is over-full or holds a single value.  ``ChunkPlan.stored`` and
+``number_rows`` do so; a lazy plan keeps whole buckets.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import materialize
+from tidemark.sources.sizing import maybe_broadcast
 
 RN = "_rn"
 CHUNK = "_chunk"
@@ -45,6 +52,12 @@ BUCKET = "_bk"
 # Rows per chunk: bounds the rows a single window task buffers.
 DEFAULT_CHUNK_ROWS = 1 << 17
 
+# Values sampled for each part that a bucket is cut into, the most parts one cut
+# makes (a part still over-full is cut again), and the most rounds of cuts.
+SAMPLE_PER_PART = 24
+MAX_PARTS = 1024
+MAX_ROUNDS = 8
+
 
 def _bucket_expr(df: DataFrame, order: str, bucket) -> Column:
     """Coarse bucket of the order key (bounds the numbering groups and the
@@ -82,17 +95,94 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
+def _part(cuts: Column, value: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value`` (binary search)."""
+    def step(acc: Column, _) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        above = (acc["lo"] < acc["hi"]) & (F.get(cuts, mid) <= value)
+        return F.struct(F.when(above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + F.lit(1.0))).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), step)["lo"]
+    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
+
+
+def _with_part(rows: DataFrame, keys: list[str], cuts: DataFrame | None) -> DataFrame:
+    """``rows`` (with ``_bk`` and ``_v``) and ``_p``, the row's part of its bucket."""
+    if cuts is None:
+        return rows.withColumn("_p", F.lit(0))
+    there = join_null_safe(rows, maybe_broadcast(cuts), [*keys, BUCKET], "left")
+    return there.withColumn("_p", _part(F.col("_cuts"), F.col("_v"))).drop("_cuts")
+
+
+def split_buckets(rows: DataFrame, keys: list[str], value: Column, limit: int, counts: DataFrame) -> DataFrame | None:
+    """(keys, _bk, _cuts): the values at which each bucket of more than ``limit`` rows is
+    cut, or None if no bucket is over-full. Runs now.
+
+    ``value`` is a struct that orders the rows. ``rows`` has ``_bk``; ``counts`` is the
+    written (keys, _bk, _n). Values are sampled by their hash, so a run repeated finds the
+    same cuts. Equal values stay together. Rounds look only at rows of over-full buckets."""
+    full = counts.where(F.col("_n") > limit).select(*keys, BUCKET)
+    if full.isEmpty():
+        return None
+    hot = join_null_safe(rows.withColumn("_v", value).select(*keys, BUCKET, "_v"), materialize(full, "full_buckets"), [*keys, BUCKET])
+    at, cuts = [*keys, BUCKET, "_p"], None
+    for salt in range(MAX_ROUNDS):
+        v = _with_part(hot, keys, cuts)
+        n = v.groupBy(*at).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                               F.approx_count_distinct("_v").alias("_d"))
+        n = n.where((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi")))
+        parts = F.least(F.ceil(F.col("_n") * 2 / limit).cast("int"), F.lit(MAX_PARTS))
+        todo = materialize(n.select(*at, parts.alias("_parts"), (parts * SAMPLE_PER_PART / F.col("_d")).alias("_share")), "full_parts")
+        if todo.isEmpty():
+            break
+        hashed = F.pmod(F.xxhash64(F.lit(salt), "_v"), F.lit(1 << 30)) / float(1 << 30)
+        some = join_null_safe(v, maybe_broadcast(todo), at).where(hashed < F.col("_share"))
+        some = some.groupBy(*at, "_parts").agg(F.sort_array(F.collect_set("_v")).alias("_s"))  # about 24 a part
+        every = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1),
+                            lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_parts")).cast("int")))
+        new = some.select(*keys, BUCKET, F.explode(every).alias("_c"))
+        if cuts is not None:
+            new = new.unionByName(cuts.select(*keys, BUCKET, F.explode("_cuts").alias("_c")))
+        cuts = materialize(new.groupBy(*keys, BUCKET).agg(F.sort_array(F.collect_set("_c")).alias("_cuts")), "bucket_cuts")
+    return cuts
+
+
+def cut_buckets(rows: DataFrame, keys: list[str], value: Column, cuts: DataFrame | None) -> DataFrame:
+    """``rows`` with ``_bk`` as (bucket, part) where there are cuts."""
+    if cuts is None:
+        return rows
+    part = F.struct(F.coalesce(F.col(BUCKET), F.lit(-1 << 63)).alias("b"), F.col("_p").alias("p"))
+    return _with_part(rows.withColumn("_v", value), keys, cuts).withColumn(BUCKET, part).drop("_v", "_p")
+
+
 def number_rows(df: DataFrame, key: str | list[str], order: str | list[str],
-                bucket: str | None = None, out: str = RN) -> DataFrame:
+                bucket: str | None = None, out: str = RN, split_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Append ``out`` = 0-based position of each row within its key, ordered
     by ``order`` (nulls first, ties broken by the remaining order columns).
-    Rows with a null key are one series; every row stays."""
+    Rows with a null key are one series; every row stays.
+
+    Buckets of more than ``split_rows`` rows are split first, by the order columns and then
+    by a hash of the row, so ties and rows without an order value are split too (equal rows
+    are not). This counts the rows now; with None nothing runs and no bucket is split."""
     keys = [key] if isinstance(key, str) else list(key)
     orders = [order] if isinstance(order, str) else list(order)
     with_bk = df.withColumn(BUCKET, _bucket_expr(df, orders[0], bucket))
+
     # The count branch reads only the key and order columns; feed a stored
     # table (or ``materialize`` a derived one) so it is a narrow re-scan.
-    counts = with_bk.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+
+    counts = count(with_bk)
+    if split_rows:
+        counts = materialize(counts, "bucket_counts")
+        hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+        value = F.struct(*[F.col(o) for o in orders], F.xxhash64(*hashed).alias("_tie"))
+        cuts = split_buckets(with_bk, keys, value, split_rows, counts)
+        if cuts is not None:
+            with_bk = cut_buckets(with_bk, keys, value, cuts)
+            counts = materialize(count(with_bk), "bucket_counts")
     w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, BUCKET, F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_start"))
     w_r = Window.partitionBy(*keys, BUCKET).orderBy(*orders)
@@ -105,24 +195,39 @@ def number_rows(df: DataFrame, key: str | list[str], order: str | list[str],
 class ChunkPlan:
     """Row counts of a table's (key, bucket) groups, and the chunks made of them.
 
-    ``gaps`` counts, per bucket, the rows that a look-back over present rows
-    has to pass (see ``targets``)."""
+    ``counts`` has, per bucket, the rows and those that a look-back over present
+    rows has to pass (see ``targets``). ``cuts``: where over-full buckets are cut."""
     keys: tuple[str, ...]
     order: str
     bucket: object
     counts: DataFrame
+    rows: DataFrame | None = None
+    cuts: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, key: str | list[str], order: str, bucket=None, gap: Column | None = None) -> "ChunkPlan":
         keys = [key] if isinstance(key, str) else list(key)
-        g = F.count(F.when(gap, 1)) if gap is not None else F.lit(0).cast("long")
-        counts = (df.withColumn(BUCKET, _bucket_expr(df, order, bucket)).groupBy(*keys, BUCKET)
-                  .agg(F.count(F.lit(1)).alias("_n"), g.alias("_g")))
-        return cls(tuple(keys), order, bucket, counts)
+        rows = df.withColumn(BUCKET, _bucket_expr(df, order, bucket)).withColumn("_gap", gap if gap is not None else F.lit(False))
+        rows = rows.select(*keys, order, BUCKET, "_gap")
+        return cls(tuple(keys), order, bucket, cls._count(rows, keys), rows)
+
+    @staticmethod
+    def _count(rows: DataFrame, keys) -> DataFrame:
+        return rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_gap").alias("_g"))
 
-    def stored(self) -> "ChunkPlan":
-        """The same plan over counts written once (one job, now)."""
-        return replace(self, counts=materialize(self.counts, "chunk_counts"))
+    def stored(self, split_rows: int = DEFAULT_CHUNK_ROWS) -> "ChunkPlan":
+        """The same plan over counts written once (one job, now). Buckets of more than
+        ``split_rows`` rows are split by the order value; rows that tie, or have none, stay
+        together."""
+        plan = replace(self, counts=materialize(self.counts, "chunk_counts"))
+        if self.rows is None:
+            return plan
+        keys, value = list(self.keys), F.struct(F.col(self.order))
+        cuts = split_buckets(self.rows, keys, value, split_rows, plan.counts)
+        if cuts is None:
+            return plan
+        counts = self._count(cut_buckets(self.rows, keys, value, cuts), keys)
+        return replace(plan, counts=materialize(counts, "chunk_counts"), cuts=cuts)
 
     def targets(self, back: int, fwd: int, chunk_rows: int) -> DataFrame:
         """(keys, bucket, _targets): the chunks each bucket goes to, with a halo flag.
@@ -167,6 +272,7 @@ def chunked(df: DataFrame, key: str | list[str], order: str, back: int, fwd: int
     keys = [key] if isinstance(key, str) else list(key)
     plan = plan or ChunkPlan.of(df, keys, order, bucket, gap)
     with_bk = df.withColumn(BUCKET, _bucket_expr(df, order, plan.bucket))
+    with_bk = cut_buckets(with_bk, list(plan.keys), F.struct(F.col(plan.order)), plan.cuts)
     rows = join_null_safe(with_bk, plan.targets(back, fwd, chunk_rows), [*plan.keys, BUCKET])
     return (rows.withColumn("_e", F.explode("_targets"))
             .withColumns({CHUNK: F.col("_e.c"), HALO: F.col("_e.h")}).drop("_e", "_targets", BUCKET))
