@@ -45,6 +45,30 @@ def test_finds_what_brute_force_finds(spark, limit):
     assert {(10, 5), (11, 6)} <= got <= exp
 
 
+def measures(text, item):
+    """Every window of the item on every diagonal."""
+    d, w = (text or "").replace(",", " ").replace("!", "").lower().split(), item.split()
+    width = min(16, len(w))
+    need = len(w) if len(w) < 11 else -(-width * 4 // 5)
+    found = {}
+    for shift in range(-len(w), len(d)):
+        same = [0 <= shift + i < len(d) and d[shift + i] == w[i] for i in range(len(w))]
+        good = [(sum(same[f:f + width]), f + shift) for f in range(len(w) - width + 1) if sum(same[f:f + width]) >= need]
+        if good:
+            found[shift] = (max(g[0] for g in good), min(g[1] for g in good))
+    return (max(e for e, _ in found.values()), width, len(found), max(0, min(p for _, p in found.values()))) if found else None
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_measures_are_those_of_all_windows(spark, limit):
+    docs, items = frames(spark)
+    more = [(100 + k, f"{noise(k)} {passage(k % 4, k % 4)} {noise(3)} {passage(0, 2, 0, 20 + k % 9)}") for k in range(40)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, 0) for i, t in more], docs.schema))
+    got = {(r.doc_id, r.item_id): (r.equal_words, r.window, r.n_places, r.doc_word) for r in decontam.overlaps(docs, items, broadcast_bytes=limit).collect()}
+    exp = {(d, i): measures(t, w) for d, t in [*DOCS, *more] for i, w in ITEMS if w and w.strip(" ,.")}
+    assert got == {k: v for k, v in exp.items() if v} and len(got) > 60
+
+
 def test_substitutions_anywhere(spark):
     words = [f"t{i}" for i in range(50)]
     texts = []

@@ -13,8 +13,9 @@ pattern that ``SHARE`` accepts. ``MASKS`` alone miss 49 of 55 patterns of 2 word
 of 66 in 12, 14 of 78 in 13, 5 of 91 in 14, and of 3 words 79 of 455 in 15, 45 of 560 in 16.
 Another ``window`` or ``share`` has no such proof.
 
-A pair's measures come from the windows that begin two words before a hit of ``MASKS`` (the
-SQL states those); a pair without such a window takes them from the best window of each hit.
+So what is found, and its measures, do not depend on the masks: an accepted window is one
+of ``WINDOW`` words of the item (all of a shorter one), on any diagonal, of which at least
+``SHARE`` are equal, and every one of them is looked at.
 
 Everything is one map over the documents: words, seeds, the join with the benchmark's
 seeds, and the check; only verified hits are shuffled. The benchmark's seeds are counted
@@ -70,29 +71,21 @@ def _seeds(rows: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
     return at.select(*keep, "h", "at", F.posexplode(every).alias("mask", "seed")).where(F.col("seed").isNotNull())
 
 
-def _equal_words(h: Column, item: Column, first: Column, width: Column, shift: Column) -> Column:
-    """Equal words among ``width`` of the item's from ``first``, the document's ``shift`` further on."""
-    part = F.slice(item, first + 1, width)
-    return F.aggregate(F.transform(part, lambda w, i: F.when(F.get(h, first + shift + i) == w, 1).otherwise(0)),
-                       F.lit(0), lambda a, x: a + x)
-
-
-def _best_window(h: Column, item: Column, lo: Column, hi: Column, width: Column, shift: Column) -> Column:
-    """(equal, first) of the item's window with most equal words that begins at ``lo`` to ``hi``."""
+def _windows(h: Column, item: Column, lo: Column, hi: Column, width: Column, shift: Column) -> Column:
+    """Equal words of each of the item's windows that begin at ``lo`` to ``hi``, the document's ``shift`` further on."""
     same = F.transform(F.sequence(lo, hi + width - 1), lambda i: F.when(F.get(h, i + shift) == F.get(item, i), 1).otherwise(0))
-    equal = lambda f: F.aggregate(F.slice(same, f - lo + 1, width), F.lit(0), lambda a, x: a + x)
-    best = F.array_max(F.transform(F.sequence(lo, hi), lambda f: F.struct(equal(f).alias("equal"), (-f).alias("before"))))
-    return F.struct(best["equal"].alias("equal"), (-best["before"]).alias("first"))
+    return F.transform(F.sequence(F.lit(0), hi - lo), lambda f: F.aggregate(F.slice(same, f + 1, width), F.lit(0), lambda a, x: a + x))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS,
              window: int = WINDOW, share: float = SHARE, keep: list | None = None,
              broadcast_bytes: int = BROADCAST_BYTES, more_masks: tuple[str, ...] = MORE_MASKS) -> DataFrame:
-    """Verified overlaps: id, kept columns, item id, equal_words and window of the best one,
-    n_places (distinct places of the item found), doc_word (first place in the document)."""
+    """Verified overlaps: id, kept columns, item id, equal_words (most of an accepted window) of
+    window words, n_places (diagonals with an accepted window), doc_word (where the first accepted
+    window begins in the document)."""
     span, least = max(map(len, masks)), min(map(len, masks))
-    masks, stated = [*masks, *more_masks], len(masks)
+    masks = [*masks, *more_masks]
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("ih"))
     items = materialize(items.withColumn("item_key", F.xxhash64("item", "ih")).dropDuplicates(["item_key"]), "items")
     short = [r["n"] for r in items.select(F.size("ih").alias("n")).where((F.col("n") > 0) & (F.col("n") < span)).distinct().collect()]
@@ -104,8 +97,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         seeds = seeds.unionByName(little.where(number >= len(masks)))
         masks = masks + whole
     seeds = materialize(seeds.select("seed", "item_key", F.col("at").alias("item_at"),
-                                     F.get(F.array(*[F.lit(len(m)) for m in masks]), number).alias("span"),
-                                     ((number < stated) | (number >= stated + len(more_masks))).alias("stated")), "item_seeds")
+                                     F.get(F.array(*[F.lit(len(m)) for m in masks]), number).alias("span")), "item_seeds")
     small = seeds.count() * SEED_BYTES <= broadcast_bytes
 
     kept = [F.col(id_col).alias(P + "id"), *[c.alias(f"{P}k{i}") for i, c in enumerate(keep or [])]]
@@ -117,29 +109,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     else:
         keyed = rows.withColumn(P + "key", F.xxhash64("h"))
         found = (_seeds(keyed, masks, [*names, P + "key"]).drop("h", "mask").join(seeds, "seed")
-                 .select(*names, P + "key", "item_key", "at", "item_at", "span", "stated").distinct())
+                 .select(*names, P + "key", "item_key", "at", "item_at", "span").distinct())
         same = reduce(lambda a, b: a & b, [F.col("a." + c).eqNullSafe(F.col("b." + c)) for c in [*names, P + "key"]])
         hits = (found.alias("a").join(keyed.dropDuplicates([*names, P + "key"]).alias("b"), same)
                 .select("a.*", "b.h"))
         hits = hits.join(items, "item_key")
-    n = F.size("ih")
+    n, shift = F.size("ih"), F.col("at") - F.col("item_at")
     width = F.least(F.lit(window), n)
-    placed = (hits.withColumn("width", width)
-              .withColumn("first", F.greatest(F.lit(0), F.least(F.col("item_at") - 2, n - F.col("width"))))
-              .withColumn("equal", _equal_words(F.col("h"), F.col("ih"), F.col("first"), F.col("width"), F.col("at") - F.col("item_at"))))
-    need = F.ceil(F.col("width") * F.lit(share))
-    shift, last = F.col("at") - F.col("item_at"), F.least(F.col("item_at"), n - F.col("width"))
-    begin = F.greatest(F.lit(0), F.least(last, F.col("item_at") + F.col("span") - F.col("width")))
-    placed = placed.withColumn("stated", F.col("stated") & (F.col("equal") >= need))
-    every = placed.withColumn("best", F.when(F.col("stated"), F.struct("equal", "first")).otherwise(
-        _best_window(F.col("h"), F.col("ih"), begin, last, F.col("width"), shift)))
-    good = every.where(F.col("best.equal") >= need)
-    places = (good.groupBy(*names, "item", "stated", "best.first").agg(
-        F.max("best.equal").alias("equal"), F.max("width").alias("width"), F.min(F.col("best.first") + shift).alias("place")))
-    of = lambda agg, c: F.coalesce(agg(F.when(F.col("stated"), c)), agg(c))
+    need = F.ceil(width * F.lit(share))
+    last = F.least(F.col("item_at"), n - width)
+    begin = F.greatest(F.lit(0), F.least(last, F.col("item_at") + F.col("span") - width))
+    seen = hits.withColumn("equal", _windows(F.col("h"), F.col("ih"), begin, last, width, shift))
+    good = seen.where(F.array_max("equal") >= need)
+    first = begin + F.array_position(F.transform("equal", lambda x: x >= need), True) - 1
+    places = good.groupBy(*names, "item", shift.alias("shift")).agg(
+        F.max(F.array_max("equal")).alias("equal"), F.max(width).alias("width"), F.min(first + shift).alias("place"))
     out = places.groupBy(*names, "item").agg(
-        of(F.max, F.col("equal")).cast("long").alias("equal_words"), of(F.max, F.col("width")).cast("long").alias("window"),
-        of(F.sum, F.lit(1)).alias("n_places"), F.greatest(F.lit(0), of(F.min, F.col("place"))).cast("long").alias("doc_word"))
+        F.max("equal").cast("long").alias("equal_words"), F.max("width").cast("long").alias("window"),
+        F.count("*").alias("n_places"), F.greatest(F.lit(0), F.min("place")).cast("long").alias("doc_word"))
     return (out.withColumnRenamed(P + "id", id_col).withColumnRenamed("item", item_col))
 
 

@@ -36,35 +36,25 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
 
 
 def decontamination() -> str:
-    """Seeds as the words themselves; items shorter than a mask are looked up whole."""
-    masks, span = decontam.MASKS, max(map(len, decontam.MASKS))
+    """No masks: every diagonal on which enough words are equal, every window of the item on it.
+    Items shorter than every mask must be there whole."""
+    whole = min(map(len, decontam.MASKS))
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-
-    def seeds(source: str, key: str) -> str:
-        parts = []
-        for i, m in enumerate(masks):
-            picked = ", ".join(f"w[p + {j + 1}]" for j, c in enumerate(m) if c == "1")
-            parts.append(f"SELECT {key}, p, {i} AS mask, concat_ws(' ', {picked}) AS seed FROM "
-                         f"(SELECT {key}, w, unnest(range(len(w) - {len(m) - 1})) AS p FROM {source} WHERE len(w) >= {len(m)})")
-        return " UNION ALL ".join(parts)
-
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark),
-ds AS ({seeds('d', 'doc_id')}), bs AS ({seeds('b', 'item_id')}),
-short AS (SELECT item_id, w, len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {span - 1}),
-wins AS (SELECT DISTINCT doc_id, p, n, array_to_string(w[p + 1 : p + n], ' ') AS seed FROM
-         (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM short) WHERE len(w) >= n)),
-hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.p - bs.p AS shift, bs.p AS ip FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
-         UNION SELECT wins.doc_id, s.item_id, wins.p, 0 FROM wins JOIN short s ON wins.n = s.n AND wins.seed = array_to_string(s.w, ' ')),
-v AS (SELECT h.doc_id, h.item_id, h.shift, d.w AS dw, b.w AS iw, least({decontam.WINDOW}, len(b.w)) AS width,
-             greatest(0, least(h.ip - 2, len(b.w) - least({decontam.WINDOW}, len(b.w)))) AS first
-      FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
-e AS (SELECT *, list_sum(list_transform(range(width), lambda k: CASE WHEN first + shift + k >= 0 AND dw[first + shift + k + 1] = iw[first + k + 1] THEN 1 ELSE 0 END)) AS equal FROM v),
-good AS (SELECT DISTINCT doc_id, item_id, first, width, shift, equal FROM e WHERE equal >= ceil(width * CAST({decontam.SHARE} AS DOUBLE))),
-places AS (SELECT doc_id, item_id, first, max(equal) AS equal, max(width) AS width, min(first + shift) AS place FROM good GROUP BY ALL)
+i AS (SELECT item_id, w, row_number() OVER () AS item_key, len(w) AS n, least({decontam.WINDOW}, len(w)) AS width,
+             CASE WHEN len(w) < {whole} THEN len(w) ELSE CAST(ceil(least({decontam.WINDOW}, len(w)) * CAST({decontam.SHARE} AS DOUBLE)) AS BIGINT) END AS need
+      FROM b WHERE len(w) > 0),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS dp FROM d),
+iw AS (SELECT item_key, unnest(w) AS word, unnest(range(len(w))) AS ip FROM i),
+eq AS (SELECT doc_id, item_key, dp - ip AS shift, ip FROM dw JOIN iw USING (word)),
+dg AS (SELECT doc_id, item_key, shift, list(ip) AS ips, count(*) AS total FROM eq GROUP BY ALL),
+win AS (SELECT doc_id, item_id, item_key, shift, width, need, ips, unnest(range(n - width + 1)) AS first FROM dg JOIN i USING (item_key) WHERE total >= need),
+good AS (SELECT *, len(list_filter(ips, lambda x: x >= first AND x < first + width)) AS equal FROM win),
+places AS (SELECT doc_id, item_id, item_key, shift, max(equal) AS equal, max(width) AS width, min(first + shift) AS place FROM good WHERE equal >= need GROUP BY ALL)
 SELECT doc_id, item_id, CAST(max(equal) AS BIGINT) AS equal_words, CAST(max(width) AS BIGINT) AS "window",
-       CAST(count(*) AS BIGINT) AS n_places, CAST(greatest(0, min(place)) AS BIGINT) AS doc_word FROM places GROUP BY doc_id, item_id
+       CAST(count(DISTINCT shift) AS BIGINT) AS n_places, CAST(greatest(0, min(place)) AS BIGINT) AS doc_word FROM places GROUP BY doc_id, item_id
 """
 
 
