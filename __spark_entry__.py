@@ -548,12 +548,11 @@ def q_kmeans_assign(spark, sf):
 
 
 def q_elbow(spark, sf):
-    """Each k's error is positive and at most that of one centre."""
-    from pyspark.ml.stat import Summarizer
-    p = _prepared(spark, sf)
-    s = p.select(Summarizer.variance(F.col("scaledFeatures")).alias("v"), Summarizer.count(F.col("scaledFeatures")).alias("n")).first()
-    one = float(s["v"].toArray().sum()) * (s["n"] - 1) if s["n"] > 1 else 0.0
-    return ML.elbow(p).select("k", _flag((F.col("wssse") > 0) & (F.col("wssse") <= one * (1 + 1e-9))))
+    """Each k's error against MLlib's training cost, which is that of the centres before the
+    last step: no less than the error, and within a thousandth of it once the fit has settled."""
+    e = ML.elbow(_prepared(spark, sf), details=True)
+    near = (F.col("wssse") <= F.col("training_cost") * (1 + 1e-9)) & (F.col("training_cost") <= F.col("wssse") * 1.001)
+    return e.select("k", "rows", _flag(near & (F.col("n_centers") <= F.col("k"))))
 
 
 def q_confusion(spark, sf):
@@ -780,7 +779,7 @@ def _model_sql() -> dict[str, str]:
     return {
         "rf_predict": f"{gt1} SELECT isin, date, 1 AS valid FROM ts",
         "kmeans_assign": f"{_training_ctes(None)} SELECT isin, date, 1 AS valid FROM ts",
-        "elbow": "SELECT CAST(unnest(range(3, 90, 3)) AS INT) AS k, 1 AS valid",
+        "elbow": f"{_training_ctes(None)} SELECT CAST(k AS INT) AS k, count(*) AS rows, 1 AS valid FROM ts, range(3, 90, 3) r(k) GROUP BY k",
         "confusion": f"{gt1} SELECT CAST(gt1 AS INT) AS gt1, count(*) AS rows, 1 AS valid FROM ts WHERE {test} GROUP BY 1",
         "evaluate": f"{gt1} SELECT 'gt1' AS label, count(*) AS total, CAST(sum(gt1) AS BIGINT) AS real, 1 AS valid FROM ts WHERE {test}",
         "top_opportunities": f"{recent} SELECT row_number() OVER (ORDER BY date DESC) AS place, date, 1 AS valid FROM rec ORDER BY date DESC LIMIT 6",

@@ -104,9 +104,33 @@ def train_kmeans(prepared: DataFrame, k: int = KMEANS_K, seed: int = KMEANS_SEED
                   predictionCol="kmeans", solver="row").fit(prepared)
 
 
+def errors_at(vectors: DataFrame, centers: dict[int, list]) -> DataFrame:
+    """(k, rows, wssse): the squared distances of all rows of ``vectors`` (scaledFeatures) to
+    the nearest of each k's centres, in one pass with numpy for all k."""
+    from pyspark.ml.functions import vector_to_array
+
+    def batches(frames):  # sums of one task: a row for each k
+        import numpy as np
+        import pandas as pd
+        sums, n = dict.fromkeys(centers, 0.0), 0
+        for f in frames:
+            if len(f):
+                x = np.stack(f["x"].to_numpy())
+                n += len(x)
+                for k, c in centers.items():
+                    sums[k] += float(np.min([((x - np.asarray(one)) ** 2).sum(axis=1) for one in c], axis=0).sum())
+        yield pd.DataFrame({"k": list(sums), "rows": n, "wssse": list(sums.values())})
+
+    x = vectors.select(vector_to_array("scaledFeatures").alias("x"))
+    return (x.mapInPandas(batches, "k int, rows long, wssse double")
+            .groupBy("k").agg(F.sum("rows").alias("rows"), F.sum("wssse").alias("wssse")))
+
+
 def elbow(prepared: DataFrame, ks=range(3, 90, 3), seed: int = KMEANS_SEED,
-          max_iter: int = KMEANS_MAX_ITER, parallel_fits: int = 4) -> DataFrame:
-    """Within-cluster sum of squared errors for each k (29 fits by default).
+          max_iter: int = KMEANS_MAX_ITER, parallel_fits: int = 4, details: bool = False) -> DataFrame:
+    """Within-cluster sum of squared errors for each k (29 fits by default), at the fitted
+    centres (MLlib's training cost is that of the centres before the last step). ``details``
+    adds rows, training_cost and n_centers.
 
     The fits are independent Spark jobs over one persisted input, submitted
     from a few driver threads so the cluster stays busy between the many
@@ -115,11 +139,15 @@ def elbow(prepared: DataFrame, ks=range(3, 90, 3), seed: int = KMEANS_SEED,
 
     with persisted(prepared.select("scaledFeatures")) as data:
         def fit(k):
-            return int(k), float(train_kmeans(data, k, seed, max_iter).summary.trainingCost)
+            model = train_kmeans(data, k, seed, max_iter)
+            return int(k), float(model.summary.trainingCost), [[float(x) for x in c] for c in model.clusterCenters()]
 
         with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
-            rows = list(pool.map(fit, ks))
-    return prepared.sparkSession.createDataFrame(rows, "k int, wssse double")
+            fits = list(pool.map(fit, ks))
+        errors = {r["k"]: r for r in errors_at(data, {k: c for k, _, c in fits}).collect()}  # a row for each k
+    rows = [(k, errors[k]["wssse"], errors[k]["rows"], cost, len(c)) for k, cost, c in fits if k in errors]
+    out = prepared.sparkSession.createDataFrame(rows, "k int, wssse double, rows long, training_cost double, n_centers int")
+    return out if details else out.select("k", "wssse")
 
 
 def split_by_hash(rows: DataFrame, weights=(0.8, 0.2), seed: int = FOREST_SEED) -> tuple[DataFrame, DataFrame]:
