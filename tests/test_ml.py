@@ -3,6 +3,7 @@ import os
 
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.precision import PrecisionReducer, PrecisionReducerModel
@@ -47,6 +48,21 @@ def test_learn_predict_report(spark, bars001, tmp_path):
     assert ev["total"] > 0 and 0 <= ev["test_error"] <= 1
 
 
+def _two_classes(spark):
+    rows = [("1", 0.0, Vectors.dense([float(i % 7), 1.0])) if i % 7 < 3 else ("1", 1.0, Vectors.dense([float(i % 7), 2.0])) for i in range(60)]
+    df = spark.createDataFrame(rows, ["isin", "gt1", "features"])
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 60  # the session now holds what cannot be sent to a task
+    return df
+
+
+def test_forest_scores_after_an_observation(spark):
+    df = _two_classes(spark)
+    pred = ML.train_forest(df, "gt1", num_trees=3).transform(df)
+    assert pred.where(ML.q("prediction-gt1") == ML.q("gt1")).count() == 60
+
+
 def test_elbow_small(spark, bars001):
     ts = ML.training_set(IND.build_wide(bars001))
     prep = ML.feature_pipeline(ts).transform(ts)
