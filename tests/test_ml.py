@@ -63,6 +63,12 @@ def test_forest_scores_after_an_observation(spark):
     assert pred.where(ML.q("prediction-gt1") == ML.q("gt1")).count() == 60
 
 
+def test_confusion_after_an_observation(spark):
+    df = _two_classes(spark)
+    cells = ML.confusion(ML.train_forest(df, "gt1", num_trees=3).transform(df), "gt1").collect()
+    assert {(r["gt1"], r["count"]) for r in cells} == {(0.0, 27), (1.0, 33)}
+
+
 def test_elbow_small(spark, bars001):
     ts = ML.training_set(IND.build_wide(bars001))
     prep = ML.feature_pipeline(ts).transform(ts)
