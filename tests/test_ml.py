@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Observation
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.precision import PrecisionReducer, PrecisionReducerModel
@@ -76,6 +77,11 @@ def test_elbow_small(spark, bars001):
     assert [r["k"] for r in e] == [3, 6] and e[1]["wssse"] <= e[0]["wssse"] * 1.5
 
 
+def test_learning_keeps_no_rows_in_the_cache(spark, bars001, tmp_path, monkeypatch):
+    monkeypatch.setattr(DataFrame, "persist", lambda *a, **k: pytest.fail("the training rows are cached"))
+    ML.learn(IND.build_wide(bars001), str(tmp_path / "m"), num_trees=2)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
