@@ -1,6 +1,7 @@
 """Precision reducer, feature pipeline, forests, k-means, reports, entry."""
 import os
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Observation
@@ -77,6 +78,21 @@ def test_elbow_small(spark, bars001):
     assert [r["k"] for r in e] == [3, 6] and e[1]["wssse"] <= e[0]["wssse"] * 1.5
 
 
+def test_elbow_steps_are_mllibs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.3, (200, 3)) for c in (0.0, 1.0, 2.5, 4.0)])
+    prep = spark.createDataFrame([(Vectors.dense(p.tolist()),) for p in points], ["scaledFeatures"]).coalesce(1)
+    fits, plain = [], ML.train_kmeans
+    monkeypatch.setattr(ML, "train_kmeans", lambda data, k, seed, max_iter: fits.append(max_iter) or plain(data, k, seed, max_iter))
+    got = {r["k"]: r for r in ML.elbow(prep, ks=[3, 4, 6], max_iter=30, details=True).collect()}
+    assert fits == [0, 0, 0]  # MLlib takes no step of its own: one pass a step serves all k
+    for k in (3, 4, 6):
+        model = plain(prep, k, ML.KMEANS_SEED, 30)
+        nearest = ((points[:, None, :] - np.array(model.clusterCenters())[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert got[k]["wssse"] == pytest.approx(nearest, rel=1e-9)
+        assert got[k]["training_cost"] == pytest.approx(model.summary.trainingCost, rel=1e-9) and got[k]["rows"] == 800
+
+
 def test_learning_keeps_no_rows_in_the_cache(spark, bars001, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "persist", lambda *a, **k: pytest.fail("the training rows are cached"))
     ML.learn(IND.build_wide(bars001), str(tmp_path / "m"), num_trees=2)
