@@ -70,3 +70,9 @@ def test_scratch_deletes_its_tables(spark):
         path = session._written[-1][1]
         assert df.count() == 5 and os.path.isdir(path.removeprefix("file:"))
     assert not os.path.exists(path.removeprefix("file:")) and session._written == before
+
+
+def test_written_tables_are_zstd(spark):
+    from tidemark.session import materialize
+    files = materialize(spark.range(10), "codec").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
