@@ -194,3 +194,46 @@ def test_scan_prunes_columns(spark, bars001):
     assert schemas
     for s in schemas:
         assert "Turnover" not in s and "Number_of_Shares" not in s
+
+
+def _odd_quotes(spark):
+    rows = [("k" if i % 3 else None, i, None if i % 11 == 4 else 0.0 if i == 60 else float("nan") if i == 130 else 900 + (i * 37 % 101) / 7) for i in range(400)]
+    return spark.createDataFrame(rows, "isin string, i int, p double").select(
+        "isin", F.expr("date_add(DATE'2020-01-01', i)").alias("date"), F.col("p").alias("Close"), (F.col("p") * 20).alias("Open"), F.col("p").alias("Low"),
+        F.when(F.col("i") % 5 != 2, F.col("p")).alias("High"))
+
+
+def test_blocks_give_the_doubles_of_spark_windows(spark):
+    from pyspark.sql import Window
+    from tidemark.functions import columns as C
+    q = _odd_quotes(spark)
+    w = Window.partitionBy("isin").orderBy("date")
+    want = q.select("isin", "date", C.ma_plus(F.col("Close"), 200, w).alias("XXL"), C.ma_plus(F.col("High"), 3, w).alias("XS-H"),
+                    C.rolling_stddev(F.col("Close"), 10, w).alias("STDDEV-Close-10"), C.performance(F.col("Close"), 5, w).alias("P-Close+5"))
+    got = IND.build_wide(q, columns=["XXL", "XS-H", "STDDEV-Close-10", "P-Close+5"])
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # not a sliding frame for each row
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 400
+
+
+def test_grid_is_that_of_the_queries(spark):
+    import __spark_entry__ as E
+    q = _odd_quotes(spark)
+    a, b = IND.build_wide(q, grid=True), E.quantize(IND.build_wide(q))
+    assert a.dtypes == b.dtypes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_long_rows_come_from_the_tasks(spark):
+    q, names = _odd_quotes(spark), S.standard_names()
+    a, b = IND.build_long(q), IND.long_view(IND.build_wide(q, presence=True), names)
+    assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert "__p__" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_end_with_their_groups():
+    import pyarrow as pa
+    from tidemark.functions import kernels as K
+    key = [k for k, n in ((None, 3), ("a", 70_000), ("b", 1), ("c", 40_000)) for _ in range(n)]
+    t = pa.table({"isin": pa.array(key, pa.string()), "_chunk": pa.array([0] * len(key))})
+    parts = list(K.blocks(t.to_batches(max_chunksize=9_000), ["isin", "_chunk"]))
+    assert sum(p.num_rows for p, _ in parts) == len(key) and sum(int(new.sum()) for _, new in parts) == 4
+    assert all(new[0] for _, new in parts) and len(parts) > 1
