@@ -116,3 +116,31 @@ def test_hash_split_ignores_partitioning(spark, bars001):
 def test_names_belong_together(spark):
     stock = spark.createDataFrame([("I", "B", "first"), ("I", "A", "second")], "ISIN string, Symbol string, Name string")
     assert [tuple(r)[1:] for r in REP.names(stock).collect()] == [("A", "second")]
+
+
+def test_prepared_rows_are_the_pipelines(spark, bars001):
+    ts = ML.training_set(IND.build_wide(bars001, columns=["gt1", *ML.FEATURES]), "gt1", extra=["isin", "date"])
+    got = ML.prepared(ts, ["gt1", "isin", "date"])
+    want = ML.feature_pipeline(ts).transform(ts).select(*got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ML.FEATURES[0] not in plan and "vectors-" in got.inputFiles()[0]  # a fit reads the written vectors
+
+
+def test_evaluate_scores_the_test_rows_once(spark, bars001, monkeypatch):
+    written, plain = [], ML.materialize
+    monkeypatch.setattr(ML, "materialize", lambda df, name: written.append((name, df.columns)) or plain(df, name))
+    data = IND.build_wide(bars001, columns=["gt1", "P-XS+5", *ML.FEATURES])
+    e = ML.evaluate(data, "gt1", num_trees=2).first()
+    assert [n for n, _ in written] == ["vectors", "scored"] and written[1][1] == ["prediction-gt1", "gt1", "P-XS+5"]
+    assert e["test_error"] * e["total"] == pytest.approx(e["false_positive"] + e["false_negative"])
+
+
+def test_center_distances_by_blocks(spark):
+    points, centers = np.arange(12.0).reshape(4, 3), [[0.0, 1.0, 2.0], [9.0, 9.0, 9.0]]
+    df = spark.createDataFrame([(i, Vectors.dense(p.tolist())) for i, p in enumerate(points)], ["i", "scaledFeatures"])
+    out = df.select("i", ML.center_distances(centers).alias("d"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()  # not a lambda for each number
+    for r in out.collect():
+        assert r["d"] == pytest.approx([((points[r["i"]] - c) ** 2).sum() for c in np.array(centers)])
+    assert df.limit(0).select(ML.center_distances(centers)).collect() == []
