@@ -18,7 +18,10 @@ of ``WINDOW`` words of the item (all of a shorter one), on any diagonal, of whic
 ``SHARE`` are equal, and every one of them is looked at.
 
 Everything is one map over the documents: words, seeds, the join with the benchmark's
-seeds, and the check; only verified hits are shuffled. The benchmark's seeds are counted
+seeds, and the check; only verified hits are shuffled. A document is cut into pieces of
+``PIECE`` positions (with the words around them) before its seeds are made, and a hit carries
+the few words that its windows look at, so memory follows neither a document's length nor the
+number of its hits times that length. The benchmark's seeds are counted
 first and broadcast when that count is below ``broadcast_bytes``; otherwise the seeds are
 joined by shuffle and hits fetch their document's words by a second join.
 
@@ -48,6 +51,8 @@ WINDOW = 16
 SHARE = 0.8
 BROADCAST_BYTES = 64 << 20
 SEED_BYTES = 96
+#: Positions whose hits a task may hold at once.
+PIECE = 128
 
 
 def words(text: Column) -> Column:
@@ -67,12 +72,35 @@ def _seed(h: Column, at: Column, mask: str, number: int) -> Column:
 def _seeds(rows: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
     """(kept columns, at, mask, seed): every seed of every position; ``rows`` has the word hashes h."""
     at = rows.where(F.size("h") > 0).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
-    every = F.array(*[_seed(F.col("h"), F.col("at"), m, i) for i, m in enumerate(masks)])
-    return at.select(*keep, "h", "at", F.posexplode(every).alias("mask", "seed")).where(F.col("seed").isNotNull())
+    return _every_seed(at, masks, keep, "at")
+
+
+def _every_seed(at: DataFrame, masks: list[str], keep: list[str], place: str) -> DataFrame:
+    every = F.array(*[_seed(F.col("h"), F.col(place), m, i) for i, m in enumerate(masks)])
+    return at.select(*keep, "h", place, F.posexplode(every).alias("mask", "seed")).where(F.col("seed").isNotNull())
+
+
+def _piece_seeds(rows: DataFrame, masks: list[str], keep: list[str], reach: int) -> DataFrame:
+    """``_seeds`` of documents, made piece by piece: h is a piece with ``reach`` words around it,
+    ``local`` the position in it, ``at`` that in the document."""
+    # the lambda keeps Spark from compiling both explodes into one loop, which would hold all rows of a document
+    cut = F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(PIECE)), lambda a: F.struct(
+        a.alias("first"), F.greatest(a - reach, F.lit(0)).alias("start"),
+        F.slice("h", F.greatest(a - reach, F.lit(0)) + 1, F.least(a, F.lit(reach)) + PIECE + reach).alias("h")))
+    pieces = rows.where(F.size("h") > 0).select(*keep, F.explode(cut).alias("p")).select(*keep, "p.first", "p.start", "p.h")
+    local = F.sequence(F.col("first") - F.col("start"), F.least(F.col("first") - F.col("start") + PIECE, F.size("h")) - 1)
+    made = _every_seed(pieces.select(*keep, "start", "h", F.explode(local).alias("local")), masks, [*keep, "start"], "local")
+    return made.withColumn("at", F.col("start") + F.col("local"))
+
+
+def _near(h: Column, at: Column, reach: int) -> list[Column]:
+    """The words around a hit, and where in them it is."""
+    lo = F.greatest(at - reach, F.lit(0))
+    return [F.slice(h, lo + 1, F.lit(2 * reach)).alias("near"), (at - lo).alias("near_at")]
 
 
 def _windows(h: Column, item: Column, lo: Column, hi: Column, width: Column, shift: Column) -> Column:
-    """Equal words of each of the item's windows that begin at ``lo`` to ``hi``, the document's ``shift`` further on."""
+    """Equal words of each of the item's windows that begin at ``lo`` to ``hi``, the document's words ``h`` ``shift`` further on."""
     same = F.transform(F.sequence(lo, hi + width - 1), lambda i: F.when(F.get(h, i + shift) == F.get(item, i), 1).otherwise(0))
     return F.transform(F.sequence(F.lit(0), hi - lo), lambda f: F.aggregate(F.slice(same, f + 1, width), F.lit(0), lambda a, x: a + x))
 
@@ -103,23 +131,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     kept = [F.col(id_col).alias(P + "id"), *[c.alias(f"{P}k{i}") for i, c in enumerate(keep or [])]]
     names = [P + "id", *[f"{P}k{i}" for i in range(len(keep or []))]]
     rows = docs.select(*kept, word_hashes(F.col(text_col)).alias("h"))
+    reach = max(window, *map(len, masks))
+    found = ["item_key", "at", "item_at", "span"]
     if small:
-        hits = _seeds(rows, masks, names).drop("mask").join(F.broadcast(seeds), "seed")
-        hits = hits.join(F.broadcast(items), "item_key")
+        hits = _piece_seeds(rows, masks, names, reach).join(F.broadcast(seeds), "seed")
+        hits = hits.select(*names, *found, *_near(F.col("h"), F.col("local"), reach)).join(F.broadcast(items), "item_key")
     else:
         keyed = rows.withColumn(P + "key", F.xxhash64("h"))
-        found = (_seeds(keyed, masks, [*names, P + "key"]).drop("h", "mask").join(seeds, "seed")
-                 .select(*names, P + "key", "item_key", "at", "item_at", "span").distinct())
+        met = _piece_seeds(keyed, masks, [*names, P + "key"], reach).drop("h", "local", "start", "mask").join(seeds, "seed")
+        met = met.select(*names, P + "key", *found).distinct()
         same = reduce(lambda a, b: a & b, [F.col("a." + c).eqNullSafe(F.col("b." + c)) for c in [*names, P + "key"]])
-        hits = (found.alias("a").join(keyed.dropDuplicates([*names, P + "key"]).alias("b"), same)
-                .select("a.*", "b.h"))
+        hits = (met.alias("a").join(keyed.dropDuplicates([*names, P + "key"]).alias("b"), same)
+                .select("a.*", *_near(F.col("b.h"), F.col("a.at"), reach)))
         hits = hits.join(items, "item_key")
     n, shift = F.size("ih"), F.col("at") - F.col("item_at")
     width = F.least(F.lit(window), n)
     need = F.ceil(width * F.lit(share))
     last = F.least(F.col("item_at"), n - width)
     begin = F.greatest(F.lit(0), F.least(last, F.col("item_at") + F.col("span") - width))
-    seen = hits.withColumn("equal", _windows(F.col("h"), F.col("ih"), begin, last, width, shift))
+    seen = hits.withColumn("equal", _windows(F.col("near"), F.col("ih"), begin, last, width, F.col("near_at") - F.col("item_at")))
     good = seen.where(F.array_max("equal") >= need)
     first = begin + F.array_position(F.transform("equal", lambda x: x >= need), True) - 1
     places = good.groupBy(*names, "item", shift.alias("shift")).agg(
