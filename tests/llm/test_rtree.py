@@ -103,3 +103,28 @@ def test_query(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in queries.op11_hard_negatives(spark, sf).collect()) == brute(rows, lambda i: i % 100 == 0)
+
+
+def test_routed_batches_are_not_broadcast(spark, monkeypatch):
+    """They grow with anchors x units, which Spark cannot know: units and batches meet without a join."""
+    small(monkeypatch)
+    rows = [(i, [i / 256, (i % 7) / 256], i % 2) for i in range(200)]
+    index = rtree.build(spark.createDataFrame(rows, SCHEMA), "vec_id", "label", "embedding")
+    every = F.array(F.struct(F.lit(rtree.LOW).alias("low"), F.lit(rtree.HIGH).alias("high")))
+    asked = index.rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("key"), "id", "label", "vec", every.alias("windows"))
+    found = rtree.search(index, asked, True, 3)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.key, r.rank) for r in found.collect()) == [(k, n) for k in (0, 50, 100, 150) for n in (1, 2, 3)]
+
+
+def test_a_unit_without_rows_is_passed_over(spark, monkeypatch):
+    small(monkeypatch)
+    rows = [(i, [i / 256, (i % 7) / 256], i % 2) for i in range(100)]
+    index = rtree.build(spark.createDataFrame(rows, SCHEMA), "vec_id", "label", "embedding")
+    gone = index.units.where("unit = 1")
+    ids = set(np.frombuffer(gone.first().ids, dtype=np.int64).tolist())
+    index.units = index.units.where("unit <> 1")
+    every = F.array(F.struct(F.lit(rtree.LOW).alias("low"), F.lit(rtree.HIGH).alias("high")))
+    asked = index.rows.where(F.col("id") % 10 == 0).select(F.col("id").alias("key"), "id", "label", "vec", every.alias("windows"))
+    got = {r.id for r in rtree.search(index, asked, False, 100).collect()}
+    assert got == {i for i in range(100) if i % 2} - ids  # anchors are even, of label 0

@@ -13,7 +13,7 @@ with a uniform number that parts equal coordinates, so copies of one vector spre
 blocks. The sample's own rows also give each query a lower bound of its kth score before the
 first box is opened. Blocks' boxes (BLOCKS at most) travel to the queries; a query goes to
 the units that its bounds leave, in batches, and a unit is one packed row that is shuffled
-once and met by one batch after another: neither rows nor units are copied per batch.
+once and followed by one batch after another: neither rows nor units are copied per batch.
 Scores are exact integers; the search is exact.
 
 ``mine`` searches twice: the first POSITIVES other rows of the anchor's label, then for each
@@ -301,19 +301,26 @@ def search(index: Index, asked: DataFrame, same: bool, k: int) -> DataFrame:
     sent = asked.select("key", "id", "label", "vec", "windows").mapInArrow(
         route, "unit int, key binary, id binary, label binary, vec binary, low array<long>, high array<long>, floor array<long>, windows array<int>")
     n_units = max(1, units_of[-1].stop)
-    met = sent.repartition(min(n_units, 4096), "unit").join(index.units.select("unit", "ids", "labels", "x"), "unit")
+    # dealt by unit and sorted, a unit's packed row comes before its batches: no join, so neither side can be
+    # broadcast (Spark cannot know how many batches the routing makes) and no unit is copied for each batch
+    packed = index.units.select("unit", "ids", "labels", "x")
+    met = (sent.unionByName(packed, allowMissingColumns=True).withColumn("later", F.col("x").isNull())
+           .repartition(min(n_units, 4096), "unit").sortWithinPartitions("unit", "later"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree = None, None
         for b in batches:
             for r in range(b.num_rows):
                 row = {n: b.column(n)[r] for n in b.schema.names}
-                if row["unit"].as_py() != now:
+                if not row["later"].as_py():
                     now = row["unit"].as_py()
                     ids = np.frombuffer(row["ids"].as_py(), dtype=np.int64)
                     raw = row["x"].as_py()
                     x = np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * len(ids) * lo.shape[1] else np.int64)
                     tree = Tree(ids, np.frombuffer(row["labels"].as_py(), dtype=np.int64), x.reshape(len(ids), -1).astype(np.int64))
+                    continue
+                if row["unit"].as_py() != now:  # a unit without rows
+                    continue
                 key, own, label = (np.frombuffer(row[n].as_py(), dtype=np.int64).tolist() for n in ("key", "id", "label"))
                 q = np.frombuffer(row["vec"].as_py(), dtype=np.int64).reshape(len(key), -1)
                 below, above = tree.bounds(q)
