@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import fingerprint, groups
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -66,3 +67,9 @@ def test_empty_and_one_per_group(spark):
     kept = simhash.one_per_group(spark.createDataFrame(same, schema))
     assert kept.columns == ["doc_id", "text", "source"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
+
+
+def test_replicas_are_not_broadcast(spark):
+    """Spark sizes them as the fingerprints they are made of, and 60 to 70 times that went through the driver."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    assert "Broadcast" not in simhash.links(fps)._jdf.queryExecution().executedPlan().toString()

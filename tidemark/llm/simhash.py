@@ -158,7 +158,8 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     placed = distinct_fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
     home = placed.where("home").select("anchor", F.col("fp").alias("u"))
     visit = placed.select("anchor", F.col("fp").alias("v"))
-    return home.join(visit, "anchor").where(
+    # Spark sizes ``visit`` by the fingerprints it is made of, not by their 60 to 70 replicas, and would broadcast it
+    return home.join(visit.hint("merge"), "anchor").where(
         (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v")
 
 
