@@ -237,3 +237,21 @@ def test_blocks_end_with_their_groups():
     parts = list(K.blocks(t.to_batches(max_chunksize=9_000), ["isin", "_chunk"]))
     assert sum(p.num_rows for p, _ in parts) == len(key) and sum(int(new.sum()) for _, new in parts) == 4
     assert all(new[0] for _, new in parts) and len(parts) > 1
+
+
+def test_pivot_shuffles_one_row_for_each_date(spark):
+    rows = [("a", 1, 1.0, "x"), ("a", 1, 2.0, "y"), ("a", 1, 4.0, "x"), ("a", 2, None, "x"), ("b", 1, 3.0, "z"), (None, 1, 5.0, "y"), ("b", 2, 1.0, None), ("b", 2, 2.0, "y")]
+    long = spark.createDataFrame(rows, "isin string, date int, value double, type string")
+    got = IND.pivot(long, ["y", "x"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, long.groupBy("isin", "date").pivot("type", ["y", "x"]).agg(F.sum("value")).collect()))
+
+
+def test_bars_of_single_rows_are_not_combined_before_the_shuffle(spark):
+    from tidemark.sources import bars as B
+    rows = B.read_table(spark, "/root/testdata/sf0.001", "lineitem")
+    plan = B.supplier_day(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan.split("Exchange hashpartitioning")[1]
+    events = B.event_hour(B.read_table(spark, "/root/testdata/sf0.001", "events"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in events.split("Exchange hashpartitioning")[1]  # many rows a bar

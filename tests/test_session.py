@@ -1,7 +1,9 @@
 """Submitted settings win, scratch tables go, workers need no copy of the package."""
 import os
+import re
 import subprocess
 import sys
+import time
 
 import pytest
 
@@ -76,3 +78,22 @@ def test_written_tables_are_zstd(spark):
     from tidemark.session import materialize
     files = materialize(spark.range(10), "codec").inputFiles()
     assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.session import CLEANUP, materialize
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString()
+        return set(re.findall(r"shuffle_\d+_\d+", blocks))
+
+    before, kept = shuffles(), spark.conf.get(CLEANUP, "false")
+    out = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")), "grouped")
+    for _ in range(50):  # deleted in the background
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7 and spark.conf.get(CLEANUP, "false") == kept
