@@ -144,3 +144,18 @@ def test_center_distances_by_blocks(spark):
     for r in out.collect():
         assert r["d"] == pytest.approx([((points[r["i"]] - c) ** 2).sum() for c in np.array(centers)])
     assert df.limit(0).select(ML.center_distances(centers)).collect() == []
+
+
+def test_elbow_takes_the_cost_once_at_the_end(spark, monkeypatch):
+    rows = [(Vectors.dense([float(i % 5), float(i % 7), float(i)]),) for i in range(60)]
+    data, asked, step = spark.createDataFrame(rows, ["scaledFeatures"]), [], ML.lloyd_step
+
+    def counted(vectors, centers, cost=True):
+        asked.append(cost)
+        return step(vectors, centers, cost)
+
+    monkeypatch.setattr(ML, "lloyd_step", counted)
+    monkeypatch.setattr(ML, "STEP_ROWS", 7)
+    for r in ML.elbow(data, [2, 5], details=True).collect():
+        assert r["rows"] == 60 and r["wssse"] <= r["training_cost"] * (1 + 1e-9) and r["training_cost"] > 0
+    assert asked[-1] and not any(asked[:-1]) and len(asked) > 2
