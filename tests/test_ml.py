@@ -159,3 +159,19 @@ def test_elbow_takes_the_cost_once_at_the_end(spark, monkeypatch):
     for r in ML.elbow(data, [2, 5], details=True).collect():
         assert r["rows"] == 60 and r["wssse"] <= r["training_cost"] * (1 + 1e-9) and r["training_cost"] > 0
     assert asked[-1] and not any(asked[:-1]) and len(asked) > 2
+
+
+def test_models_and_scores_read_one_stored_pass(spark, monkeypatch):
+    import __spark_entry__ as E
+
+    class Stop(Exception):
+        pass
+
+    def learn(data, model_dir, stored=False):
+        assert stored and "MapInArrow" not in data._jdf.queryExecution().executedPlan().toString()
+        raise Stop
+
+    monkeypatch.setattr(ML, "learn", learn)
+    monkeypatch.setattr(E, "_models", {})
+    with pytest.raises(Stop):
+        E._predicted(spark, "/root/testdata/sf0.001")
